@@ -3,8 +3,9 @@
 The library encodes each different word piece once; a vectorised lookup by two 64-bit
 hashes places its ids wherever the piece occurs again. Pieces are cut at white space only
 where the tokenizer's own pre-tokenizer cuts too, so ids equal those of whole-text encoding:
-before every run of ASCII white space, after a run that doesn't end in a space, and between
-a Latin letter or digit and ASCII punctuation (not after an apostrophe). Texts with other
+before a run of ASCII white space and before the last character of a run that a word follows,
+after that character if it isn't a space, and between a Latin letter or digit and ASCII
+punctuation (not after an apostrophe). Texts with other
 white space are encoded whole.
 """
 
@@ -178,13 +179,19 @@ class Encoder:
         self._powered(n + 1)
         space = self.space[data]
         start = np.zeros(n, bool)
-        start[1:] = (space[1:] & ~space[:-1]) | (~space[1:] & space[:-1] & (data[:-1] != 32))
+        first = np.zeros(n, bool)
+        first[offsets[:-1][size > 0]] = True
+        start[1:] = space[1:] & ~space[:-1]
+        after = np.flatnonzero(~space[1:] & space[:-1] & ~first[1:]) + 1  # behind a run: the run's last character stands alone or goes with the next word
+        start[after] = data[after - 1] != 32
+        longer = after[(after > 1) & ~first[after - 1]]
+        start[longer - 1] |= space[longer - 2]
         word, mark = self.word[data], self.mark[data]
         latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # letters of Latin-1, without its two signs
         word[:-1] |= latin
         word[1:] |= latin
         start[1:] |= (word[:-1] & mark[1:]) | (mark[:-1] & (data[:-1] != 39) & word[1:])
-        start[offsets[:-1][size > 0]] = True
+        start |= first
         if skip.any():
             start &= ~np.repeat(skip, size)
         s = np.flatnonzero(start)

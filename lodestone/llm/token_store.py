@@ -150,7 +150,7 @@ def write(docs: DataFrame, store: str, end: int = 0, path: str | None = None) ->
     rows = encode_chunks(docs, end, path).withColumn("__to", F.when(F.col("kind") == 1, F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "n", "digests")))
     rows = rows.repartition(n, "__to").sortWithinPartitions("kind", "key").drop("__to")
     rows.mapInArrow(_first_of_each, rows.schema).withColumn("kind", F.when(F.col("kind") == 1, "chunk").otherwise("recipe")).write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(f"{store}/staged")
-    staged = spark.read.parquet(f"{store}/staged")
+    staged = spark.read.schema("key binary, doc_id long, n long, digests array<binary>, data binary, kind string").parquet(f"{store}/staged")
     recipes = staged.where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "digests")
 
     def step(b: pa.RecordBatch, state: dict) -> pa.RecordBatch:
