@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import packing, token_store
+from lodestone.llm import decontaminate, packing, quality, simhash, sql, token_store, warc
 from lodestone.llm.common import shared_path
 
 
@@ -14,6 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), archive)
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.clean(table(spark, sf_dir, "documents")))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shared_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), store, end=0)
@@ -24,8 +38,20 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end=2)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op5_warc": op5_warc,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_store": op8_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_simhash": op10_simhash,
+}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": sql.DECONTAMINATION,
+    "op5_warc": sql.WARC,
+    "op7_quality_rules": sql.QUALITY,
 }
-ORACLES: dict[str, str] = {}
