@@ -3,7 +3,7 @@
 Line rules, in order (the first that fails names the reason):
 
 - boilerplate: the line holds a phrase of site furniture or licensing;
-- navigation: a short line made of menu words or separators;
+- navigation: a short line of menu words, or a line parted by separators;
 - punctuation: a short line without a sentence end, or a line that is mostly symbols.
 
 A document fails if its base figures fail (too few words, too much repetition), if it lost more
@@ -43,6 +43,8 @@ MOST_LOST = 0.5
 LEAST_WORDS = 50
 #: A line with at most this many words may be judged navigation or an unfinished scrap.
 SHORT = 3
+#: A line with so many words that are separators, and a quarter of all its words, is a menu.
+BARS = 3
 #: A line in which more than one of so many word characters is a symbol is no prose.
 SYMBOL_SHARE = 5
 
@@ -60,6 +62,9 @@ def line_reason(line: str) -> str | None:
         bare = [w.strip("|<>«»›‹·•-–—/\\,.:").lower() for w in words]
         if all(not w or w in NAVIGATION for w in bare):
             return "navigation"
+    bars = sum(not w.strip("|<>«»›‹·•") for w in words)
+    if bars >= BARS and 4 * bars >= len(words):
+        return "navigation"
     if len(words) <= SHORT and not END.search(line.rstrip(" \t\n\v\f\r")):
         return "punctuation"
     if SYMBOL_SHARE * len(SYMBOL.findall(line)) > sum(map(len, words)):

@@ -55,6 +55,7 @@ WITH docs AS (
   SELECT *, len(lw) > 0 AND (
     regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}')
     OR len(lw) <= {2 * quality.SHORT} AND len(list_filter(lw, lambda x: trim(x, '|<>«»›‹·•-–—/\,.:') <> '' AND NOT list_contains([{_text(*quality.NAVIGATION)}], lower(trim(x, '|<>«»›‹·•-–—/\,.:'))))) = 0
+    OR len(list_filter(lw, lambda x: trim(x, '|<>«»›‹·•') = '')) >= greatest({quality.BARS}, len(lw) / 4.0)
     OR len(lw) <= {quality.SHORT} AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '[.!?…:;"''»”)\]。！？]$')
     OR {quality.SYMBOL_SHARE} * len(regexp_extract_all(line, '[#*$%&|<>]')) > list_sum(list_transform(lw, lambda x: length(x)))
   ) AS fails FROM lines

@@ -52,6 +52,7 @@ def test_verdicts(spark):
 
 def test_lines():
     assert line_reason("Home » Blog » Archive") == "navigation"
+    assert line_reason("one | two three | four, | five |") == "navigation" and line_reason("a | b and c | d goes on and on and on") is None
     assert line_reason("We use cookies to do things, and more things.") == "boilerplate"
     assert line_reason("stray words") == "punctuation" and line_reason("Ered*** reed*** of###") == "punctuation"
     assert line_reason("") is None and line_reason("Ti.") is None and line_reason("Home is where the heart is, they say") is None
