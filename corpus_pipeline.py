@@ -5,17 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import packing
-from lodestone.llm.common import shared_path
+from lodestone.llm import decontaminate, packing, quality, simhash, substring
+from lodestone.llm.common import cut, shared_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go; documents that are rejected go."""
+    return quality.filtered(docs, quality.clean(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id stays.
+
+    Rows with the same id are one document, of which equal rows stay once; rows without an id stay.
+    """
+    found = cut(simhash.near_duplicates(docs))
+    later = found.where("doc_id <> component_id").select("doc_id")
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1)
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages stay in the first document only; documents that lose everything go."""
+    return substring.deduped(docs, substring.dedup(docs))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go; rows without an id stay."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontaminate.find_contamination(docs, items).where(F.col("n_hit") > 0).select("doc_id")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a document, with its place in a training sequence."""
     return packing.pack(docs, capacity=1024, end=2)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("best_fit_packing", pack)]
-#: Tokenizing, rolling hashes and packing have no SQL form.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", pack),
+]
+#: Hash functions, tokenizing and packing have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 

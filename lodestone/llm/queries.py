@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, packing, quality, simhash, sql, token_store, warc
+from lodestone.llm import decontaminate, language, packing, quality, simhash, spans, sql, substring, suffixes, token_counts, token_store, warc
 from lodestone.llm.common import shared_path
 
 
@@ -14,16 +15,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    repeats = substring.repeated_spans(docs)
+    # the other columns stay behind: the result is the digest
+    found = spans.without_spans(docs.select("doc_id", "text"), repeats.select("doc", "h", "spans"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in with provisional counts, then are revised; both batches are sent twice."""
+    docs, root, version = table(spark, sf_dir, "documents"), shared_path(spark, "token-counts"), "byte_bpe_50k"
+    exact = token_counts.count_tokens(docs, version)
+    rough = docs.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
+    rough = rough.withColumn("n_tokens", F.expr("n_bytes div 4"))
+    for _ in range(2):
+        token_counts.commit(token_counts.inserts(rough), root, "provisional")
+        token_counts.commit(token_counts.revisions(rough, exact), root, "exact")
+    return token_counts.totals(spark, root)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), archive)
     return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.clean(table(spark, sf_dir, "documents")))
 
@@ -43,8 +73,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_store": op8_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
