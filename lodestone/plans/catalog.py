@@ -3,8 +3,435 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lodestone.functions import similarity as S
+from lodestone.functions import text as T
+from lodestone.operators import groups as G
+from lodestone.operators import images, state
+from lodestone.operators import sessions as N
+from lodestone.operators.graph import cut
+from lodestone.plans.oracles import ORACLES
+from lodestone.sources import assets as A
+
+__all__ = ["ORACLES", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+NOW = datetime(2026, 6, 17, 15, 30)
+TS = "date_format({0}, 'yyyy-MM-dd HH:mm:ss')"
+
+
+def query(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Register a query over the derived assets under its function's name."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(A.derive_assets(spark, sf_dir))
+    return f
+
+
+def stamp(name: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+# scans
+
+
+@query
+def scan_recent(assets):
+    return A.scan(assets, A.Request(A.Recent(300))).select("asset_id", stamp("capture_ts"))
+
+
+@query
+def scan_date_range(assets):
+    bounds = assets.agg(F.min("capture_ts").alias("low")).first()["low"]
+    end = bounds.replace(microsecond=0)
+    from datetime import timedelta
+
+    request = A.Request(A.DateRange(bounds, end + timedelta(days=40)), A.Options(include_screenshots=False, exclude_favorites=False))
+    return A.scan(assets, request).select("asset_id", stamp("capture_ts"))
+
+
+@query
+def scan_album(assets):
+    return A.scan(assets, A.Request(A.Album(3)), A.album_members(assets)).select("asset_id")
+
+
+@query
+def album_listing(assets):
+    return A.albums(A.album_members(assets)).select("album_id", "title", "n_images")
+
+
+@query
+def album_search(assets):
+    listed = A.albums(A.album_members(assets))
+    return A.find_albums(listed, text="TRIP 1").union(A.find_albums(listed, ids=[2, 99])).select("album_id", "title")
+
+
+@query
+def content_filter(assets):
+    return A.scan(assets, A.Request(A.Recent(1 << 30), A.Options(exclude_favorites=False, content_query="Dogs & puppies, gold!"))).select("asset_id")
+
+
+@query
+def location_filter(assets):
+    request = A.Request(A.Recent(1 << 30), A.Options(exclude_favorites=False, location_query="bay north", location_lookup=True))
+    return A.scan(assets, request, place_table=A.places(assets)).select("asset_id")
+
+
+# scalars
+
+
+@query
+def blocking_key(assets):
+    return G.with_block(assets).select("asset_id", "block")
+
+
+@query
+def location_bucket(assets):
+    return assets.select("asset_id", S.location_bucket(F.col("lat"), F.col("lon")).alias("bucket"), S.location_bucket(F.col("lat"), F.col("lon"), 2).alias("coarse"), S.altitude(F.col("altitude"), F.col("asset_id") % 2).alias("meters_above"))
+
+
+@query
+def protection_reasons(assets):
+    rows = assets.withColumn("has_people", F.col("face_count") > 0)
+    return rows.select("asset_id", F.array_join(S.protection_reasons(), ",").alias("reasons"), F.array_join(S.protection_reasons(("livePhoto",)), ",").alias("without_live"))
+
+
+@query
+def quality_score(assets):
+    rows = assets.withColumn("has_people", F.col("face_count") > 0)
+    return rows.select("asset_id", F.round(S.quality_score(F.lit(12_000_000).cast("long")), 9).alias("score"))
+
+
+# pairs
+
+
+@query
+def hamming_pairs(assets):
+    pairs = G.block_pairs(G.with_block(assets), ["hash"], G.near_bits())
+    return pairs.groupBy("block").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(G.of_pair(S.hamming, "hash")).cast("long").alias("bits"))
+
+
+@query
+def pair_predicates(assets):
+    """How many pairs of each block pass each predicate."""
+    pairs = G.block_pairs(G.with_block(assets), G.PAIR)
+    tests = {
+        "n_near": G.near_bits(),
+        "n_session": G.in_session(),
+        "n_people": G.of_pair(S.same_people, "face_count", "faceprints"),
+        "n_color": G.of_pair(S.similar_color, "color_signature"),
+    }
+    return pairs.groupBy("block").agg(F.count(F.lit(1)).alias("n_pairs"), *[F.count_if(c).alias(k) for k, c in tests.items()])
+
+
+def scene_pairs(assets: DataFrame) -> DataFrame:
+    return G.block_pairs(assets.withColumn("scene_key", F.col("scene")), G.PAIR, block="scene_key")
+
+
+@query
+def pair_distance(assets):
+    return scene_pairs(assets).select("a_asset_id", "b_asset_id", F.round(G.of_pair(S.pair_distance, "feature", "hash"), 9).alias("distance"))
+
+
+@query
+def color_similarity(assets):
+    return scene_pairs(assets).select("a_asset_id", "b_asset_id", F.round(G.of_pair(S.color_similarity, "color_signature"), 9).alias("similarity"))
+
+
+@query
+def face_set_match(assets):
+    return scene_pairs(assets).select("a_asset_id", "b_asset_id", G.of_pair(S.same_people, "face_count", "faceprints").alias("same"), F.round(G.of_pair(S.worst_face_match, "faceprints"), 9).alias("worst"))
+
+
+@query
+def great_circle(assets):
+    return scene_pairs(assets).select("a_asset_id", "b_asset_id", F.round(S.meters(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")), 4).alias("meters"))
+
+
+def _by_sensitivity(name: str, f: Callable[[DataFrame, str], DataFrame]) -> None:
+    for s in S.SENSITIVITIES:
+        QUERIES[f"{name}_{s}"] = lambda spark, sf_dir, s=s: f(G.with_block(A.derive_assets(spark, sf_dir)), s)
+
+
+_by_sensitivity("accepted_pairs", lambda rows, s: G.accepted_pairs(rows, s).select("src", "dst", F.round("distance", 9).alias("distance")))
+_by_sensitivity("connected_components", G.group_members)
+
+
+# groups
+
+
+def grouped(assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, members, confidence) at balanced sensitivity."""
+    rows = G.with_block(assets)
+    members = cut(G.group_members(rows, "balanced"))
+    return rows, members, cut(G.group_confidence(members, rows))
+
+
+def ranked_groups(assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows, members, confidence = grouped(assets)
+    return rows, members, confidence, cut(G.rank_groups(members, rows, confidence))
+
+
+@query
+def group_confidence(assets):
+    return grouped(assets)[2].select("group_id", "n", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def groups_by_confidence(assets):
+    c = grouped(assets)[2]
+    return c.orderBy(F.desc("confidence"), "group_id").select("group_id", S.percent(F.col("confidence")).alias("spoken"), S.percent(F.round("confidence", 9), False).alias("shown"))
+
+
+@query
+def placeholder_keeper(assets):
+    rows, members, _ = grouped(assets)
+    return G.placeholder_keeper(members, rows)
+
+
+@query
+def best_shot_rank(assets):
+    r = ranked_groups(assets)[3]
+    return r.select("group_id", "asset_id", F.round("score", 9).alias("score"), "rank", "is_keeper", "is_protected", "is_removal")
+
+
+@query
+def badges(assets):
+    r = ranked_groups(assets)[3]
+    return r.select("asset_id", F.array_join("badges", ",").alias("badges"), T.protection_summary(F.col("reasons")).alias("protection"), T.removal_summary(F.col("badges")).alias("removal"))
+
+
+@query
+def keeper_override(assets):
+    rows, members, _, r = ranked_groups(assets)
+    some = r.where(F.col("group_id") % 3 != 0)  # groups whose rows are gone keep their placeholder
+    return G.keepers(G.placeholder_keeper(members, rows), some)
+
+
+@query
+def best_shots(assets):
+    rows, members, _, r = ranked_groups(assets)
+    return G.keepers(G.placeholder_keeper(members, rows), r).where("keeper_id is not null").select("keeper_id")
+
+
+@query
+def cleanup_plan(assets):
+    rows, _, _, r = ranked_groups(assets)
+    return G.cleanup_plan(r, rows.select("asset_id", F.col("pixel_count").alias("bytes")))
+
+
+@query
+def cleanup_warnings(assets):
+    return G.decisions(ranked_groups(assets)[3])
+
+
+@query
+def cleanup_stats(assets):
+    rows, _, _, r = ranked_groups(assets)
+    s = G.cleanup_stats(r, rows)
+    return s.withColumn("summary", T.cleanup_summary(*[F.col(c) for c in ("group_count", "reviewable", "protected_favorites", "protected_live", "protected_people")]))
+
+
+@query
+def duplicate_snapshot(assets):
+    s = G.snapshot(grouped(assets)[1])
+    return s.withColumn("summary", T.last_scan_summary(F.col("group_count"), F.col("reviewable")))
+
+
+@query
+def keeper_summary(assets):
+    r = ranked_groups(assets)[3].where("is_keeper")
+    return r.select("group_id", T.keeper_summary(F.col("badges")).alias("summary"))
+
+
+@query
+def group_details(assets):
+    r = ranked_groups(assets)[3]
+    d = G.decisions(r).join(r.where("is_keeper").select("group_id", "badges", "confidence", "n"), "group_id")
+    return d.select("group_id", T.group_details(F.round("confidence", 9), F.col("n"), F.col("badges"), F.col("n_removals"), F.col("n_protected")).alias("details"))
+
+
+@query
+def top_group(assets):
+    """The surest group, explained by its stored keeper ranked without confidence."""
+    rows, members, c = grouped(assets)
+    top = c.orderBy(F.desc(F.round("confidence", 9)), "group_id").limit(1).select("group_id")
+    r = G.rank_groups(members.join(top, "group_id", "left_semi"), rows)
+    return r.where("is_keeper").select("group_id", F.col("asset_id").alias("keeper_id"), T.keeper_summary(F.col("badges")).alias("summary"))
+
+
+@query
+def keeper_explanations(assets):
+    """Keeper's badges and the different negative badges of what would go, by group."""
+    r = ranked_groups(assets)[3]
+    bad = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("is_removal"), F.array_intersect("badges", F.array(*map(F.lit, G.NEGATIVE))))))))
+    own = F.max(F.when(F.col("is_keeper"), F.array_join("badges", ",")))
+    return r.groupBy("group_id").agg(own.alias("keeper_badges"), F.array_join(bad, ",").alias("removal_badges"))
+
+
+@query
+def manual_override(assets):
+    r = ranked_groups(assets)[3]
+    toggled = r.where(F.col("asset_id") % 5 == 0).select("group_id", "asset_id")
+    return G.override_removals(r, toggled)
+
+
+# sessions
+
+
+def analyzed(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = cut(N.sessionize(assets))
+    listed = cut(N.sessions(rows))
+    return listed, N.analyze(rows, listed)
+
+
+@query
+def sessionize(assets):
+    return N.sessionize(assets).select("library_id", "session", "asset_id")
+
+
+@query
+def session_type(assets):
+    s = N.sessions(N.sessionize(assets))
+    return s.select("library_id", "session", "n", stamp("start_ts"), stamp("end_ts"), F.round("span", 6).alias("span"), "bucket", "session_type")
+
+
+@query
+def session_best_shots(assets):
+    return analyzed(assets)[1].select("library_id", "session", "asset_id", "role")
+
+
+@query
+def suggested_removals(assets):
+    roles = analyzed(assets)[1]
+    kept = roles.where("role in ('best', 'protected')").select("asset_id")
+    return roles.select("asset_id").join(kept, "asset_id", "left_anti")
+
+
+@query
+def session_summary_stats(assets):
+    s = N.session_stats(analyzed(assets)[1])
+    return s.withColumn("summary", T.session_summary(F.col("clusters"), F.col("best"), F.col("protected"), F.col("redundant")))
+
+
+@query
+def unique_angle(assets):
+    rows = assets.withColumn("aspect", F.col("width") / F.col("height"))
+    a, b = rows.where("variant = 0"), rows.where("variant > 0")
+    a = a.select("scene", *[F.col(c).alias(f"k_{c}") for c in ("altitude", "lat", "lon", "aspect")])
+    unique = S.unique_angle(F.col("altitude"), F.col("k_altitude"), F.col("lat"), F.col("lon"), F.col("k_lat"), F.col("k_lon"), F.col("aspect"), F.col("k_aspect"))
+    return b.join(a, "scene").select("asset_id", unique.alias("is_unique"))
+
+
+# state
+
+
+def features_and_targets(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    targets = assets.where("asset_id % 3 <> 1").select("asset_id", (-F.col("asset_id")).alias("ord"))
+    return assets.where("asset_id % 4 <> 0").select("asset_id", "analysis_version", "sharpness"), targets
+
+
+@query
+def pending_work(assets):
+    features, targets = features_and_targets(assets)
+    return state.pending(targets, features).select("asset_id", "ord")
+
+
+@query
+def scan_coverage(assets):
+    features, targets = features_and_targets(assets)
+    return state.coverage(targets, features)
+
+
+@query
+def feature_upsert(assets):
+    old = assets.select("asset_id", "sharpness", F.lit(1).alias("computed_at")).where("asset_id % 2 = 0")
+    new = assets.select("asset_id", F.col("exposure").alias("sharpness"), F.when(F.col("asset_id") % 5 == 0, 0).otherwise(1).alias("computed_at")).where("asset_id % 3 = 0")
+    return state.upsert(old, new, "asset_id", "computed_at")
+
+
+@query
+def checkpoint_latest(assets):
+    rows = assets.groupBy("library_id").agg(F.max("asset_id").alias("updated_at"))
+    rows = rows.select(F.concat(F.lit("recent:"), F.col("library_id").cast("string")).alias("signature"), "updated_at", (F.col("library_id") % 4 == 3).alias("is_complete"))
+    return state.latest_checkpoint(rows)
+
+
+# requests
+
+
+def requests_table(assets: DataFrame) -> DataFrame:
+    """A request for each scene, put together from words."""
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (F.floor(F.col("scene") / by) % len(words) + 1).cast("int"))
+    text = F.concat_ws(
+        " ",
+        pick(["Find", "hello", "please clean", "Scan my", "show"], 1),
+        pick(["photos", "dogs", "photos of beach sunset", "duplicates at Mall of America", ""], 5),
+        pick(["", "last weekend", "from past month", "yesterday", "past weekend", "TODAY", "last year", "this week"], 25),
+        pick(["", "carefully", "thorough", "balanced", "drone"], 200),
+        pick(["", "no screenshots"], 2),
+    )
+    return assets.where("variant = 0").select("scene", F.when(F.col("scene") % 61 == 0, "  ").otherwise(text).alias("text"))
+
+
+@query
+def nl_parse(assets):
+    out = T.parse_requests(requests_table(assets), NOW)
+    return out.select("scene", "mode", "phrase", stamp("start_ts"), stamp("end_ts"), "recent_limit", "include_screenshots", "content_query", "location_query", "sensitivity", "understood", "summary")
+
+
+@query
+def date_phrases(assets):
+    rows = assets.where("variant = 0 and capture_ts is not null")
+    out = rows
+    for name in T.DATE_PHRASES:
+        start, end = T.date_range(F.lit(name), F.col("capture_ts"))
+        out = out.withColumn(f"{name}_start", F.date_format(start, "yyyy-MM-dd HH:mm:ss")).withColumn(f"{name}_end", F.date_format(end, "yyyy-MM-dd HH:mm:ss"))
+    return out.select("scene", *[f"{n}_{x}" for n in T.DATE_PHRASES for x in ("start", "end")])
+
+
+@query
+def draft_resolve(assets):
+    drafts = requests_table(assets).select(
+        "scene", "text", F.when(F.col("scene") % 3 == 0, "aggressive").when(F.col("scene") % 3 == 1, "Safe mode").otherwise("?").alias("draft_mode"),
+        F.element_at(F.array(*map(F.lit, T.PHRASE_WORD)), (F.col("scene") % 6 + 1).cast("int")).alias("draft_phrase"),
+        F.when(F.col("scene") % 2 == 0, " Dogs ").otherwise("none").alias("draft_content"), F.when(F.col("scene") % 5 == 0, "Paris").otherwise(" ").alias("draft_location"), (F.col("scene") % 7 != 0).alias("draft_screenshots"),
+    )
+    return T.resolve_drafts(drafts, NOW).select("scene", "mode", "phrase", "content_query", "location_query", "recent_limit", "summary")
+
+
+# images
+
+
+def gray(assets: DataFrame, n: int) -> DataFrame:
+    value = lambda i: ((F.col("scene") * 31 + i * i * (F.col("variant") + 3) + i * 17) % 256).cast("int")
+    return assets.where("variant < 2").select("asset_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value).alias("pixels"))
+
+
+@query
+def dhash(assets):
+    return gray(assets, 72).select("asset_id", images.dhash(F.col("pixels")).alias("hash"))
+
+
+@query
+def quality_metrics(assets):
+    small = gray(assets.where("scene % 10 = 0"), 4096).withColumn("q", images.quality_metrics("pixels"))
+    return small.select("asset_id", *[F.round(f"q.{c}", 9).alias(c) for c in ("sharpness", "exposure", "contrast", "motion_blur")])
+
+
+@query
+def color_histogram(assets):
+    pixel = lambda p: F.struct(p.alias("r"), ((p * 3) % 256).alias("g"), ((p * 7) % 256).alias("b"), F.when(p % 9 == 0, 0).otherwise(255).alias("a"))
+    rows = gray(assets.where("scene % 4 = 0"), 256).select("asset_id", F.transform("pixels", pixel).alias("pixels"))
+    return rows.select("asset_id", F.array_join(images.color_signature(F.col("pixels")).cast("array<string>"), ",").alias("signature"))
+
+
+@query
+def largest_faces(assets):
+    boxes = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.struct((i / 20.0).alias("x"), (i / 10.0).alias("y"), ((F.col("asset_id") * i % 7 + 1) / 40.0).alias("w"), (i / 50.0).alias("h")))
+    faces = images.largest_faces(boxes)
+    crop = images.face_crop(F.element_at(faces, 1), F.col("width").cast("double"), F.col("height").cast("double"))
+    return assets.select("asset_id", faces.alias("faces"), crop.alias("crop")).select("asset_id", F.array_join(F.transform("faces", lambda f: F.round(f["x"] * 20, 0).cast("int").cast("string")), ",").alias("order"), F.round("crop.w", 6).alias("crop_w"), F.round("crop.y", 6).alias("crop_y"))
