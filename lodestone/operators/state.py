@@ -62,6 +62,7 @@ def replace_table(df: DataFrame, path: str) -> None:
     if not fs.rename(_path(spark, temp)[1], final):
         raise OSError(f"could not replace {path}")
     fs.delete(_path(spark, old)[1], True)
+    spark.catalog.refreshByPath(path)  # what was cached of the old table
 
 
 def _path(spark: SparkSession, path: str):
