@@ -29,7 +29,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     ordered = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops = ordered.where("u = v").select("u")
     now = ordered.where("u <> v")
-    before = None
     while True:
         # large star: all larger neighbours of u point to the smallest of u and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,10 +38,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         now = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
+        if not _unsettled(now):
             break
-        before = state
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return found.union(roots).union(loops.select(F.col("u").alias("node"), F.col("u").alias("component")).join(found.union(roots).select("node"), "node", "left_anti"))
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are anything but stars that point to their centres.
+
+    In stars each u has one edge and no v is a u; then each v is the smallest of its component.
+    """
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return bool(seen.where("out > 1 or out = 1 and into = 1").head(1))
