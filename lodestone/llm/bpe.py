@@ -22,7 +22,7 @@ from lodestone.llm.common import utf8
 #: Name of the vocabulary file used unless a path is given.
 VOCABULARY = "byte_bpe_50k.json"
 #: White space outside ASCII: fixed values of the Unicode White_Space property.
-OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A piece that the pre-tokenizer surely keeps whole.
 ONE_WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 SLOTS = 1 << 22
