@@ -258,16 +258,19 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     first_b = np.cumsum(b_counts) - b_counts
     sa[np.repeat(tails - first_b, b_counts) + np.arange(len(order))] = order
     # the last suffix is of type A and smaller than all others of its bucket
-    text, is_a, head, out = t.tolist(), (~type_b).tolist(), heads.tolist(), sa.tolist()
-    c = text[n - 1]
-    out[head[c]] = n - 1
-    head[c] += 1
-    for j in range(n):
-        i = out[j] - 1
-        if i >= 0 and is_a[i]:
-            c = text[i]
-            out[head[c]] = i
-            head[c] += 1
+    head, out = heads.tolist(), sa.tolist()
+    out[head[t[n - 1]]] = n - 1
+    head[t[n - 1]] += 1
+    # bucket of the suffix before each, -1 where that one is of type B or there is none
+    before = np.full(n, -1, np.int64)
+    before[1:] = np.where(type_b[:-1], -1, t[:-1].astype(np.int64))
+    before = before.tolist()
+    for x in out:  # filled ahead of the scan
+        c = before[x]
+        if c >= 0:
+            at = head[c]
+            out[at] = x - 1
+            head[c] = at + 1
     return np.array(out, np.int64)
 
 
@@ -337,35 +340,57 @@ def repeated_windows(parts: list[bytes], windows: np.ndarray, ids: np.ndarray, m
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k1, k2): suffix arrays over groups of at least two, many groups at once."""
+    """Rows sorted by (k1, k2): suffix arrays over groups of at least two, many groups at once.
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        windows = np.array([r[5] for r in rows])
-        hit = repeated_windows([r[7] for r in rows], windows, np.array([r[2:5] for r in rows], np.int64), np.array([r[6] for r in rows]))
+    Copies of a candidate's bytes go on at once, as windows that repeat; a group holds each different
+    candidate once.
+    """
+    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("windows", pa.int32())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def solve(rows: list[list]) -> list[tuple]:
+        windows = np.array([r[3] for r in rows])
+        hit = repeated_windows([r[5] for r in rows], windows, np.array([r[:3] for r in rows], np.int64), np.array([r[4] for r in rows]))
         out, at = [], 0
         for r in rows:
-            own = hit[at : at + r[5]]
-            at += r[5]
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).tolist()
-            out += [(r[2], r[3], r[4] + a, z - a) for a, z in zip(edges[::2], edges[1::2], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["doc", "h", "first", "windows"])
-
-    held, size, group = [], 0, []
-    names = ["k1", "k2", "doc", "h", "first", "windows", "many", "data"]
+            own = hit[at : at + r[3]]
+            at += r[3]
+            if not r[4]:  # else they have been sent
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).tolist()
+                out += [(r[0], r[1], r[2] + a, z - a) for a, z in zip(edges[::2], edges[1::2], strict=True)]
+        return out
+
+    key, group, held, size, ready = None, {}, [], 0, []
+    names = ["doc", "h", "first", "windows", "many", "data"]
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-            if group and group[0][:2] != r[:2]:
+        columns = [b.column(c).to_pylist() for c in names]
+        for k, *r in zip(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True), *columns, strict=True):
+            if k != key:
                 if len(group) > 1:
-                    held += group
-                    size += sum(len(x[7]) for x in group)
-                group = []
+                    held += group.values()
+                    size += sum(map(len, group))
+                key, group = k, {}
                 if size >= SORT_BYTES:
-                    yield solve(held)
+                    ready += solve(held)
                     held, size = [], 0
-            group.append(r)
-    held += group if len(group) > 1 else []
-    if held:
-        yield solve(held)
+            own = group.get(r[5])
+            if own is None:
+                group[r[5]] = r
+                if r[4]:
+                    ready.append(tuple(r[:4]))
+            else:
+                ready.append(tuple(r[:4]))
+                if not own[4]:
+                    own[4] = True
+                    ready.append(tuple(own[:4]))
+        if len(ready) > 10_000:
+            yield batch(ready)
+            ready = []
+    if len(group) > 1:
+        held += group.values()
+    yield batch(ready + (solve(held) if held else []))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
