@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, language, packing, quality, simhash, spans, sql, substring, suffixes, token_counts, token_store, warc
+from lodestone.llm import decontaminate, language, packing, quality, simhash, sql, substring, suffixes, token_counts, token_store, warc
 from lodestone.llm.common import shared_path
 
 
@@ -17,10 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    repeats = substring.repeated_spans(docs)
-    # the other columns stay behind: the result is the digest
-    found = spans.without_spans(docs.select("doc_id", "text"), repeats.select("doc", "h", "spans"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))
+    found = substring.dedup(docs.select("doc_id", "text"))  # the other columns stay behind: the result is the digest
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept_sha256", (F.col("n_repeated") > 0).alias("has_repeats"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,15 +42,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Documents with the bytes of their spans taken out.
 
-    ``spans``: doc, h, spans array<struct<start, end>> (disjoint, sorted), at most one row a key.
-    Returns doc_id, n_bytes, n_removed, n_spans, spans, kept (binary), kept_sha256, rest (a struct
-    of the other columns, null if there are none).
+    ``spans``: doc, h, spans array<struct<start, end>> (disjoint, sorted), n_repeated, at most one
+    row a key. Returns doc_id, n_bytes, n_removed, n_spans, n_repeated (0 for a key without a row),
+    spans, kept (binary), kept_sha256, rest (a struct of the other columns, null if there are none).
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"), rest.alias("rest"))
-    joined = rows.join(spans, KEY, "left").select(doc_id(), "text", "spans", "rest")
+    joined = rows.join(spans, KEY, "left").select(doc_id(), "text", "spans", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), "rest")
     kind = "array<struct<start:long,end:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +68,9 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 kept.append(left)
                 names.append(hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), b.column("spans"), pa.array(kept, pa.binary()), pa.array(names, pa.string()), b.column("rest")],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "rest"],
+                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), b.column("n_repeated"), b.column("spans"), pa.array(kept, pa.binary()), pa.array(names, pa.string()), b.column("rest")],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "spans", "kept", "kept_sha256", "rest"],
             )
 
-    schema = StructType([*_parse_datatype_string(f"doc_id long, n_bytes long, n_removed long, n_spans long, spans {kind}, kept binary, kept_sha256 string").fields, StructField("rest", joined.schema["rest"].dataType)])
+    schema = StructType([*_parse_datatype_string(f"doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, spans {kind}, kept binary, kept_sha256 string").fields, StructField("rest", joined.schema["rest"].dataType)])
     return joined.mapInArrow(run, schema)

@@ -171,13 +171,13 @@ def repeated_spans(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 
 
 def dedup(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, spans, kept (binary), kept_sha256, rest.
-
-    ``rest`` is a struct of the other columns. Null and empty texts have no chunks; rows that
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, n_repeated, spans, kept (binary),
+    kept_sha256, rest. ``n_repeated`` counts the bytes of runs that occur elsewhere too, where they
+    stay as well as where they go. ``rest`` is a struct of the other columns. Null and empty texts have no chunks; rows that
     repeat an id with the same text count as one document and lose nothing to each other; null ids
     come first in order. An empty table gives an empty result.
     """
-    return without_spans(docs, repeated_spans(plain(docs, "doc_id", "text"), least_run).select("doc", "h", "spans"))
+    return without_spans(docs, repeated_spans(plain(docs, "doc_id", "text"), least_run))
 
 
 def deduped(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -426,4 +426,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     lose nothing. Repeated rows are documents each, so they lose everything to each other. An empty
     table gives an empty result.
     """
-    return without_spans(docs, repeated_spans(plain(docs, "doc_id", "text")))
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return without_spans(docs, repeated_spans(plain(docs, "doc_id", "text")).withColumn("n_repeated", length))

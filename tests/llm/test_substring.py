@@ -80,6 +80,8 @@ def test_equals_brute_force(spark, monkeypatch):
     assert got == brute(ROWS)
     by = {r[0]: r for r in got}
     assert by[7][2] == by[7][1] > 0 and by[2][2] == 0 and by[10][2] > 150 and by[4][2] == 0 and by[8][2] > 300 and by[6][2] == 0
+    repeated = {r.doc_id: r.n_repeated for r in found.collect()}  # first ones too
+    assert repeated[7] == repeated[2] == by[2][1] and repeated[4] >= by[10][2] and repeated[6] == repeated[1] == repeated[3] == 0
     left = {r.doc_id: r for r in deduped(docs, found).collect()}
     assert 7 not in left and left[2].text == A and left[2].h == "p" and left[1].text == ""
 
