@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, packing, quality, simhash, substring
+from lodestone.llm import decontaminate, near, packing, quality, substring
 from lodestone.llm.common import cut, shared_path
+from lodestone.llm.spans import NO_ID
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,15 +18,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays.
+    """Of each component of texts that share 0.8 of their five-word shingles the row with the smallest id stays.
 
-    Rows with the same id are one document, of which equal rows stay once; rows without an id stay.
+    Each row has its own decision: rows without an id come after all others, equal rows stay once.
     """
-    found = cut(simhash.near_duplicates(docs))
-    later = found.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1)
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    first = near.near_duplicates(docs).where("first").select("doc", "h")
+    key = [F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
+    kept = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(cut(first), ["doc", "h"], "left_semi")
+    repeated = kept.groupBy("doc", "h").count().where("count > 1").head(1)
+    return (kept.dropDuplicates(["doc", "h"]) if repeated else kept).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
-    ("simhash_near_dedup", near_dedup),
+    ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
     ("benchmark_decontamination", decontaminated),
     ("best_fit_packing", pack),
