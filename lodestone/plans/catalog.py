@@ -408,7 +408,8 @@ def draft_resolve(assets):
 
 def gray(assets: DataFrame, n: int) -> DataFrame:
     value = lambda i: ((F.col("scene") * 31 + i * i * (F.col("variant") + 3) + i * 17) % 256).cast("int")
-    return assets.where("variant < 2").select("asset_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value).alias("pixels"))
+    n_tasks = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes before, many after
+    return assets.repartition(n_tasks, "asset_id").select("asset_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value).alias("pixels"))
 
 
 @query
@@ -418,14 +419,14 @@ def dhash(assets):
 
 @query
 def quality_metrics(assets):
-    small = gray(assets.where("scene % 10 = 0"), 4096).withColumn("q", images.quality_metrics("pixels"))
+    small = gray(assets, 4096).withColumn("q", images.quality_metrics("pixels"))
     return small.select("asset_id", *[F.round(f"q.{c}", 9).alias(c) for c in ("sharpness", "exposure", "contrast", "motion_blur")])
 
 
 @query
 def color_histogram(assets):
     pixel = lambda p: F.struct(p.alias("r"), ((p * 3) % 256).alias("g"), ((p * 7) % 256).alias("b"), F.when(p % 9 == 0, 0).otherwise(255).alias("a"))
-    rows = gray(assets.where("scene % 4 = 0"), 256).select("asset_id", F.transform("pixels", pixel).alias("pixels"))
+    rows = gray(assets, 256).select("asset_id", F.transform("pixels", pixel).alias("pixels"))
     return rows.select("asset_id", F.array_join(images.color_signature(F.col("pixels")).cast("array<string>"), ",").alias("signature"))
 
 
