@@ -35,10 +35,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; rows without an id stay."""
+    """Documents that hold a window of a benchmark item go; each row has its own decision, with or without an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.find_contamination(docs, items).where(F.col("n_hit") > 0).select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), F.coalesce("text", F.lit("")))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    hit = decontaminate.find_contamination(docs.select(key.alias("doc_id"), "text"), items).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("key"))
+    return rows.join(hit, "key", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
