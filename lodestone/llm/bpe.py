@@ -11,6 +11,7 @@ white space are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -25,8 +26,11 @@ VOCABULARY = "byte_bpe_50k.json"
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A piece that the pre-tokenizer surely keeps whole.
 ONE_WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
-SLOTS = 1 << 22
-MOST = 1 << 21
+#: Places of the table of known pieces, and pieces after which it starts anew: about 40 MB a worker.
+SLOTS = 1 << 20
+MOST = 1 << 19
+#: Bytes of text that are encoded at once: the arrays beside them take about a hundred times that.
+AT_ONCE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -66,11 +70,8 @@ class Encoder:
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.merge = self.tokenizer.model.tokenize
         # whole-text normalizing isn't piecewise, nor are pre-tokenizers that look back
-        import json
-
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.piecewise = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.piecewise = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         rng = np.random.default_rng(20)
         self.table, self.table2 = (rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
         self.space = np.zeros(256, bool)
@@ -94,7 +95,7 @@ class Encoder:
 
     def _powered(self, n: int) -> None:
         if n > self.room:
-            self.room = max(n, 1 << 20)
+            self.room = max(n, AT_ONCE + 1)
             self.up, self.up2 = _powers(BASE, self.room), _powers(BASE2, self.room)
             self.down, self.down2 = (_powers(np.uint64(pow(int(b), -1, 1 << 64)), self.room) for b in (BASE, BASE2))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
@@ -130,19 +131,39 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a piece holds about ``most`` bytes of text (one row at least)."""
+#: Bytes of text that an operator takes out of Arrow at once.
+SLICE = 1 << 20
+_TRIM: list = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if not _TRIM:
+        try:
+            _TRIM.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _TRIM.append(lambda _: 0)
+    _TRIM[0](0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a piece holds about ``most`` bytes of text (one row at least).
+
+    Memory that an input batch took goes back to the system once its pieces are done.
+    """
     for b in batches:
         if not b.num_rows:
             continue
-        size = np.diff(utf8(b.column(text))[1])
-        start, held = 0, 0
-        for i, s in enumerate(size):
-            if held and held + s > most:
-                yield b.slice(start, i - start)
-                start, held = i, 0
-            held += int(s)
-        yield b.slice(start)
+        ends = np.cumsum(np.diff(utf8(b.column(text))[1]))
+        start = 0
+        while start < len(ends):
+            base = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+        del b, ends
+        give_back()
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

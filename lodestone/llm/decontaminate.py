@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, plain
+from lodestone.llm.common import cut, plain, slices
 
 #: Words of the decontamination contract, after lower-casing A-Z only.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -162,7 +162,7 @@ def _rarity(docs: DataFrame, shared) -> dict[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         sums = {k: np.zeros(len(a), np.int64) for k, a in index.all.items()}
-        for b in batches:
+        for b in slices(batches):
             for raw in b.column("text").cast(pa.binary()).to_pylist():
                 for k, at in index.counts(index.ids(raw)):
                     np.add.at(sums[k], at, 1)
@@ -191,7 +191,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     def found_in(rows: DataFrame, shared, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for b in batches:
+            for b in slices(batches):
                 n, found, spans = [], [], []
                 for raw, names, old in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("items").to_pylist(), b.column("spans").to_pylist(), strict=True):
                     ids = index.ids(raw)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, partitions_for, plain
+from lodestone.llm.common import cut, partitions_for, plain, slices
 from lodestone.llm.simhash import LOWER
 from lodestone.llm.spans import NO_ID
 from lodestone.operators.graph import connected_components
@@ -128,7 +128,7 @@ def buckets(texts: DataFrame) -> DataFrame:
     """bucket, h: the members of each bucket with more than one text, each set of members once. ``texts``: h, text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys = [bands(minima(shingles(t))) for t in b.column("text").to_pylist()]
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(b.column("h").to_numpy(), BANDS))], names=["band", "h"])

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from lodestone.llm.common import slices
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOL = re.compile("[#*$%&|<>]")
 #: Phrases of boilerplate lines, lower case.
@@ -120,7 +122,7 @@ def clean(docs: DataFrame, most_lost: float = MOST_LOST, least_words: int = LEAS
         return *figures, base_failed, reason is None, reason, len(lines), len(lines) - len(left), lost, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t or "") for t in b.column("text").to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * 12
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True)), b.column("rest")], names=[*names, "rest"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, plain
+from lodestone.llm.common import cut, plain, slices
 from lodestone.operators.graph import connected_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp long (the 64 bits as a signed number) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 

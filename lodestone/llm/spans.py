@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from lodestone.llm.common import slices
+
 #: Stands for a null doc_id in keys.
 NO_ID = -(1 << 63)
 KEY = ["doc", "h"]
@@ -54,7 +56,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     kind = "array<struct<start:long,end:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             size, removed, count, kept, names = [], [], [], [], []
             for text, own in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 raw, at, parts, gone = text.encode(), 0, [], 0
