@@ -5,8 +5,8 @@ hashes places its ids wherever the piece occurs again. Pieces are cut at white s
 where the tokenizer's own pre-tokenizer cuts too, so ids equal those of whole-text encoding:
 before a run of ASCII white space and before the last character of a run that a word follows,
 after that character if it isn't a space, and between a Latin letter or digit and ASCII
-punctuation (not after an apostrophe). Texts with other
-white space are encoded whole.
+punctuation (not after an apostrophe). Texts with other white space, or with the string of an
+added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -66,12 +66,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.merge = self.tokenizer.model.tokenize
         # whole-text normalizing isn't piecewise, nor are pre-tokenizers that look back
         pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.piecewise = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         rng = np.random.default_rng(20)
         self.table, self.table2 = (rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
         self.space = np.zeros(256, bool)
@@ -152,6 +152,12 @@ class Encoder:
             hit = np.flatnonzero(self.odd[data])
             for r in np.unique(np.searchsorted(offsets, hit, side="right") - 1):
                 whole[r] = OTHER_SPACE.search(data[offsets[r] : offsets[r + 1]].tobytes().decode()) is not None
+            raw = data.tobytes()
+            for token in self.added:
+                at = raw.find(token)
+                while at >= 0:  # a match across two texts only costs speed
+                    whole[np.searchsorted(offsets, at, side="right") - 1] = True
+                    at = raw.find(token, at + 1)
         parts, counts = self._pieces(data, offsets, whole)
         if end is None and not whole.any():
             return parts, np.concatenate([[0], np.cumsum(counts)])
