@@ -62,9 +62,17 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
     finally:
         out.close()
-    fs.delete(final, False)
-    if not fs.rename(temp, final):
-        raise OSError(f"could not commit {path}")
+    replace(spark, str(temp), path)
+
+
+def replace(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file over another: readers see the one or the other (atomic where the file system's rename is)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    _, a = hadoop(spark, old)
+    _, b = hadoop(spark, new)
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b, how)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
@@ -89,15 +97,17 @@ def scan(
     Rows are range-partitioned and sorted by ``order`` and cut there; one number for each
     partition goes to the driver and returns as offsets, so memory is bounded by the
     partition count. ``step(batch, state)`` sees each sorted batch with
-    ``state["base"]`` = sum (or count, if ``value`` is None) over all earlier rows.
+    ``state["base"]`` = sum (or count, if ``value`` is None) over all earlier rows, and
+    ``state["row"]`` = their count.
     """
     n = partitions_for(df)
     flat = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()))
     total = F.count(F.lit(1)) if value is None else F.coalesce(F.sum(value), F.lit(0))
-    sums = {r["__pid"]: int(r["t"]) for r in flat.groupBy("__pid").agg(total.cast("long").alias("t")).collect()}
-    base, at = {}, 0
+    sums = {r["__pid"]: (int(r["t"]), r["n"]) for r in flat.groupBy("__pid").agg(total.cast("long").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    base, at, row = {}, 0, 0
     for pid in sorted(sums):
-        base[pid], at = at, at + sums[pid]
+        base[pid] = at, row
+        at, row = at + sums[pid][0], row + sums[pid][1]
     fixed = state or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +116,10 @@ def scan(
             if not b.num_rows:
                 continue
             if "base" not in own:
-                own["base"] = base[b.column("__pid")[0].as_py()]
+                own["base"], own["row"] = base[b.column("__pid")[0].as_py()]
             out = step(b, own)
             own["base"] += b.num_rows if value is None else int(np.sum(b.column(value).to_numpy(zero_copy_only=False)))
+            own["row"] += b.num_rows
             yield out
 
     return flat.mapInArrow(run, schema)

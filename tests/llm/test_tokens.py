@@ -1,5 +1,6 @@
 """Encoding, the token store and packing against plain Python."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -7,10 +8,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lodestone.llm import packing, token_store
-from lodestone.llm.bpe import Encoder
-from lodestone.llm.common import exists, shared_path
+from lodestone.llm.bpe import Encoder, vocabulary_path
+from lodestone.llm.common import exists, read_json, shared_path
 
 TEXTS = [None, "", "a", "Hello world.  Two  spaces\n\n\ttabs it's l'été — dash 12ab", "x  　 y", "<|endoftext|> a \x1c b\r\n", "word " * 3000, "word " * 3000, "ü" * 50]
 ROWS = [(i if i != 3 else None, t, f"k{i}") for i, t in enumerate(TEXTS)] + [(8, "ü" * 50, "again"), (8, "ü" * 50, "again")]
@@ -20,8 +22,11 @@ def frame(spark, rows=ROWS):
     return spark.createDataFrame(rows, "doc_id long, text string, `__pid` string")
 
 
+TOKENIZER = Tokenizer.from_file(vocabulary_path())
+
+
 def ids(text, end):
-    return Encoder.of().encode(text or "").tolist() + [end]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 @settings(max_examples=300, deadline=None)
@@ -48,24 +53,110 @@ def test_store_round_trip(spark):
     assert got == {(k, s): x for k, s, x in want}
     sums = {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_checksums(spark, store).collect()}
     assert sums == {(k, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, s, x in want}
-    chunks = spark.read.parquet(f"{store}/chunks")
+    chunks = spark.read.parquet(f"{at_version(spark, store)}/chunks")
     assert chunks.count() == chunks.select("key").distinct().count() < sum(len(token_store.cut_points(np.array(x))) for _, _, x in want)
 
 
-def test_store_finds_missing_chunks(spark):
+def at_version(spark, store):
+    return f"{store}/{read_json(spark, f'{store}/manifest.json')['version']}"
+
+
+RECIPES = "doc_id long, nth long, start long, n_tokens long, digests array<binary>, root binary"
+
+
+def lost(rows):
+    return rows[1:]
+
+
+def doubled(rows):
+    return rows + rows[-1:]
+
+
+def reordered(rows):
+    return [*rows[:-1], rows[-1] | {"digests": rows[-1]["digests"][::-1]}]
+
+
+def other_root(rows):
+    return [rows[0] | {"root": bytes(32)}, *rows[1:]]
+
+
+def other_order(rows):
+    return [rows[0] | {"nth": rows[1]["nth"]}, rows[1] | {"nth": rows[0]["nth"]}, *rows[2:]]
+
+
+def renamed(rows):
+    return [*rows[:-1], rows[-1] | {"doc_id": 99}]
+
+
+@pytest.mark.parametrize("change", [lost, doubled, reordered, other_root, other_order, renamed])
+def test_store_finds_altered_recipes(spark, change):
+    store = shared_path(spark, "store")
+    words = " ".join(f"w{i * i}" for i in range(20_000))
+    token_store.write(frame(spark, [(1, "a", ""), (2, "b c", ""), (3, words, "")]), store)
+    at = f"{at_version(spark, store)}/recipes"
+    rows = [r.asDict() for r in spark.read.parquet(at).orderBy("nth").collect()]
+    assert len(rows[-1]["digests"]) > 2
+    spark.createDataFrame([tuple(r[k.split()[0]] for k in RECIPES.split(", ")) for r in change(rows)], RECIPES).coalesce(1).write.mode("overwrite").parquet(at)
+    for read in (token_store.read_checksums, token_store.read_documents):
+        with pytest.raises(Exception, match="aren't those of its manifest|is altered"):
+            read(spark, store).collect()
+
+
+@pytest.mark.parametrize("read", [token_store.read_checksums, token_store.read_documents])
+def test_store_finds_lost_and_altered_chunks(spark, read):
+    store = shared_path(spark, "store")
+    token_store.write(frame(spark), store)
+    at = f"{at_version(spark, store)}/chunks"
+    held = [tuple(r) for r in spark.read.parquet(at).select("key", "n", "data").orderBy("key").collect()]
+    for kept, says in ((held[1:], "missing"), ([(held[0][0], *held[1][1:]), *held[1:]], "altered")):
+        spark.createDataFrame(kept, "key binary, n long, data binary").write.mode("overwrite").parquet(at)
+        with pytest.raises(Exception, match=says):
+            read(spark, store).collect()
+
+
+def test_root_is_that_of_the_list(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), " ".join(f"w{x}" for x in rng.integers(0, 99, 5)), "") for k in rng.integers(0, 30, 45)] + [(None, "x", ""), (None, None, "")]
+    found = set()
+    for n, fold in ((2, 14), (7, 3), (51, 1)):
+        monkeypatch.setattr(token_store, "FOLD", fold)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            store = shared_path(spark, "store")
+            token_store.write(frame(spark, rows), store)
+            found.add(read_json(spark, f"{store}/manifest.json")["root"])
+            if n == 7:
+                stored = spark.read.parquet(f"{at_version(spark, store)}/recipes").orderBy("nth").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    level = [token_store.leaf(r.doc_id, r.start, r.n_tokens, bytes(r.root)) for r in stored]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert found == {level[0].hex()}
+
+
+def test_store_written_again(spark, monkeypatch):
     store = shared_path(spark, "store")
     token_store.write(frame(spark), store)
-    kept = spark.read.parquet(f"{store}/chunks").select("key", "n", "data").orderBy("key").collect()[1:]
-    spark.createDataFrame(kept, "key binary, n long, data binary").write.mode("overwrite").parquet(f"{store}/chunks")
-    with pytest.raises(Exception, match="missing"):
-        token_store.read_checksums(spark, store).collect()
+    before = {tuple(r) for r in token_store.read_checksums(spark, store).collect()}
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(token_store, "write_json", broken)
+        with pytest.raises(OSError, match="lost"):
+            token_store.write(frame(spark, ROWS[:3]), store)
+    assert {tuple(r) for r in token_store.read_checksums(spark, store).collect()} == before
+    token_store.write(frame(spark, ROWS[:3]), store)
+    assert token_store.read_checksums(spark, store).count() == 3
 
 
 def test_store_of_nothing(spark):
     store = shared_path(spark, "store")
     assert not exists(spark, store)
     token_store.write(frame(spark, []), store)
-    assert token_store.read_checksums(spark, store).count() == 0
+    assert token_store.read_checksums(spark, store).count() == token_store.read_documents(spark, store).count() == 0
 
 
 def test_chunks_resist_shifts():
