@@ -26,9 +26,9 @@ VOCABULARY = "byte_bpe_50k.json"
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A piece that the pre-tokenizer surely keeps whole.
 ONE_WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
-#: Places of the table of known pieces, and pieces after which it starts anew: about 40 MB a worker.
-SLOTS = 1 << 20
-MOST = 1 << 19
+#: Places of the table of known pieces, and pieces after which it starts anew: about 80 MB a worker.
+SLOTS = 1 << 21
+MOST = 1 << 20
 #: Bytes of text that are encoded at once: the arrays beside them take about a hundred times that.
 AT_ONCE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -128,6 +128,8 @@ for _ in range(63):
 
 def crc32_join(first: int, second: int, n: int) -> int:
     """CRC-32 of two byte strings one after the other, n: length of the second."""
+    if not first:  # nothing to carry on
+        return second
     k = 0
     while n:
         if n & 1:
