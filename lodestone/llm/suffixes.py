@@ -5,11 +5,12 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts any
 1. Anchors. Every window of LENGTH bytes has an anchor: the leftmost of its grams (GRAM bytes)
    with the least hash. Equal windows have equal anchors at equal places, so windows of
    different grams need no comparison. Neighbouring windows with the same anchor make a row: a
-   context. Copies of a context collapse (within batches before the shuffle, then by group):
-   all their windows repeat.
+   context, named by the BLAKE2b digest (128 bits) of its bytes. Copies of a context collapse
+   (within batches before the shuffle, then by group): all their windows repeat.
 2. Contexts that share a gram but differ are the candidates. Only they are fetched as bytes, split
    by where the anchor lies into classes whose windows have all but CLASS bytes in common, and
-   grouped by a hash of those common bytes.
+   grouped by a hash of those common bytes. A gram in more than HOT differing contexts gets classes
+   of HOT_CLASS places, so that its surroundings part its candidates into many groups.
 3. Groups of at least two are concatenated and their suffix array is built by two-stage
    sorting: suffixes smaller than their successors are sorted directly, all others are induced
    by one scan over the buckets of first bytes. Windows repeat where the common prefix of
@@ -18,6 +19,7 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts any
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import plain, shared_path, slices, utf8
+from lodestone.llm.common import cut, partitions_for, plain, shared_path, slices, utf8
 from lodestone.llm.spans import KEY, keyed, merged, without_spans
 
 LENGTH, GRAM = 200, 48
 #: Anchor places in a window, in four classes.
 REACH = LENGTH - GRAM + 1
 CLASS = -(-REACH // 4)
+#: Differing contexts of a gram beyond which its candidates are split by their surroundings, and the places of such a class.
+HOT, HOT_CLASS = 2048, 3
 #: Bytes of candidates that are sorted at once (a group isn't divided).
 SORT_BYTES = 1 << 20
 BLOCK = 1 << 20
@@ -87,7 +91,8 @@ def window_minima(v: np.ndarray, width: int) -> np.ndarray:
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, first window, windows, place of the anchor in the first window, gram, x1, x2) of each context.
 
-    gram hashes the anchor's gram; (x1, x2) hashes all bytes of the context's windows, and the place.
+    gram hashes the anchor's gram; (x1, x2) is a digest of all bytes of the context's windows, which
+    decide the place of the anchor too.
     """
     out = []
     n = len(data)
@@ -96,9 +101,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     for a in range(0, n - LENGTH + 1, BLOCK):
         part = data[a : a + BLOCK + LENGTH - 1]
         s = np.arange(len(part) - LENGTH + 1)
-        h1, h2 = Hashes(part, B1, T1), Hashes(part, B2, T2)
         g = np.arange(len(part) - GRAM + 1)
-        v = mixed(h1.of(g, g + GRAM))
+        v = mixed(Hashes(part, B1, T1).of(g, g + GRAM))
         anchor = window_minima(v, REACH)
         ok = ends[a + s] - (a + s) >= LENGTH
         row = np.searchsorted(offsets, a + s, side="right") - 1
@@ -109,8 +113,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         first, count = first[keep], count[keep]
         place = anchor[first] - first
         z = first + count - 1 + LENGTH
-        salt = place.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + count.astype(np.uint64)
-        out.append((row[first], a + first - offsets[row[first]], count, place, v[anchor[first]].view(np.int64), mixed(h1.of(first, z) + salt).view(np.int64), mixed(h2.of(first, z) + salt).view(np.int64)))
+        raw, name = part.tobytes(), hashlib.blake2b
+        names = np.frombuffer(b"".join([name(raw[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), z.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+        out.append((row[first], a + first - offsets[row[first]], count, place, v[anchor[first]].view(np.int64), names[:, 0], names[:, 1]))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(7))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -119,6 +124,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 #: kind 0: a context to compare, 1: windows known to repeat. many: copies of it are known.
 CONTEXT = "to long, kind int, gram long, x1 long, x2 long, doc long, h long, first long, windows int, place int, many boolean"
 NAMES = ["to", "kind", "gram", "x1", "x2", "doc", "h", "first", "windows", "place", "many"]
+OUT = ["gram", *NAMES[5:]]
+FOUND = "kind int, gram long, doc long, h long, first long, windows int, place int, many boolean"
 
 
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,28 +161,15 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, gram, x1, x2). Out: windows that repeat (kind 1), candidates (kind 0).
 
-    A gram's rows may span batches: its different contexts are held, one row each.
+    Copies of a context are neighbours, and so are the contexts of a gram: only the last context waits
+    for the next batch, so memory doesn't grow with a gram.
     """
-    held: dict[str, np.ndarray] | None = None
-
-    def settle(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-        """(one row for each context, rows whose windows are now known to repeat)."""
-        start, of = _groups(rows["gram"], rows["x1"], rows["x2"])
-        size = np.diff(np.concatenate([start, [len(of)]]))
-        repeat = (size > 1)[of] & ~rows["many"]
-        many = np.maximum.reduceat(rows["many"].astype(np.int8), start).astype(bool) | (size > 1)
-        one = {k: c[start] for k, c in rows.items()} | {"many": many}
-        return one, {k: c[repeat] for k, c in rows.items()}
-
-    def candidates(one: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        start, of = _groups(one["gram"])
-        size = np.diff(np.concatenate([start, [len(of)]]))
-        keep = (size > 1)[of]
-        return {k: c[keep] for k, c in one.items()}
+    last: dict[str, np.ndarray] | None = None  # the last context, one row
+    shared = False  # whether its gram had another context before
 
     def batch(rows: dict[str, np.ndarray], kind: int) -> pa.RecordBatch:
         n = len(rows["doc"])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(rows[c]) for c in NAMES[5:])], names=["kind", *NAMES[5:]])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(rows[c]) for c in OUT)], names=["kind", *OUT])
 
     for b in batches:
         if not b.num_rows:
@@ -185,53 +179,64 @@ def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         if known.any():
             yield batch({k: c[known] for k, c in rows.items()}, 1)
         rows = {k: c[~known] for k, c in rows.items()}
-        if held is not None:
-            rows = {k: np.concatenate([held[k], c]) for k, c in rows.items()}
         if not len(rows["doc"]):
             continue
-        one, repeat = settle(rows)
-        if len(repeat["doc"]):
-            yield batch(repeat, 1)
-        last = one["gram"] == one["gram"][-1]
-        held = {k: c[last] for k, c in one.items()}
-        done = candidates({k: c[~last] for k, c in one.items()}) if not last.all() else None
-        if done is not None and len(done["doc"]):
-            yield batch(done, 0)
-    if held is not None and len(held["doc"]) > 1:
-        yield batch(held, 0)
-
-
-FOUND = "kind int, doc long, h long, first long, windows int, place int, many boolean"
+        if last is not None:
+            rows = {k: np.concatenate([last[k], c]) for k, c in rows.items()}
+        start, of = _groups(rows["gram"], rows["x1"], rows["x2"])
+        size = np.diff(np.concatenate([start, [len(of)]]))
+        repeat = (size > 1)[of] & ~rows["many"]
+        if repeat.any():
+            yield batch({k: c[repeat] for k, c in rows.items()}, 1)
+        many = np.maximum.reduceat(rows["many"].astype(np.int8), start).astype(bool) | (size > 1)
+        one = {k: c[start] for k, c in rows.items()} | {"many": many}
+        first, gram = _groups(one["gram"])
+        differ = np.diff(np.concatenate([first, [len(gram)]])) > 1
+        differ[0] |= shared
+        keep = differ[gram]
+        shared, keep[-1] = bool(differ[-1]), False
+        if keep.any():
+            yield batch({k: c[keep] for k, c in one.items()}, 0)
+        last = {k: c[-1:] for k, c in one.items()}
+    if last is not None and shared:
+        yield batch(last, 0)
+
+
 CANDIDATE = "k1 long, k2 long, doc long, h long, first long, windows int, many boolean, data binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of candidates, by class of the anchor's place, with a hash of what a class has in common."""
+    """The bytes of candidates, by class of the anchor's place, with a hash of what a class has in common.
+
+    Of equal bytes in a batch one goes on for all; the others are windows that repeat (data is null).
+    """
     names = ["k1", "k2", "doc", "h", "first", "windows", "many", "data"]
-    for b in batches:
-        out = {k: [] for k in names}
+    types = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary()]
+    for b in slices(batches):
+        rows, seen = [], {}
         for doc, h, text, own in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "text", "own")), strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            h1, h2 = Hashes(raw, B1, T1), Hashes(raw, B2, T2)
+            raw = text.encode()
+            flat = np.frombuffer(raw, np.uint8)
+            part = []  # (anchor, first window, last window + 1, class, width, many)
             for x in own:
-                at = x["first"] + x["place"]
-                low = x["first"]
+                at, low, width = x["first"] + x["place"], x["first"], HOT_CLASS if x["hot"] else CLASS
                 while low < x["first"] + x["windows"]:
-                    c = (at - low) // CLASS
-                    high = min(x["first"] + x["windows"], at - c * CLASS + 1)  # windows low..high-1 have their anchor in class c
-                    a, z = at - c * CLASS, at + LENGTH - min((c + 1) * CLASS - 1, REACH - 1)
-                    a, z = np.array([a]), np.array([z])
-                    out["k1"].append(int(mixed(h1.of(a, z) + np.uint64(c)).view(np.int64)[0]))
-                    out["k2"].append(int(mixed(h2.of(a, z) + np.uint64(c)).view(np.int64)[0]))
-                    out["doc"].append(doc)
-                    out["h"].append(h)
-                    out["first"].append(low)
-                    out["windows"].append(high - low)
-                    out["many"].append(x["many"])
-                    out["data"].append(raw[low : high - 1 + LENGTH].tobytes())
+                    c = (at - low) // width
+                    high = min(x["first"] + x["windows"], at - c * width + 1)  # windows low..high-1 have their anchor in class c
+                    part.append((at, low, high, c, width, x["many"]))
                     low = high
-        types = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, types, strict=True)], names=names)
+            at, low, high, c, width, many = (np.array(v) for v in zip(*part, strict=True))
+            a, z = at - c * width, at + LENGTH - np.minimum((c + 1) * width - 1, REACH - 1)
+            salt = (width * LENGTH + c).astype(np.uint64)
+            k1, k2 = (mixed(hashes.of(a, z) + salt).view(np.int64).tolist() for hashes in (Hashes(flat, B1, T1), Hashes(flat, B2, T2)))
+            for i, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+                row = [k1[i], k2[i], doc, h, x, y - x, bool(many[i]), raw[x : y - 1 + LENGTH]]
+                first = seen.setdefault((k1[i], k2[i], row[7]), row)
+                if first is not row:
+                    first[6] = True
+                    row[0], row[7] = h ^ doc, None
+                rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -258,20 +263,33 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     first_b = np.cumsum(b_counts) - b_counts
     sa[np.repeat(tails - first_b, b_counts) + np.arange(len(order))] = order
     # the last suffix is of type A and smaller than all others of its bucket
-    head, out = heads.tolist(), sa.tolist()
-    out[head[t[n - 1]]] = n - 1
+    head = heads.copy()
+    sa[head[t[n - 1]]] = n - 1
     head[t[n - 1]] += 1
     # bucket of the suffix before each, -1 where that one is of type B or there is none
-    before = np.full(n, -1, np.int64)
-    before[1:] = np.where(type_b[:-1], -1, t[:-1].astype(np.int64))
-    before = before.tolist()
-    for x in out:  # filled ahead of the scan
-        c = before[x]
-        if c >= 0:
-            at = head[c]
-            out[at] = x - 1
-            head[c] = at + 1
-    return np.array(out, np.int64)
+    before = np.full(n, -1, np.int16)
+    before[1:] = np.where(type_b[:-1], -1, t[:-1].astype(np.int16))
+
+    def induce(low: int, high: int) -> None:
+        """The scan over places low to high: what they induce goes behind what their buckets hold, in order."""
+        x = sa[low:high]
+        to = before[x]
+        x, to = x[to >= 0] - 1, to[to >= 0]
+        if len(x):
+            by = np.argsort(to, kind="stable")
+            x, to = x[by], to[by]
+            first, _ = _groups(to)
+            size = np.diff(np.concatenate([first, [len(to)]]))
+            sa[np.repeat(head[to[first]] - first, size) + np.arange(len(to))] = x
+            head[to[first]] += size
+
+    for c in np.flatnonzero(counts).tolist():
+        at = heads[c]
+        while at < head[c]:  # runs of one byte induce into their own bucket, ahead of the scan
+            at, upto = head[c], at
+            induce(upto, at)
+        induce(tails[c], heads[c] + counts[c])
+    return sa
 
 
 def _words(padded: np.ndarray) -> np.ndarray:
@@ -367,6 +385,9 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         columns = [b.column(c).to_pylist() for c in names]
         for k, *r in zip(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True), *columns, strict=True):
+            if r[5] is None:  # its equal went on for it
+                ready.append(tuple(r[:4]))
+                continue
             if k != key:
                 if len(group) > 1:
                     held += group.values()
@@ -395,13 +416,16 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, h, spans array<struct<start, end>>: maximal runs of bytes to remove, of documents that have any."""
-    spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, n = docs.sparkSession, partitions_for(docs)
     rows = keyed(docs)
     found = rows.mapInArrow(_find_contexts, CONTEXT).repartition(n, "to").sortWithinPartitions("kind", "gram", "x1", "x2").mapInArrow(_compare_contexts, FOUND)
     at = shared_path(spark, "contexts")
     found.write.parquet(at)  # narrow: repeats and candidates only
     found = spark.read.schema(FOUND).parquet(at)
-    own = found.where("kind = 0").groupBy(*KEY).agg(F.collect_set(F.struct("first", "windows", "place", "many")).alias("own"))
+    candidates = found.where("kind = 0")
+    hot = cut(candidates.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot")))
+    candidates = candidates.join(hot, "gram", "left").withColumn("hot", F.col("hot").isNotNull()) if hot.head(1) else candidates.withColumn("hot", F.lit(False))
+    own = candidates.groupBy(*KEY).agg(F.collect_set(F.struct("first", "windows", "place", "many", "hot")).alias("own"))
     fetched = rows.join(own, KEY).dropDuplicates(KEY).select(*KEY, "text", "own").mapInArrow(_fetch, CANDIDATE)
     sorted_out = fetched.repartition(n, "k1").sortWithinPartitions("k1", "k2").mapInArrow(_sort_groups, "doc long, h long, first long, windows int")
     windows = found.where("kind = 1").select(*KEY, "first", "windows").union(sorted_out)

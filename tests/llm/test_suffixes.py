@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,3 +73,34 @@ def test_blocks(spark, monkeypatch):
     for r, f, p, g in zip(row, first, place, gram, strict=True):
         a = texts[r][f + p : f + p + suffixes.GRAM]
         assert suffixes.mixed(suffixes.Hashes(np.frombuffer(a, np.uint8), suffixes.B1, suffixes.T1).of(np.array([0]), np.array([len(a)]))).view(np.int64)[0] == g
+
+
+def test_hot_gram_with_many_surroundings(spark):
+    """A string of 162 bytes in 3,000 surroundings, some of them equal: split by them, results as by brute force."""
+    hot = prose(162).encode()[:162].decode(errors="ignore").ljust(162, "q")
+    data = [(i, prose(12) + hot + prose(12)) for i in range(2600)]
+    data += [(3000 + i, data[i][1][:12] + hot + data[i][1][-12:] + prose(20)) for i in range(0, 400, 2)]  # windows of 200 bytes in common
+    data += [(4000 + i, prose(40) + data[i][1]) for i in range(1, 200, 2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup(docs).collect()), key=str)
+    want = brute(data)
+    assert got == want and sum(r[2] > 0 for r in want) > 300
+
+
+def test_groups_over_batches():
+    """Contexts of one gram that are parted by batch edges are candidates and copies all the same."""
+    rng = np.random.default_rng(4)
+    n = 200
+    rows = {"to": np.zeros(n, np.int64), "kind": np.zeros(n, np.int32), "gram": np.sort(rng.integers(0, 25, n)), "x1": rng.integers(0, 3, n), "x2": np.zeros(n, np.int64)}
+    rows |= {"doc": np.arange(n), "h": np.zeros(n, np.int64), "first": np.zeros(n, np.int64), "windows": np.ones(n, np.int32), "place": np.zeros(n, np.int32), "many": np.zeros(n, bool)}
+    order = np.lexsort((rows["x1"], rows["gram"]))
+    rows = {k: c[order] for k, c in rows.items()}
+    whole = pa.RecordBatch.from_pydict(rows)
+    for step in (1, 3, 50, n):
+        out = list(suffixes._compare_contexts(whole.slice(i, step) for i in range(0, n, step)))
+        table = pa.Table.from_batches(out).to_pydict()
+        copies, pairs = Counter(zip(rows["gram"], rows["x1"], strict=True)), {(g, x) for g, x in zip(rows["gram"], rows["x1"], strict=True)}
+        repeats = {d for d, k in zip(table["doc"], table["kind"], strict=True) if k == 1}
+        assert repeats == {d for d, g, x in zip(rows["doc"], rows["gram"], rows["x1"], strict=True) if copies[g, x] > 1}
+        of = Counter(g for g, _ in pairs)
+        assert Counter(g for g, k in zip(table["gram"], table["kind"], strict=True) if k == 0) == {g: c for g, c in of.items() if c > 1}
