@@ -2,8 +2,9 @@
 
 Line rules, in order (the first that fails names the reason):
 
-- boilerplate: the line holds a phrase of site furniture or licensing;
-- navigation: a short line of menu words, or a line parted by separators;
+- boilerplate: the line holds a phrase of site furniture or licensing and has at most ``NOTICE``
+  words: prose may mention such a phrase;
+- navigation: a short line of menu words, a line parted by separators, or a line of links;
 - punctuation: a short line without a sentence end, or a line that is mostly symbols.
 
 A document fails if its base figures fail (too few words, too much repetition), if it lost more
@@ -25,7 +26,7 @@ from lodestone.llm.common import slices
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOL = re.compile("[#*$%&|<>]")
-#: Phrases of boilerplate lines, lower case.
+#: Phrases of boilerplate lines, lower case, in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -37,9 +38,33 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "we use cookies",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "lizenziert unter",
+    "nutzungsbedingungen",
+    "wir verwenden cookies",
+    "conditions d'utilisation",
+    "nous utilisons des cookies",
+    "politique de confidentialité",
+    "sous licence",
+    "tous droits réservés",
+    "bajo licencia",
+    "política de privacidad",
+    "términos de uso",
+    "todos los derechos reservados",
+    "utilizamos cookies",
 )
-#: Words of navigation lines, lower case.
-NAVIGATION = ("about", "archive", "back", "blog", "contact", "faq", "help", "home", "login", "menu", "next", "prev", "previous", "register", "search", "share", "sitemap", "skip", "top")
+#: A longer line that holds a phrase is prose about it.
+NOTICE = 24
+#: Words of navigation lines, lower case, in the same languages.
+NAVIGATION = (
+    "about", "archive", "back", "blog", "contact", "faq", "help", "home", "login", "menu", "next", "prev", "previous", "register", "search", "share", "sitemap", "skip", "top",
+    "anmelden", "hilfe", "impressum", "kontakt", "startseite", "suche", "weiter", "zurück",
+    "accueil", "aide", "connexion", "précédent", "recherche", "retour", "suivant",
+    "anterior", "ayuda", "buscar", "contacto", "inicio", "siguiente", "volver",
+)
+#: What a word that is a link holds.
+LINK = ("://", "www.")
 END = re.compile("[.!?…:;\"'»”)\\]。！？]$")
 MOST_LOST = 0.5
 LEAST_WORDS = 50
@@ -57,9 +82,8 @@ def line_reason(line: str) -> str | None:
     if not words:
         return None
     low = line.lower()
-    for phrase in BOILERPLATE:
-        if phrase in low:
-            return "boilerplate"
+    if len(words) <= NOTICE and any(phrase in low for phrase in BOILERPLATE):
+        return "boilerplate"
     if len(words) <= 2 * SHORT:
         bare = [w.strip("|<>«»›‹·•-–—/\\,.:").lower() for w in words]
         if all(not w or w in NAVIGATION for w in bare):
@@ -67,6 +91,8 @@ def line_reason(line: str) -> str | None:
     bars = sum(not w.strip("|<>«»›‹·•") for w in words)
     if bars >= BARS and 4 * bars >= len(words):
         return "navigation"
+    if 2 * sum(any(x in w for x in LINK) for w in words) > len(words):
+        return "navigation"
     if len(words) <= SHORT and not END.search(line.rstrip(" \t\n\v\f\r")):
         return "punctuation"
     if SYMBOL_SHARE * len(SYMBOL.findall(line)) > sum(map(len, words)):

@@ -53,9 +53,10 @@ WITH docs AS (
   SELECT r, k, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM docs)
 ), judged AS (
   SELECT *, len(lw) > 0 AND (
-    regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}')
+    len(lw) <= {quality.NOTICE} AND len(list_filter([{_text(*quality.BOILERPLATE)}], lambda x: contains(lower(line), x))) > 0
     OR len(lw) <= {2 * quality.SHORT} AND len(list_filter(lw, lambda x: trim(x, '|<>«»›‹·•-–—/\,.:') <> '' AND NOT list_contains([{_text(*quality.NAVIGATION)}], lower(trim(x, '|<>«»›‹·•-–—/\,.:'))))) = 0
     OR len(list_filter(lw, lambda x: trim(x, '|<>«»›‹·•') = '')) >= greatest({quality.BARS}, len(lw) / 4.0)
+    OR 2 * len(list_filter(lw, lambda x: {" OR ".join(f"contains(x, '{x}')" for x in quality.LINK)})) > len(lw)
     OR len(lw) <= {quality.SHORT} AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '[.!?…:;"''»”)\]。！？]$')
     OR {quality.SYMBOL_SHARE} * len(regexp_extract_all(line, '[#*$%&|<>]')) > list_sum(list_transform(lw, lambda x: length(x)))
   ) AS fails FROM lines

@@ -46,14 +46,19 @@ def test_verdicts(spark):
     assert rows[1].kept and rows[1].n_lines_removed == 2 and rows[1].clean_text == PROSE + "\n\n" + PROSE.upper()
     assert rows[8].kept and rows[8].clean_text == PROSE and rows[None].kept
     assert {k: rows[k].reason for k in (2, 3, 4, 5, 6, 9)} == {2: "base", 3: "base", 4: "base", 5: "base", 6: "base", 9: "base"}
-    long = " ".join(f"Word{i} cookie policy" for i in range(60))
-    assert clean(frame(spark, [(1, long + "\n" + PROSE)])).first().reason == "lost"
+    notice = "\n".join(f"Word{i} of{i} cookie policy in{i} its{i} ways{i}." for i in range(60))
+    assert clean(frame(spark, [(1, notice + "\n" + PROSE)])).first().reason == "lost"
+    essay = " ".join(f"Word{i} on{i} privacy policy and{i} in{i} chapter{i}." for i in range(60))
+    assert clean(frame(spark, [(1, essay)])).first().kept  # one long line of prose that mentions phrases
 
 
 def test_lines():
     assert line_reason("Home » Blog » Archive") == "navigation"
     assert line_reason("one | two three | four, | five |") == "navigation" and line_reason("a | b and c | d goes on and on and on") is None
     assert line_reason("We use cookies to do things, and more things.") == "boilerplate"
+    assert line_reason("Alle Rechte vorbehalten.") == line_reason("Tous droits réservés, 2020.") == line_reason("Todos los derechos reservados") == "boilerplate"
+    assert line_reason("Startseite | Kontakt") == line_reason("« Précédent · Suivant »") == line_reason("Inicio › Ayuda") == "navigation"
+    assert line_reason("https://a.example/x www.b.example and") == "navigation" and line_reason("See https://a.example/x for the whole of it.") is None
     assert line_reason("stray words") == "punctuation" and line_reason("Ered*** reed*** of###") == "punctuation"
     assert line_reason("") is None and line_reason("Ti.") is None and line_reason("Home is where the heart is, they say") is None
 
