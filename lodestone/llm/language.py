@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, top: int = TOP, train_docs: int = TRAIN_DOCS) -> Mo
     """Profiles from (doc_id, text, lang) rows; rows without text or language teach nothing.
 
     N-grams are counted in all chosen rows, about ``train_docs`` a language (all, where there are no
-    more); only the profiles, ``top`` n-grams a language, go to the driver.
+    more), rows without an id like any other; only the profiles, ``top`` n-grams a language, go to the driver.
     """
     rows = plain(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null")
     many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, top: int = TOP, train_docs: int = TRAIN_DOCS) -> Mo
     for lang, n in many.items():
         if lang not in rare:
             share = F.when(F.col("lang") == lang, F.lit(train_docs / n)).otherwise(share)
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

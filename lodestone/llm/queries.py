@@ -22,7 +22,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in with provisional counts, then are revised; both batches are sent twice."""
+    """All documents come in with provisional counts, then are revised; a base takes both in, and both are sent again."""
     docs, root, version = table(spark, sf_dir, "documents"), shared_path(spark, "token-counts"), "byte_bpe_50k"
     exact = token_counts.count_tokens(docs, version)
     rough = docs.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
@@ -30,6 +30,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         token_counts.commit(token_counts.inserts(rough), root, "provisional")
         token_counts.commit(token_counts.revisions(rough, exact), root, "exact")
+        token_counts.compact(spark, root)
     return token_counts.totals(spark, root)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 
 from lodestone.llm import language, token_counts
 from lodestone.llm.bpe import Encoder
-from lodestone.llm.common import shared_path
+from lodestone.llm.common import hadoop, shared_path
 from lodestone.llm.language import Model, identify_held_out, ngrams, profile
 
 DOCS = [(1, "hello world", "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, "über allen", "de", "b"), (4, "über allen", "de", "b"), (None, "x y z", "en", "b")]
@@ -32,6 +32,41 @@ def test_token_counts(spark):
     assert table() == sums
     assert token_counts.commit(token_counts.deletes(exact.where("source = 'a'")), root, "drop-a")
     assert table() == {k: v for k, v in sums.items() if k[0] != "a"}
+    # bases take committed batches in, generation by generation, and know their ids
+    assert token_counts.compact(spark, root) and not token_counts.compact(spark, root)
+    assert table() == {k: v for k, v in sums.items() if k[0] != "a"}
+    assert not token_counts.commit(token_counts.inserts(rough), root, "load")
+    for batch in ("back-a", "nothing"):
+        assert token_counts.commit(token_counts.inserts(exact.where("source = 'a'" if batch == "back-a" else "false")), root, batch)
+        assert token_counts.compact(spark, root) and table() == sums
+    assert not token_counts.commit(token_counts.inserts(rough), root, "revise") and not token_counts.commit(token_counts.inserts(rough), root, "back-a")
+    assert table() == sums
+    fs, at = hadoop(spark, f"{root}/deltas")
+    assert len(fs.listStatus(at)) <= 2  # older ones are gone
+
+
+def test_two_writers(spark, monkeypatch):
+    """A second writer of a batch, and a second compaction, come in between: each counts once."""
+    rows = spark.createDataFrame([(1, "text", "en", "a")], "doc_id long, text string, lang string, source string")
+    exact, root = token_counts.count_tokens(rows, "v1"), shared_path(spark, "counts")
+    place, told = token_counts.place_new, []
+
+    def late(spark, path, value):
+        monkeypatch.setattr(token_counts, "place_new", place)
+        told.append(token_counts.commit(token_counts.inserts(exact), root, "b") if "/commits/" in path else token_counts.compact(spark, root))
+        return place(spark, path, value)
+
+    monkeypatch.setattr(token_counts, "place_new", late)
+    assert not token_counts.commit(token_counts.inserts(exact), root, "b")
+    monkeypatch.setattr(token_counts, "place_new", late)
+    assert not token_counts.compact(spark, root)
+    assert told == [True, True] and [r.n_docs for r in token_counts.totals(spark, root).collect()] == [1]
+
+
+def test_very_long_text(spark):
+    long = "word and " * 400_000
+    got = token_counts.count_tokens(spark.createDataFrame([(1, long, None, None)], "doc_id long, text string, lang string, source string"), "v1").first()
+    assert (got.n_tokens, got.n_bytes, got.source) == (len(Encoder.of().encode(long)), len(long), None)
 
 
 def test_ngrams():
@@ -64,6 +99,53 @@ def test_held_out_accuracy(spark):
     assert right >= 0.95 * len(tried)
 
 
+def plain_ngrams(text):
+    """Counter of n-grams by regular expressions and strings: words parted by one space."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    joined = " " + " ".join(words) + " " if words else ""
+    out = Counter(c for c in joined if c != " ")
+    for n in (2, 3):
+        out.update(joined[i : i + n] for i in range(len(joined) - n + 1))
+    return out
+
+
+def ranked(counts, top):
+    return sorted(counts, key=lambda g: (-counts[g], number(g)))[:top]
+
+
+def number(gram):
+    out = 0
+    for c in gram:
+        out = out << 21 | (1 if c == " " else ord(c))
+    return out
+
+
+def test_equals_plain_fit_and_predict(spark):
+    """Fit and predict again over strings and dictionaries, with ties, null ids and a very long text."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(None, "ab ab", "zz"), (None, "ba ba", "yy"), (90001, "ab ba", None), (90002, rows[0][1] * 200, "en"), (90003, "!?", "en"), (90004, None, "en"), (90005, "Straße İstanbul", "de")]
+    out = [zlib.crc32(str(k).encode()) % 4 == 2 if k is not None else False for k, _, _ in rows]
+    counts = {}
+    for (_, text, lang), held in zip(rows, out, strict=True):
+        if not held and lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(plain_ngrams(text))
+    profiles = {lang: ranked(c, language.TOP) for lang, c in counts.items() if c}
+    want = []
+    for (k, text, _), held in zip(rows, out, strict=True):
+        own = ranked(plain_ngrams(text), language.TOP)
+        if not own:
+            want.append((k, held, "und", 0.0))
+            continue
+        far = {lang: sum(abs(p.index(g) - i) if g in p else language.TOP for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        want.append((k, held, best, 1 - far[best] / (language.TOP * len(own))))
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source int")
+    got = [tuple(r) for r in identify_held_out(docs).collect()]
+    key = lambda r: (str(r[0]), r[2], r[3])
+    assert [r[:3] for r in sorted(got, key=key)] == [r[:3] for r in sorted(want, key=key)]
+    assert np.allclose([r[3] for r in sorted(got, key=key)], [r[3] for r in sorted(want, key=key)])
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(*d, True) for d in DOCS], "doc_id long, text string, lang string, source string, score boolean")
     assert identify_held_out(docs).count() == len(DOCS)
