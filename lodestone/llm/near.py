@@ -125,13 +125,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """bucket, h: the members of each bucket with more than one text, each set of members once. ``texts``: h, text."""
+    """bucket, h: the members of each bucket with more than one text, each set of members once. ``texts``: h, text.
+
+    Of equal texts that a task reads one is signed, so copies neither move nor cost much.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in slices(batches):
-            keys = [bands(minima(shingles(t))) for t in b.column("text").to_pylist()]
+            keys, names = [], []
+            for i, h in enumerate(b.column("h").to_pylist()):
+                if h not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(h)
+                    names.append(h)
+                    keys.append(bands(minima(shingles(b.column("text")[i].as_py()))))
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(b.column("h").to_numpy(), BANDS))], names=["band", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(names, np.int64), BANDS))], names=["band", "h"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, members = [], []
@@ -167,8 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = cut(rows.select("doc", "h").distinct())
     lone = keys.groupBy("h").agg(F.min(F.struct((F.col("doc") == NO_ID).alias("no_id"), "doc")).alias("least"))
     owner = cut(lone.select("h", "least.*"))  # one row a text
-    texts = rows.join(owner.select("h", "doc"), ["doc", "h"], "left_semi").select("h", "text")
-    met = cut(buckets(texts))
+    met = cut(buckets(rows.select("h", "text")))
     there = rows.join(cut(met.select("h").distinct().join(owner, "h").select("doc", "h")), ["doc", "h"], "left_semi").select("h", "text").dropDuplicates(["h"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
