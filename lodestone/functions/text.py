@@ -253,3 +253,24 @@ def group_details(confidence: Column, members: Column, badges: Column, removals:
         F.lit("This is a "), F.floor(confidence * 100 + 0.5).cast("string"), F.lit("% match of "), members.cast("string"), F.lit(" photos. "), keeper_summary(badges),
         F.lit(" "), counted(removals, "photo"), F.lit(" suggested for removal, "), protected.cast("string"), F.lit(" protected and kept."),
     )
+
+
+# texts for a language model: facts that were worked out before, and nothing else
+
+
+def _facts(badges: Column) -> Column:
+    return F.coalesce(F.nullif(F.replace(badges, F.lit(","), F.lit(", ")), F.lit("")), F.lit("none"))
+
+
+def keeper_prompt(confidence: Column, keeper_badges: Column, removal_badges: Column) -> Column:
+    """Asks why a photo is kept; badges are comma-joined, null or empty where there are none."""
+    return F.concat(
+        F.lit("A group of similar photos matches at "), F.floor(confidence * 100 + 0.5).cast("int").cast("string"),
+        F.lit(" percent. Facts about the photo to keep: "), _facts(keeper_badges), F.lit(". Facts about the others: "), _facts(removal_badges),
+        F.lit(". Say in one friendly sentence why that photo is kept. Use these facts only."),
+    )
+
+
+def cleanup_prompt(groups: Column, reviewable: Column, favorites: Column, live: Column, people: Column) -> Column:
+    """Asks for a summary of a scan's tallies."""
+    return F.format_string("A scan found %d groups of similar photos and proposes %d photos for review. It protects %d favorites, %d Live Photos and %d photos with people. Sum this up in one or two friendly sentences with these numbers only; nothing was deleted.", groups, reviewable, favorites, live, people)

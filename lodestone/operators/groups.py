@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
-from lodestone.operators.graph import connected_components, cut
+from lodestone.operators.graph import connected_components
+from lodestone.sources.tables import cut
 
 #: Rows of a block that one task compares with as many others; larger blocks are tiled.
 TILE = 4096

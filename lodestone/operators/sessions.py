@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
 from lodestone.operators import groups as G
-from lodestone.operators.graph import cut
+from lodestone.sources.tables import cut
 
 GAP_S, GAP_M = 1800.0, 150.0
 BURST_S, PASS_S = 30.0, 1200.0
@@ -84,3 +84,14 @@ def session_stats(roles: DataFrame, library: str = "library_id") -> DataFrame:
     """One row: sessions, best shots, protected, redundant."""
     n = roles.agg(F.countDistinct(library, "session").alias("clusters"), *[F.count_if(F.col("role") == r).alias(r) for r in ("best", "protected", "redundant")])
     return n
+
+
+#: A stored session.
+RECORD = "library_id long, session long, session_type string, start_ts timestamp, end_ts timestamp, n_best long, n_protected long, n_redundant long"
+
+
+def records(roles: DataFrame, listed: DataFrame, library: str = "library_id") -> DataFrame:
+    """One row a session for the store: its type, times and how many members have each role (none where it has no roles)."""
+    counts = roles.groupBy(library, "session").agg(*[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("best", "protected", "redundant")])
+    out = listed.join(counts, [library, "session"], "left").fillna(0, ["n_best", "n_protected", "n_redundant"])
+    return out.select(F.col(library).cast("long").alias("library_id"), F.col("session").cast("long").alias("session"), "session_type", "start_ts", "end_ts", "n_best", "n_protected", "n_redundant")

@@ -1,10 +1,8 @@
-"""Incremental state: pending work, coverage, upserts, checkpoints and whole-table sinks."""
+"""Incremental state: pending work, coverage, upserts, checkpoints and what is taken out."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.assets import ANALYSIS_VERSION
@@ -32,10 +30,18 @@ def coverage(targets: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Whole rows by key: the latest by ``order`` wins, a change before a current row of equal order."""
-    rows = current.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__new"))
-    return rows.withColumn("__k", F.row_number().over(last)).where("__k = 1").drop("__k", "__new")
+    """Whole rows by key: the latest by ``order`` wins, a change before a current row of equal order.
+
+    Of changes of equal order the one with the greatest hash of its whole row wins, so the result
+    doesn't depend on how rows are divided.
+    """
+    return latest(current.withColumn("__batch", F.lit(0)).unionByName(changes.withColumn("__batch", F.lit(1)), allowMissingColumns=True), key, order).drop("__batch")
+
+
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key of rows with ``__batch``: the latest by ``order``, then by batch, then by a hash of the row."""
+    by = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__batch"), F.desc(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != "__batch"])))
+    return rows.withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__k")
 
 
 def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
@@ -48,28 +54,6 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Replace a table in one step: written beside it, then renamed over it.
-
-    ``df`` may read the old table. A reader sees the old or the new table; a crash leaves the old one.
-    """
-    spark = df.sparkSession
-    temp, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(temp)
-    fs, final = _path(spark, path)
-    if fs.exists(final):
-        fs.rename(final, _path(spark, old)[1])
-    if not fs.rename(_path(spark, temp)[1], final):
-        raise OSError(f"could not replace {path}")
-    fs.delete(_path(spark, old)[1], True)
-    spark.catalog.refreshByPath(path)  # what was cached of the old table
-
-
-def _path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def append_album(keepers: DataFrame, title: str, path: str) -> int:
     """Add keepers to an album's rows; the number added (nothing is written for none)."""
     rows = keepers.where("keeper_id is not null").select(F.lit(title).alias("title"), F.col("keeper_id").alias("asset_id"))
@@ -86,3 +70,13 @@ def deletable(assets: DataFrame, ids: DataFrame) -> DataFrame:
 
 def without_reviewed(table: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:
     return table.join(reviewed.select(key), key, "left_anti")
+
+
+def by_ids(rows: DataFrame, ids: DataFrame | list[int], key: str = "asset_id") -> DataFrame:
+    """The rows of a set of ids, each row once however often its id is asked for; unknown ids bring nothing.
+
+    A list is small by nature and becomes a filter that reaches the scan; a table becomes a semi join.
+    """
+    if isinstance(ids, list):
+        return rows.where(F.col(key).isin(ids))
+    return rows.join(ids.select(key), key, "left_semi")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +13,9 @@ from lodestone.functions import text as T
 from lodestone.operators import groups as G
 from lodestone.operators import images, state
 from lodestone.operators import sessions as N
-from lodestone.operators.graph import cut
 from lodestone.plans.oracles import ORACLES
 from lodestone.sources import assets as A
+from lodestone.sources.tables import BatchLog, cut, read_table, replace_table, shared_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -40,7 +40,7 @@ def stamp(name: str):
 
 @query
 def scan_recent(assets):
-    return A.scan(assets, A.Request(A.Recent(300))).select("asset_id", stamp("capture_ts"))
+    return A.scan(assets, A.Request(A.Recent(300)), in_order=True).select("asset_id", stamp("capture_ts"))
 
 
 @query
@@ -50,12 +50,12 @@ def scan_date_range(assets):
     from datetime import timedelta
 
     request = A.Request(A.DateRange(bounds, end + timedelta(days=40)), A.Options(include_screenshots=False, exclude_favorites=False))
-    return A.scan(assets, request).select("asset_id", stamp("capture_ts"))
+    return A.scan(assets, request, in_order=True).select("asset_id", stamp("capture_ts"))
 
 
 @query
 def scan_album(assets):
-    return A.scan(assets, A.Request(A.Album(3)), A.album_members(assets)).select("asset_id")
+    return A.scan(assets, A.Request(A.Album(3)), A.album_members(assets), in_order=True).select("asset_id")
 
 
 @query
@@ -71,12 +71,12 @@ def album_search(assets):
 
 @query
 def content_filter(assets):
-    return A.scan(assets, A.Request(A.Recent(1 << 30), A.Options(exclude_favorites=False, content_query="Dogs & puppies, gold!"))).select("asset_id")
+    return A.scan(assets, A.Request(A.Everything(), A.Options(exclude_favorites=False, content_query="Dogs & puppies, gold!"))).select("asset_id")
 
 
 @query
 def location_filter(assets):
-    request = A.Request(A.Recent(1 << 30), A.Options(exclude_favorites=False, location_query="bay north", location_lookup=True))
+    request = A.Request(A.Everything(), A.Options(exclude_favorites=False, location_query="bay north", location_lookup=True))
     return A.scan(assets, request, place_table=A.places(assets)).select("asset_id")
 
 
@@ -360,12 +360,128 @@ def checkpoint_latest(assets):
     return state.latest_checkpoint(rows)
 
 
+@query
+def batched_commits(assets):
+    """Two batches of features and a third that is sent twice, with a base in between: the latest row of each asset."""
+    from lodestone.streaming.incremental import latest
+
+    rows = assets.select("asset_id", "sharpness", F.lit(1).cast("long").alias("computed_at"))
+    log = BatchLog(assets.sparkSession, shared_path(assets.sparkSession, "features"), "asset_id long, sharpness double, computed_at long, __batch long")
+    merge = lambda df: latest(df, "asset_id", "computed_at")
+    log.commit(rows.where("asset_id % 2 = 0").withColumn("__batch", F.lit(0).cast("long")), "0")
+    log.compact(merge)
+    log.commit(rows.where("asset_id % 3 = 0").withColumn("sharpness", F.lit(2.0)).withColumn("__batch", F.lit(1).cast("long")), "1")
+    log.compact(merge)
+    for value in (3.0, 4.0):  # the second time it is there
+        log.commit(rows.where("asset_id % 5 = 0").withColumn("sharpness", F.lit(value)).withColumn("computed_at", F.col("asset_id") % 2).withColumn("__batch", F.lit(2).cast("long")), "2")
+    return merge(log.read()).drop("__batch")
+
+
+@query
+def checkpoint_upsert(assets):
+    """Each library's scan begins, and those of even libraries are marked complete later."""
+    begun = assets.groupBy("library_id").agg(F.min("asset_id").alias("updated_at")).select(F.concat(F.lit("recent:"), F.col("library_id").cast("string")).alias("signature"), "updated_at", F.lit(False).alias("is_complete"), "library_id")
+    done = begun.where("library_id % 2 = 0").withColumn("updated_at", F.col("updated_at") + 1).withColumn("is_complete", F.lit(True))
+    return state.upsert(begun, done, "signature", "updated_at").drop("library_id")
+
+
+@query
+def assets_by_id(assets):
+    """Assets of a table of ids, some of them twice, some unknown."""
+    ids = assets.where("asset_id % 7 = 0").select("asset_id")
+    asked = ids.union(ids.where("asset_id % 2 = 0")).union(ids.select(-F.col("asset_id") - 1))
+    return state.by_ids(assets, asked).select("asset_id", "width", "height", A.aspect(F.col("width"), F.col("height")).alias("aspect"))
+
+
+@query
+def cache_scan(assets):
+    """Valid stored analyses of the targets."""
+    features, targets = features_and_targets(assets)
+    return state.by_ids(state.valid(features), targets).select("asset_id", "sharpness")
+
+
+@query
+def browse(assets):
+    """The 300 newest, favorites included."""
+    return A.scan(assets, A.Request(A.Recent(300), A.Options(exclude_favorites=False)), in_order=True).select("asset_id", stamp("capture_ts"))
+
+
+@query
+def deletable(assets):
+    """What the source lets go of the ids that a person confirmed, some of them unknown."""
+    ids = assets.where("asset_id % 3 = 0").select("asset_id")
+    return state.deletable(assets.withColumn("can_delete", ~F.col("is_shared")), ids.union(ids.select(-F.col("asset_id"))))
+
+
+@query
+def stored_groups(assets):
+    """Groups that replace older ones in the store, read back."""
+    spark, at = assets.sparkSession, shared_path(assets.sparkSession, "groups")
+    members = grouped(assets)[1]
+    replace_table(members.where("group_id % 2 = 0"), at)
+    replace_table(members, at)
+    return read_table(spark, at, "group_id long, asset_id long")
+
+
+@query
+def reviewed_groups(assets):
+    """Stored groups without those that were reviewed."""
+    members = grouped(assets)[1]
+    return state.without_reviewed(members, members.where("group_id % 3 = 0").select("group_id").distinct(), "group_id")
+
+
+@query
+def group_by_id(assets):
+    """The members of one group, looked up by its id."""
+    members = grouped(assets)[1]
+    return members.where(F.col("group_id") == members.agg(F.max("group_id").alias("id")).first()["id"])
+
+
+@query
+def album_append(assets):
+    """Keepers that are appended to an album, and no rows from an empty list."""
+    spark, at = assets.sparkSession, shared_path(assets.sparkSession, "albums")
+    best = G.placeholder_keeper(*grouped(assets)[1::-1])
+    state.append_album(best, "Best", at)
+    state.append_album(best.limit(0), "None", at)
+    return spark.read.schema("title string, asset_id long").parquet(at)
+
+
+@query
+def stored_sessions(assets):
+    """Sessions with their roles, written, replaced and read back: the newest first, as records for the sink."""
+    spark, at = assets.sparkSession, shared_path(assets.sparkSession, "sessions")
+    listed, roles = analyzed(assets)
+    roles = cut(roles)
+    for rows in (roles.where("role = 'best'"), roles):
+        replace_table(N.records(rows, listed), at)
+    return read_table(spark, at, N.RECORD).orderBy(F.desc("start_ts"), "library_id", "session").select("library_id", "session", "session_type", stamp("start_ts"), "n_best", "n_protected", "n_redundant")
+
+
+@query
+def request_signatures(assets):
+    """Names of resumable jobs, one a kind of request."""
+    low = datetime(2026, 1, 1, tzinfo=UTC)
+    scopes = [A.Everything(), A.Recent(300), A.DateRange(low, datetime(2026, 1, 31, tzinfo=UTC)), A.Album(7)]
+    options = [A.Options(), A.Options(False, False, "dogs", "paris")]
+    rows = [(f"{i}{j}{k}", A.Request(s, o, kind=k).signature) for i, s in enumerate(scopes) for j, o in enumerate(options) for k in ("duplicates", "sessions")]
+    return assets.sparkSession.createDataFrame(rows, "name string, signature string")
+
+
+@query
+def prompts(assets):
+    """Texts for a language model that explains each keeper, with facts only."""
+    r = ranked_groups(assets)[3]
+    own = keeper_explanations(assets)
+    return own.join(r.where("is_keeper").select("group_id", "confidence"), "group_id").select("group_id", T.keeper_prompt(F.round("confidence", 9), F.col("keeper_badges"), F.col("removal_badges")).alias("prompt"))
+
+
 # requests
 
 
 def requests_table(assets: DataFrame) -> DataFrame:
-    """A request for each scene, put together from words."""
-    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (F.floor(F.col("scene") / by) % len(words) + 1).cast("int"))
+    """A request for each asset, put together from words."""
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (F.floor(F.col("asset_id") / by) % len(words) + 1).cast("int"))
     text = F.concat_ws(
         " ",
         pick(["Find", "hello", "please clean", "Scan my", "show"], 1),
@@ -374,33 +490,32 @@ def requests_table(assets: DataFrame) -> DataFrame:
         pick(["", "carefully", "thorough", "balanced", "drone"], 200),
         pick(["", "no screenshots"], 2),
     )
-    return assets.where("variant = 0").select("scene", F.when(F.col("scene") % 61 == 0, "  ").otherwise(text).alias("text"))
+    return assets.select("asset_id", F.when(F.col("asset_id") % 61 == 0, "  ").otherwise(text).alias("text"))
 
 
 @query
 def nl_parse(assets):
     out = T.parse_requests(requests_table(assets), NOW)
-    return out.select("scene", "mode", "phrase", stamp("start_ts"), stamp("end_ts"), "recent_limit", "include_screenshots", "content_query", "location_query", "sensitivity", "understood", "summary")
+    return out.select("asset_id", "mode", "phrase", stamp("start_ts"), stamp("end_ts"), "recent_limit", "include_screenshots", "content_query", "location_query", "sensitivity", "understood", "summary")
 
 
 @query
 def date_phrases(assets):
-    rows = assets.where("variant = 0 and capture_ts is not null")
-    out = rows
+    out = assets
     for name in T.DATE_PHRASES:
         start, end = T.date_range(F.lit(name), F.col("capture_ts"))
         out = out.withColumn(f"{name}_start", F.date_format(start, "yyyy-MM-dd HH:mm:ss")).withColumn(f"{name}_end", F.date_format(end, "yyyy-MM-dd HH:mm:ss"))
-    return out.select("scene", *[f"{n}_{x}" for n in T.DATE_PHRASES for x in ("start", "end")])
+    return out.select("asset_id", *[f"{n}_{x}" for n in T.DATE_PHRASES for x in ("start", "end")])
 
 
 @query
 def draft_resolve(assets):
     drafts = requests_table(assets).select(
-        "scene", "text", F.when(F.col("scene") % 3 == 0, "aggressive").when(F.col("scene") % 3 == 1, "Safe mode").otherwise("?").alias("draft_mode"),
-        F.element_at(F.array(*map(F.lit, T.PHRASE_WORD)), (F.col("scene") % 6 + 1).cast("int")).alias("draft_phrase"),
-        F.when(F.col("scene") % 2 == 0, " Dogs ").otherwise("none").alias("draft_content"), F.when(F.col("scene") % 5 == 0, "Paris").otherwise(" ").alias("draft_location"), (F.col("scene") % 7 != 0).alias("draft_screenshots"),
+        "asset_id", "text", F.when(F.col("asset_id") % 3 == 0, "aggressive").when(F.col("asset_id") % 3 == 1, "Safe mode").otherwise("?").alias("draft_mode"),
+        F.element_at(F.array(*map(F.lit, T.PHRASE_WORD)), (F.col("asset_id") % 6 + 1).cast("int")).alias("draft_phrase"),
+        F.when(F.col("asset_id") % 2 == 0, " Dogs ").otherwise("none").alias("draft_content"), F.when(F.col("asset_id") % 5 == 0, "Paris").otherwise(" ").alias("draft_location"), (F.col("asset_id") % 7 != 0).alias("draft_screenshots"),
     )
-    return T.resolve_drafts(drafts, NOW).select("scene", "mode", "phrase", "content_query", "location_query", "recent_limit", "summary")
+    return T.resolve_drafts(drafts, NOW).select("asset_id", "mode", "phrase", "content_query", "location_query", "recent_limit", "summary")
 
 
 # images

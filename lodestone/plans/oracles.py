@@ -169,11 +169,11 @@ def _range(phrase: str, now: str) -> tuple[str, str]:
 
 
 def _pick(words: list[str], by: int) -> str:
-    return f"{_list(words)}[((scene//{by}) % {len(words)})::int + 1]"
+    return f"{_list(words)}[((asset_id//{by}) % {len(words)})::int + 1]"
 
 
-REQUESTS = f"""requests as (select scene, case when scene % 61 = 0 then '  ' else concat_ws(' ', {_pick(["Find", "hello", "please clean", "Scan my", "show"], 1)}, {_pick(["photos", "dogs", "photos of beach sunset", "duplicates at Mall of America", ""], 5)},
-  {_pick(["", "last weekend", "from past month", "yesterday", "past weekend", "TODAY", "last year", "this week"], 25)}, {_pick(["", "carefully", "thorough", "balanced", "drone"], 200)}, {_pick(["", "no screenshots"], 2)}) end as text from assets where variant = 0)"""
+REQUESTS = f"""requests as (select asset_id, case when asset_id % 61 = 0 then '  ' else concat_ws(' ', {_pick(["Find", "hello", "please clean", "Scan my", "show"], 1)}, {_pick(["photos", "dogs", "photos of beach sunset", "duplicates at Mall of America", ""], 5)},
+  {_pick(["", "last weekend", "from past month", "yesterday", "past weekend", "TODAY", "last year", "this week"], 25)}, {_pick(["", "carefully", "thorough", "balanced", "drone"], 200)}, {_pick(["", "no screenshots"], 2)}) end as text from assets)"""
 _NOW = "timestamp '2026-06-17 15:30:00'"
 _START, _END = _range("phrase", _NOW)
 _LIMIT = "case when phrase is null then case when location_query is not null then 1000 else 300 end end"
@@ -188,9 +188,9 @@ def _summary(shots: str) -> str:
     return f"""{_capital("mode")} || ' scan of ' || case when phrase is not null then {noun} || ' from ' || {_look_up("phrase", T.SPOKEN_PHRASE)} else 'your ' || ({_LIMIT}) || ' most recent ' || {noun} end || coalesce(' at ' || location_query, '') || ', ' || case when {shots} then 'including screenshots' else 'excluding screenshots' end || '.'"""
 
 
-PARSED = f"""worded as (select scene, text, lower(trim(text)) low, list_filter(regexp_split_to_array(lower(trim(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') words from requests),
+PARSED = f"""worded as (select asset_id, text, lower(trim(text)) low, list_filter(regexp_split_to_array(lower(trim(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') words from requests),
 subjects as (select *, list_filter(words, lambda w: length(w) >= 2 and regexp_matches(w, '\\p{{L}}') and not list_contains({_list(T.SCAN_VERBS + T.OBJECT_NOUNS + T.FILLER)}, w)) own, list_has_any(words, {_list(T.SCAN_VERBS + T.OBJECT_NOUNS)}) framed from worded),
-parsed as (select scene, text, low, {_first("low", T.MODES)} named_mode, coalesce({_first("low", T.MODES)}, 'balanced') as mode, {_first("low", T.DATE_PHRASES)} phrase, not ({" or ".join(f"contains(low, '{w}')" for w in T.NO_SCREENSHOTS)}) include_screenshots,
+parsed as (select asset_id, text, low, {_first("low", T.MODES)} named_mode, coalesce({_first("low", T.MODES)}, 'balanced') as mode, {_first("low", T.DATE_PHRASES)} phrase, not ({" or ".join(f"contains(low, '{w}')" for w in T.NO_SCREENSHOTS)}) include_screenshots,
   case when framed and len(own) > 0 and list_has_all({_list(T.VISUAL_SUBJECTS)}, own) then array_to_string(own, ' ') end content_query, case when framed and len(own) > 0 and not list_has_all({_list(T.VISUAL_SUBJECTS)}, own) then array_to_string(own, ' ') end location_query from subjects)"""
 
 FEATURES = """features as (select asset_id, analysis_version, sharpness from assets where asset_id % 4 <> 0),
@@ -198,7 +198,9 @@ targets as (select asset_id, -asset_id ord from assets where asset_id % 3 <> 1),
 _VISIBLE = "not is_hidden"
 _STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 ALBUMS = "members as (select scene % 10 album_id, concat(case when scene % 20 < 10 then 'Trip ' else 'trip ' end, scene % 10) title, scene % 10 = 9 shared, asset_id from assets), albums as (select album_id, min(title) title, count(*) n_images from members where not shared group by album_id)"
-GRAY = "gray as (select asset_id, scene, variant, list_transform(range(0, {n}), lambda i: ((scene*31 + i*i*(variant+3) + i*17) % 256)::int) px from assets where variant < 2{more})"
+#: Pictures depend on the scene modulo 256 and the variant only: each different one is worked out once.
+GRAY = "gray as (select s, variant, list_transform(range(0, {n}), lambda i: ((s*31 + i*i*(variant+3) + i*17) % 256)::int) px from (select distinct scene % 256 s, variant from assets))"
+SHOWN = "assets join {0} on {0}.s = assets.scene % 256 and {0}.variant = assets.variant"
 
 
 def _s(column: str) -> str:
@@ -248,28 +250,42 @@ ORACLES: dict[str, str] = {
     "pending_work": _with(ASSETS, FEATURES) + "select asset_id, ord from targets anti join valid using (asset_id)",
     "scan_coverage": _with(ASSETS, FEATURES) + "select count(*) n_targets, count(v.asset_id) n_covered, count(*) - count(v.asset_id) n_skipped from targets t left join valid v using (asset_id)",
     "feature_upsert": _with(ASSETS) + "select asset_id, case when asset_id % 3 = 0 and (asset_id % 2 <> 0 or asset_id % 5 <> 0) then exposure else sharpness end sharpness, case when asset_id % 3 = 0 and asset_id % 2 <> 0 and asset_id % 5 = 0 then 0 else 1 end computed_at from assets where asset_id % 2 = 0 or asset_id % 3 = 0",
+    "batched_commits": _with(ASSETS) + "select asset_id, case when asset_id % 5 = 0 and (asset_id % 2 = 1 or not (asset_id % 2 = 0 or asset_id % 3 = 0)) then 3.0 when asset_id % 3 = 0 then 2.0 when asset_id % 2 = 0 then sharpness else 3.0 end::double sharpness, case when asset_id % 2 = 0 or asset_id % 3 = 0 then 1 else asset_id % 2 end::bigint computed_at from assets where asset_id % 2 = 0 or asset_id % 3 = 0 or asset_id % 5 = 0",
+    "checkpoint_upsert": _with(ASSETS) + "select concat('recent:', library_id) signature, min(asset_id) + (library_id % 2 = 0)::int updated_at, library_id % 2 = 0 is_complete from assets group by library_id",
+    "assets_by_id": _with(ASSETS) + "select asset_id, width, height, width/height::double aspect from assets where asset_id % 7 = 0",
+    "cache_scan": _with(ASSETS, FEATURES) + "select asset_id, sharpness from valid where asset_id in (select asset_id from targets)",
+    "browse": _with(ASSETS) + f"select asset_id, {_s('capture_ts')} from assets where {_VISIBLE} order by assets.capture_ts desc nulls last, asset_id limit 300",
+    "deletable": _with(ASSETS) + "select asset_id from assets where asset_id % 3 = 0 and not is_shared",
+    "stored_groups": _with(*GROUPS) + "select group_id, asset_id from members",
+    "reviewed_groups": _with(*GROUPS) + "select group_id, asset_id from members where group_id % 3 <> 0",
+    "group_by_id": _with(*GROUPS) + "select group_id, asset_id from members where group_id = (select max(group_id) from members)",
+    "album_append": _with(*GROUPS) + "select 'Best' title, arg_max(asset_id, row(pixel_count, -asset_id)) asset_id from members join assets using (asset_id) group by group_id",
+    "stored_sessions": _with(*ROLES) + f"select library_id, session, session_type, {_STAMP.format('start_ts')} start_ts, count_if(role = 'best')::bigint n_best, count_if(role = 'protected')::bigint n_protected, count_if(role = 'redundant')::bigint n_redundant from typed join roles using (library_id, session, session_type) group by library_id, session, session_type, typed.start_ts",
+    "request_signatures": "select printf('%d%d', i, j) || kind as name, concat_ws('|', kind, ['all', 'recent:300', 'date:1767225600-1769817600', 'album:7'][i + 1], ['True|True||', 'False|False|dogs|paris'][j + 1], 'balanced') signature from (select unnest(range(0, 4))::int i), (select unnest(range(0, 2))::int j), (select unnest(['duplicates', 'sessions']) kind)",
     "checkpoint_latest": _with(ASSETS) + "select concat('recent:', library_id) signature, max(asset_id) updated_at, library_id % 4 = 3 is_complete from assets group by library_id having library_id % 4 <> 3 order by max(asset_id) desc limit 1",
     "nl_parse": _with(ASSETS, REQUESTS, PARSED)
-    + f"select scene, case when low <> '' then mode end as mode, case when low <> '' then phrase end phrase, {_STAMP.format(_START)} start_ts, {_STAMP.format(_END)} end_ts, case when low <> '' then {_LIMIT} end recent_limit, case when low <> '' then include_screenshots end include_screenshots, content_query, location_query, case when low <> '' then {_look_up('mode', T.MODE_SENSITIVITY)} end sensitivity, low <> '' and (phrase is not null or named_mode is not null or not include_screenshots or content_query is not null or location_query is not null) understood, case when low <> '' then {_summary('include_screenshots')} end summary from parsed",
-    "date_phrases": _with(ASSETS) + "select scene, " + ", ".join(f"{_STAMP.format(x)} as {n}_{k}" for n in T.DATE_PHRASES for x, k in zip(_range(f"'{n}'", "capture_ts"), ("start", "end"), strict=True)) + " from assets where variant = 0 and capture_ts is not null",
+    + f"select asset_id, case when low <> '' then mode end as mode, case when low <> '' then phrase end phrase, {_STAMP.format(_START)} start_ts, {_STAMP.format(_END)} end_ts, case when low <> '' then {_LIMIT} end recent_limit, case when low <> '' then include_screenshots end include_screenshots, content_query, location_query, case when low <> '' then {_look_up('mode', T.MODE_SENSITIVITY)} end sensitivity, low <> '' and (phrase is not null or named_mode is not null or not include_screenshots or content_query is not null or location_query is not null) understood, case when low <> '' then {_summary('include_screenshots')} end summary from parsed",
+    "date_phrases": _with(ASSETS) + "select asset_id, " + ", ".join(f"{_STAMP.format(x)} as {n}_{k}" for n in T.DATE_PHRASES for x, k in zip(_range(f"'{n}'", "capture_ts"), ("start", "end"), strict=True)) + " from assets",
     "draft_resolve": _with(
         ASSETS,
         REQUESTS,
-        f"drafts as (select scene, lower(text) low, {_list(list(T.PHRASE_WORD))}[(scene % 6)::int + 1] p, scene % 7 <> 0 shots from requests), resolved as (select scene, case scene % 3 when 0 then 'aggressive' when 1 then 'conservative' else 'balanced' end as mode, case when contains(low, {_look_up('p', T.PHRASE_WORD)}) then p end phrase, case when scene % 2 = 0 and contains(low, 'dogs') then 'dogs' end content_query, case when scene % 5 = 0 then 'paris' end location_query, shots from drafts)",
+        f"drafts as (select asset_id, lower(text) low, {_list(list(T.PHRASE_WORD))}[(asset_id % 6)::int + 1] p, asset_id % 7 <> 0 shots from requests), resolved as (select asset_id, case asset_id % 3 when 0 then 'aggressive' when 1 then 'conservative' else 'balanced' end as mode, case when contains(low, {_look_up('p', T.PHRASE_WORD)}) then p end phrase, case when asset_id % 2 = 0 and contains(low, 'dogs') then 'dogs' end content_query, case when asset_id % 5 = 0 then 'paris' end location_query, shots from drafts)",
     )
-    + f"select scene, mode, phrase, content_query, location_query, {_LIMIT} recent_limit, {_summary('shots')} summary from resolved",
-    "dhash": _with(ASSETS, GRAY.format(n=72, more="")) + "select asset_id, list_reduce(list_transform(range(0, 64), lambda i: case when px[(i//8)*9 + i%8 + 1] > px[(i//8)*9 + i%8 + 2] then case when i = 63 then -9223372036854775808 else (1::bigint << i::int) end else 0::bigint end), lambda x, y: x | y)::bigint hash from gray",
-    "color_histogram": _with(ASSETS, GRAY.format(n=256, more=" and scene % 4 = 0"), "bins as (select asset_id, list_transform(list_filter(px, lambda p: p % 9 <> 0), lambda p: (p//64)*16 + (((p*3)%256)//64)*4 + ((p*7)%256)//64) b from gray)")
-    + "select asset_id, array_to_string(list_transform(range(0, 64), lambda i: least(255, (len(list_filter(b, lambda x: x = i)) * 255) // len(b))), ',') signature from bins",
+    + f"select asset_id, mode, phrase, content_query, location_query, {_LIMIT} recent_limit, {_summary('shots')} summary from resolved",
+    "dhash": _with(ASSETS, GRAY.format(n=72)) + "select asset_id, list_reduce(list_transform(range(0, 64), lambda i: case when px[(i//8)*9 + i%8 + 1] > px[(i//8)*9 + i%8 + 2] then case when i = 63 then -9223372036854775808 else (1::bigint << i::int) end else 0::bigint end), lambda x, y: x | y)::bigint hash from " + SHOWN.format("gray"),
+    "color_histogram": _with(ASSETS, GRAY.format(n=256), "bins as (select s, variant, list_transform(list_filter(px, lambda p: p % 9 <> 0), lambda p: (p//64)*16 + (((p*3)%256)//64)*4 + ((p*7)%256)//64) b from gray)")
+    + "select asset_id, array_to_string(list_transform(range(0, 64), lambda i: least(255, (len(list_filter(b, lambda x: x = i)) * 255) // len(b))), ',') signature from " + SHOWN.format("bins"),
     "quality_metrics": _with(
         ASSETS,
-        GRAY.format(n=4096, more=" and scene % 10 = 0"),
-        "flat as (select asset_id, unnest(range(0, 4096)) i, unnest(px) p from gray), lum as (select asset_id, i, p, p/255.0::double l from flat)",
-        "lap as (select c.asset_id, avg(power(4*c.l - a.l - b.l - d.l - e.l, 2)) s from lum c join lum a on a.asset_id = c.asset_id and a.i = c.i - 1 join lum b on b.asset_id = c.asset_id and b.i = c.i + 1 join lum d on d.asset_id = c.asset_id and d.i = c.i - 64 join lum e on e.asset_id = c.asset_id and e.i = c.i + 64 where c.i // 64 between 1 and 62 and c.i % 64 between 1 and 62 group by 1)",
-        "whole as (select asset_id, avg(l) m, stddev_pop(l) sd, avg(case when p < 4 or p > 251 then 1.0::double else 0 end) clipped from lum group by 1)",
+        GRAY.format(n=4096),
+        "flat as (select s*4 + variant g, unnest(range(0, 4096)) i, unnest(px) p from gray), lum as (select g, i, p, p/255.0::double l from flat)",
+        "around as (select g, i, 4*l - lag(l) over w - lead(l) over w - lag(l, 64) over w - lead(l, 64) over w d from lum window w as (partition by g order by i))",
+        "lap as (select g, avg(d*d) v from around where i // 64 between 1 and 62 and i % 64 between 1 and 62 group by g)",
+        "whole as (select g, avg(l) m, stddev_pop(l) sd, avg(case when p < 4 or p > 251 then 1.0::double else 0 end) clipped from lum group by 1)",
     )
-    + "select asset_id, round(least(1, greatest(0, s*25)), 9)::double sharpness, round(least(1, greatest(0, 1 - abs(m - 0.5::double)*2*0.6::double - clipped*0.8::double)), 9)::double exposure, round(least(1, greatest(0, sd*3.2::double)), 9)::double contrast, round(least(1, greatest(0, 1 - least(1, greatest(0, s*25)))), 9)::double motion_blur from whole join lap using (asset_id)",
+    + "select asset_id, round(least(1, greatest(0, v*25)), 9)::double sharpness, round(least(1, greatest(0, 1 - abs(m - 0.5::double)*2*0.6::double - clipped*0.8::double)), 9)::double exposure, round(least(1, greatest(0, sd*3.2::double)), 9)::double contrast, round(least(1, greatest(0, 1 - least(1, greatest(0, v*25)))), 9)::double motion_blur from assets join whole on whole.g = assets.scene % 256 * 4 + assets.variant join lap on lap.g = whole.g",
 }
+ORACLES["prompts"] = ORACLES["keeper_explanations"].replace("select group_id, max(case when is_keeper then array_to_string(badges, ',') end) keeper_badges", "select group_id, concat('A group of similar photos matches at ', floor(round(max(case when is_keeper then sureness end), 9)*100+0.5::double)::int, ' percent. Facts about the photo to keep: ', coalesce(nullif(array_to_string(max(case when is_keeper then badges end), ', '), ''), 'none'), '. Facts about the others: ', coalesce(nullif(replace(").replace(" removal_badges from ranked", ", ',', ', '), ''), 'none'), '. Say in one friendly sentence why that photo is kept. Use these facts only.') prompt from ranked").replace("sentences(", "(").replace(", concat_ws(',', case when bool_or", "concat_ws(',', case when bool_or")
 _STATS = "(select count(distinct group_id) group_count, count_if(is_removal)::bigint reviewable, count(distinct case when is_protected and is_favorite then asset_id end) protected_favorites, count(distinct case when is_protected and is_live then asset_id end) protected_live, count(distinct case when is_protected and has_people then asset_id end) protected_people from ranked)"
 _PARTS = f"list_filter([case when protected_favorites > 0 then {_counted('protected_favorites', 'favorite')} end, case when protected_live > 0 then concat(protected_live, ' Live ', {_plural('Photo', 'protected_live')}) end, case when protected_people > 0 then concat({_counted('protected_people', 'photo')}, ' with people') end], lambda x: x is not null)"
 ORACLES["cleanup_stats"] = _with(*RANKED) + f"select *, case when group_count = 0 then 'No duplicate groups yet. Try running a scan first.' else concat('I found ', group_count, ' similar-photo ', {_plural('group', 'group_count')}, '. I recommend reviewing ', {_counted('reviewable', 'photo')}, ' for cleanup.', case when len({_PARTS}) > 0 then concat(' I protected ', {_joined(_PARTS)}, '.') else '' end) end summary from {_STATS}"

@@ -14,8 +14,8 @@ from lodestone.functions import text as T
 from lodestone.operators import groups as G
 from lodestone.operators import sessions as N
 from lodestone.operators import state
-from lodestone.operators.graph import cut
 from lodestone.sources import assets as A
+from lodestone.sources.tables import cut, read_table, replace_table
 
 #: Scan sizes that a person may choose, and the album size above which to confirm.
 SCAN_SIZES = [100, 300, 1000, 5000]
@@ -60,14 +60,14 @@ class Engine:
         rows = cut(state.valid(self.targets(request)))
         if request.kind == "sessions":
             timed = cut(N.sessionize(rows))
-            state.replace_table(N.analyze(timed, cut(N.sessions(timed))).select(*[F.col(c).cast(t) for c, t in (x.split() for x in ROLES.split(", "))]), f"{self.store}/sessions")
+            replace_table(N.analyze(timed, cut(N.sessions(timed))).select(*[F.col(c).cast(t) for c, t in (x.split() for x in ROLES.split(", "))]), f"{self.store}/sessions")
         else:
             rows = G.with_block(rows)
             members = cut(G.group_members(rows, request.sensitivity))
             ranked = G.rank_groups(members, rows, off=self.settings.unprotected)
             best = G.keepers(G.placeholder_keeper(members, rows), ranked)
             found = members.join(G.group_confidence(members, rows).select("group_id", "confidence"), "group_id").join(best, "group_id")
-            state.replace_table(found.select("group_id", "asset_id", "confidence", "keeper_id"), f"{self.store}/groups")
+            replace_table(found.select("group_id", "asset_id", "confidence", "keeper_id"), f"{self.store}/groups")
         self._checkpoint(request, True)
         return f"Starting a {request.sensitivity} scan. I'll open the results for you to review — nothing is deleted automatically."
 
@@ -75,7 +75,7 @@ class Engine:
         path = f"{self.store}/checkpoints"
         new = self.spark.createDataFrame([(request.signature, request.kind, complete)], "signature string, kind string, is_complete boolean").withColumn("updated_at", F.current_timestamp())
         old = self._read("checkpoints", "signature string, kind string, is_complete boolean, updated_at timestamp")
-        state.replace_table(state.upsert(old, new, "signature", "updated_at"), path)
+        replace_table(state.upsert(old, new, "signature", "updated_at"), path)
 
     def incomplete(self) -> DataFrame:
         """The scan that was begun last and never ended, with its kind."""
@@ -105,9 +105,7 @@ class Engine:
     # stored results
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}")
-        there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.schema(schema).parquet(f"{self.store}/{name}") if there else self.spark.createDataFrame([], schema)
+        return read_table(self.spark, f"{self.store}/{name}", schema)
 
     def groups(self) -> DataFrame:
         return self._read("groups", GROUPS)
@@ -179,7 +177,7 @@ class Engine:
     def review_done(self, group_id: int) -> None:
         """Drop a reviewed group from the stored ones."""
         done = self.spark.createDataFrame([(group_id,)], "group_id long")
-        state.replace_table(state.without_reviewed(self.groups(), done, "group_id"), f"{self.store}/groups")
+        replace_table(state.without_reviewed(self.groups(), done, "group_id"), f"{self.store}/groups")
 
 
 def _s(word: str, n: int) -> str:

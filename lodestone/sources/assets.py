@@ -38,11 +38,18 @@ from (select *, cast(case when scene%6=0 then 1+scene%3 else 0 end as int) face_
 
 
 def derive_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four variants of each scene, as deterministic functions of the events table."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")  # day keys are those of UTC
+    """Four variants of each scene, as deterministic functions of the events table.
+
+    Day keys are those of the session's time zone, which a driver sets: nothing is set here.
+    """
     return spark.sql(ASSETS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def aspect(width: Column, height: Column) -> Column:
+    """Width by height, 0 where there is no height."""
+    return F.when(height > 0, width / height).otherwise(F.lit(0.0))
+
+
 def album_members(assets: DataFrame) -> DataFrame:
     """album_id, title, is_shared, asset_id: an asset is in the album of its scene's last digit."""
     return assets.select(
@@ -75,6 +82,13 @@ class Recent:
         return f"recent:{self.limit}"
 
 
+@dataclass(frozen=True)
+class Everything:
+    @property
+    def signature(self) -> str:
+        return "all"
+
+
 @dataclass(frozen=True)
 class DateRange:
     start: datetime
@@ -95,7 +109,7 @@ class Album:
         return f"album:{self.album_id}"
 
 
-Scope = Recent | DateRange | Album
+Scope = Everything | Recent | DateRange | Album
 
 
 @dataclass(frozen=True)
@@ -169,8 +183,8 @@ def places(assets: DataFrame) -> DataFrame:
     return cells.select("cell", F.array(F.concat(F.lit("Bay Harbor "), F.col("n").cast("string")), F.when(F.col("n") % 2 == 0, "North Point").otherwise("South Shore")).alias("fields"))
 
 
-def scan(assets: DataFrame, request: Request, members: DataFrame | None = None, place_table: DataFrame | None = None) -> DataFrame:
-    """Assets of a request, newest first (undated last, then by id).
+def scan(assets: DataFrame, request: Request, members: DataFrame | None = None, place_table: DataFrame | None = None, in_order: bool = False) -> DataFrame:
+    """Assets of a request; newest first (undated last, then by id) if ``in_order``.
 
     Hidden assets and other media never count. The recent limit applies after source predicates
     and before content and place filters. An unknown album is empty. The place filter drops
@@ -195,4 +209,4 @@ def scan(assets: DataFrame, request: Request, members: DataFrame | None = None,
     if o.location_query and o.location_lookup:
         near = out.where("lat is not null and lon is not null").withColumn("cell", place_key(F.col("lat"), F.col("lon")))
         out = near.join(place_table, "cell", "left").where(matches_place(o.location_query, F.col("fields"))).drop("cell", "fields")
-    return out.orderBy(*newest)
+    return out.orderBy(*newest) if in_order else out
