@@ -24,21 +24,24 @@ def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None
 
     A block above ``tile`` rows is cut into T tiles by id; a row meets the others tile by tile,
     so no task holds more than two tiles and a hot block's work spreads over T * T / 2 tasks.
+    Without such a block the pairs are a plain hash join. Other columns of ``rows`` are ignored.
     """
-    large = rows.groupBy(block).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select(block, F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    rows = rows.select(block, *[c for c in dict.fromkeys(["asset_id", *columns])])
-    tiled = rows.join(F.broadcast(large) if _few(large) else large, block, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("asset_id"), F.col("tiles")).cast("int"))
-    meet = lambda side: F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(F.least(F.col("tile"), i).alias("p"), F.greatest(F.col("tile"), i).alias("q")))  # noqa: E731, ARG005
-    spread = tiled.withColumn("cell", F.explode(meet(0))).select(block, F.col("cell.p").alias("p"), F.col("cell.q").alias("q"), "tile", *[c for c in rows.columns if c != block])
-    a = spread.select(block, "p", "q", F.col("tile").alias("a_tile"), *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != block])
-    b = spread.select(block, "p", "q", F.col("tile").alias("b_tile"), *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != block])
-    on = [a[block] == b[block], a["p"] == b["p"], a["q"] == b["q"], F.col("a_asset_id") < F.col("b_asset_id")]
-    # a pair of one tile meets only in its own cell
-    on.append((F.col("a_tile") != F.col("b_tile")) | (a["p"] == a["q"]))
+    own = ["asset_id", *[c for c in dict.fromkeys(columns) if c != "asset_id"]]
+    rows = rows.select(F.col(block).alias("__block"), *own)
+    large = cut(rows.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("__block", F.ceil(F.col("n") / tile).cast("int").alias("__tiles")))
+    key = ["__block"]
+    if large.head(1):
+        tiled = rows.join(F.broadcast(large) if _few(large) else large, "__block", "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1))).withColumn("__tile", F.pmod(F.xxhash64("asset_id"), F.col("__tiles")).cast("int"))
+        meet = F.transform(F.sequence(F.lit(0), F.col("__tiles") - 1), lambda i: F.struct(F.least(F.col("__tile"), i).alias("p"), F.greatest(F.col("__tile"), i).alias("q")))
+        rows = tiled.withColumn("__cell", F.explode(meet)).select("__block", F.col("__cell.p").alias("__p"), F.col("__cell.q").alias("__q"), "__tile", *own)
+        key, own = [*key, "__p", "__q"], ["__tile", *own]
+    a, b = (rows.select(*key, *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "ab")
+    on = [a[k] == b[k] for k in key] + [F.col("a_asset_id") < F.col("b_asset_id")]
+    if "__tile" in own:  # a pair of one tile meets only in its own cell
+        on.append((F.col("a___tile") != F.col("b___tile")) | (a["__p"] == a["__q"]))
     if theta is not None:
         on.append(theta)
-    joined = a.join(b, on)
-    return joined.select(a[block].alias(block), *[f"a_{c}" for c in rows.columns if c != block], *[f"b_{c}" for c in rows.columns if c != block])
+    return a.join(b, on).select(a["__block"].alias(block), *[f"{side}_{c}" for side in "ab" for c in own if c != "__tile"])
 
 
 def _few(df: DataFrame, most: int = 10_000) -> bool:
@@ -112,6 +115,10 @@ BADGES = ["Sharpest", "Best exposure", "Highest resolution", "Lower resolution",
 NEGATIVE = ["Lower resolution", "Blurry"]
 
 
+#: What ranking reads of an asset.
+JUDGED = ["pixel_count", "sharpness", "exposure", "contrast", "motion_blur", "face_count", "is_favorite", "is_edited", "is_live", "is_hidden", "is_shared"]
+
+
 def rank_groups(members: DataFrame, rows: DataFrame, confidence: DataFrame | None = None, off: tuple[str, ...] = ()) -> DataFrame:
     """Members with score, rank, is_keeper, is_protected, is_removal, reasons and badges.
 
@@ -119,7 +126,7 @@ def rank_groups(members: DataFrame, rows: DataFrame, confidence: DataFrame | Non
     favorite, live, people, then the smaller id. In groups of two or fewer, or with a confidence
     of 0.95 or more, people alone don't protect.
     """
-    data = members.join(rows, "asset_id").withColumn("has_people", F.col("face_count") > 0)
+    data = members.select("group_id", "asset_id").join(rows.select("asset_id", *JUDGED), "asset_id").withColumn("has_people", F.col("face_count") > 0)
     data = data.join(confidence.select("group_id", "confidence"), "group_id", "left") if confidence is not None else data.withColumn("confidence", F.lit(0.0))
     group = Window.partitionBy("group_id")
     data = data.withColumn("most", F.max("pixel_count").over(group)).withColumn("n", F.count(F.lit(1)).over(group)).withColumn("score", S.quality_score(F.col("most")))

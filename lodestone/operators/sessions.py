@@ -20,22 +20,22 @@ def sessionize(assets: DataFrame, library: str = "library_id") -> DataFrame:
     coordinates. Windows run within (library, day), so a library's whole history never meets in
     one task; one row a day carries the last capture and the count of sessions to later days.
     """
-    rows = assets.where("capture_ts is not null").withColumn("day", F.to_date("capture_ts"))
+    rows = assets.drop("session").where("capture_ts is not null").withColumn("__day", F.to_date("capture_ts"))
     key = ["capture_ts", "lat", "lon"]
     last = F.struct(*key)
-    days = rows.groupBy(library, "day").agg(F.max_by(last, F.struct("capture_ts", "asset_id")).alias("last"))
-    days = days.withColumn("prev", F.lag("last").over(Window.partitionBy(library).orderBy("day"))).select(library, "day", "prev")
-    own = Window.partitionBy(library, "day").orderBy("capture_ts", "asset_id")
-    rows = rows.join(days, [library, "day"]).withColumn("before", F.coalesce(F.lag(last).over(own), F.col("prev")))
-    b = F.col("before")
+    days = rows.groupBy(library, "__day").agg(F.max_by(last, F.struct("capture_ts", "asset_id")).alias("__last"))
+    days = days.withColumn("__prev", F.lag("__last").over(Window.partitionBy(library).orderBy("__day"))).select(library, "__day", "__prev")
+    own = Window.partitionBy(library, "__day").orderBy("capture_ts", "asset_id")
+    rows = rows.join(days, [library, "__day"]).withColumn("__before", F.coalesce(F.lag(last).over(own), F.col("__prev")))
+    b = F.col("__before")
     far = F.coalesce(S.meters(b["lat"], b["lon"], F.col("lat"), F.col("lon")) > GAP_M, F.lit(False))
     new = b.isNull() | (S.seconds(F.col("capture_ts"), b["capture_ts"]) > GAP_S) | far
-    rows = cut(rows.withColumn("new", new.cast("int")).drop("before", "prev"))
-    per_day = rows.groupBy(library, "day").agg(F.sum("new").alias("n"))
-    before = Window.partitionBy(library).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_day.select(library, "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rows = cut(rows.withColumn("__new", new.cast("int")).drop("__before", "__prev"))
+    per_day = rows.groupBy(library, "__day").agg(F.sum("__new").alias("__n"))
+    before = Window.partitionBy(library).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_day.select(library, "__day", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = own.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(starts, [library, "day"]).withColumn("session", F.col("start") + F.sum("new").over(within)).drop("new", "start", "day")
+    return rows.join(starts, [library, "__day"]).withColumn("session", F.col("__start") + F.sum("__new").over(within)).drop("__new", "__start", "__day")
 
 
 def sessions(rows: DataFrame, library: str = "library_id") -> DataFrame:

@@ -67,6 +67,15 @@ def test_tiled_blocks_give_all_pairs_once(spark):
     assert all(a < b and (a < 60) == (b < 60) for a, b in pairs)
 
 
+def test_clashing_columns_change_nothing(spark):
+    extra = ["n", "most", "score", "rank", "m0", "reasons", "confidence", "group_id", "tile", "tiles", "p", "q", "cell", "day", "prev", "before", "new", "start", "session"]
+    rows = spark.createDataFrame([shot(1, 0.9), shot(2), shot(3, fav=True)], ROW).withColumns({"hash": F.lit(0).cast("long"), "feature": F.lit(None).cast("array<double>"), "block": F.lit("b"), "library_id": F.lit(1).cast("long"), "capture_ts": F.timestamp_seconds(F.col("asset_id") * 1000), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
+    odd = rows.withColumns({c: F.lit("x") for c in extra})
+    members = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "group_id long, asset_id long")
+    for f in (lambda r: G.rank_groups(members, r), lambda r: G.group_confidence(members, r.drop("group_id")), lambda r: G.block_pairs(r, ["hash"], tile=2), lambda r: N.sessionize(r).select("asset_id", "session")):
+        assert sorted(map(str, f(odd).collect())) == sorted(map(str, f(rows).collect()))
+
+
 def test_confidence(spark):
     rows = spark.createDataFrame([asset(1), asset(2), asset(3, 0xFFFF), asset(4, FAR), asset(5, -1)], ASSET)
     members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (4, 4), (4, 5)], "group_id long, asset_id long")
