@@ -12,10 +12,22 @@ from pyspark.sql import types as T
 
 #: Fixed values of the EXIF format: the GPS block's pointer, altitude and its reference.
 GPS_BLOCK, ALTITUDE_REF, ALTITUDE = 0x8825, 5, 6
+#: The longer side of a face's picture at most.
+FACE_SIDE = 1024
 
 
 def gray_levels(content: bytes, side: int = 64) -> list[int] | None:
     """Gray levels of a binary PGM or PPM, taken at the nearest places of a square; else None."""
+    gray = bitmap(content)
+    if gray is None:
+        return None
+    h, w = gray.shape
+    rows, columns = np.arange(side) * h // side, np.arange(side) * w // side
+    return gray[rows][:, columns].ravel().tolist()
+
+
+def bitmap(content: bytes) -> np.ndarray | None:
+    """Gray levels, line by line, of a binary PGM or PPM with 255 levels; else None."""
     parts = content.split(maxsplit=4) if content[:2] in (b"P5", b"P6") else []
     try:
         kind, w, h, most = parts[0], int(parts[1]), int(parts[2]), int(parts[3])
@@ -23,11 +35,23 @@ def gray_levels(content: bytes, side: int = 64) -> list[int] | None:
         data = np.frombuffer(content[-w * h * depth :], np.uint8).reshape(h, w, depth).astype(np.float64)
     except (IndexError, ValueError):
         return None
-    if most != 255:
+    if most != 255 or not w * h:
         return None
     gray = data[:, :, 0] if depth == 1 else data @ np.array([0.299, 0.587, 0.114])
-    rows, columns = np.arange(side) * h // side, np.arange(side) * w // side
-    return gray[rows][:, columns].round().astype(int).ravel().tolist()
+    return gray.round().astype(np.int32)
+
+
+def crop_levels(content: bytes, x: float, y: float, w: float, h: float, side: int = FACE_SIDE) -> tuple[int, int, list[int]] | None:
+    """(width, height, gray levels) of a rectangle of a picture, made smaller to fit a square if need be; else None."""
+    gray = bitmap(content)
+    if gray is None:
+        return None
+    part = gray[max(0, round(y)) : max(0, round(y + h)), max(0, round(x)) : max(0, round(x + w))]
+    if not part.size:
+        return None
+    by = max(1.0, max(part.shape) / side)
+    rows, columns = (np.minimum(np.arange(max(1, int(n / by))) * by, n - 1).astype(int) for n in part.shape)
+    return len(columns), len(rows), part[rows][:, columns].ravel().tolist()
 
 
 def exif_altitude(content: bytes) -> float | None:
@@ -51,6 +75,25 @@ def exif_altitude(content: bytes) -> float | None:
         return None
 
 
+CROP = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(CROP)
+def crop_pixels(content: pd.Series, box: pd.DataFrame) -> pd.DataFrame:
+    found = [crop_levels(bytes(c), *b) if c is not None and not any(v is None or v != v for v in b) else None for c, b in zip(content, box[["x", "y", "w", "h"]].itertuples(index=False), strict=True)]
+    return pd.DataFrame([x or (None, None, None) for x in found], columns=CROP.names)
+
+
+def face_pictures(files: DataFrame, faces: DataFrame) -> DataFrame:
+    """path, face: the picture of each face's rectangle (struct<width, height, pixels>, null if it can't be read).
+
+    ``files``: path, content; ``faces``: path, crop (a rectangle in pixels, as ``images.face_crop`` gives it).
+    Files without a face are never decoded.
+    """
+    there = faces.where("crop is not null").select("path", "crop")
+    return files.select("path", "content").join(there, "path").select("path", crop_pixels("content", "crop").alias("face"))
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def gray_pixels(content: pd.Series) -> pd.Series:
     return content.map(lambda c: gray_levels(bytes(c)) if c is not None else None)

@@ -38,4 +38,9 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     rows = {r.path[-5:]: r for r in files.pictures(spark, str(tmp_path)).collect()}
     assert len(rows["a.pgm"].pixels) == 4096 and rows["a.pgm"].pixels[0] == 0 and rows["a.pgm"].pixels[63] == 255
+    whole = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    boxes = whole.selectExpr("path", "case when path not like '%.jpg' then named_struct('x', 0.0D, 'y', 0.0D, 'w', 1.0D, 'h', 2.0D) end crop")
+    faces = {r.path[-5:]: r.face for r in files.face_pictures(whole, boxes).collect()}
+    assert {k: v and v.pixels for k, v in faces.items()} == {"a.pgm": [0, 255], "c.bin": None}
+    assert files.crop_levels(b"P5 8 4 255\n" + bytes(range(32)), 0, 0, 8, 4, side=4) == (4, 2, [0, 2, 4, 6, 16, 18, 20, 22])
     assert rows["b.jpg"].altitude == -12.5 and rows["b.jpg"].pixels is None and rows["c.bin"].altitude is None
