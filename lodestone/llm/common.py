@@ -1,107 +1,16 @@
-"""Shared plumbing: places for intermediate tables, lineage cuts and distributed prefix sums."""
+"""Shared plumbing: distributed prefix sums, and Arrow columns in pieces of bounded size."""
 
 from __future__ import annotations
 
 import ctypes
-import json
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; where that is unset and the master is local
-    (tests) a temporary folder is made once and set as the checkpoint folder.
-    """
-    jsc = spark.sparkContext._jsc.sc()
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = jsc.getCheckpointDir()
-        if not held.isDefined() and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark removes its files with the plan."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def hadoop(spark: SparkSession, path: str):
-    """(FileSystem, Path) of a path, through Hadoop's API as Spark uses it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop(spark, path)
-    fs.delete(p, True)
-
-
-def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Write a small JSON file under a temporary name, then rename it."""
-    _rename(spark, _written(spark, path, value), path, "OVERWRITE")
-
-
-def place_new(spark: SparkSession, path: str, value: dict) -> bool:
-    """Write a small JSON file that isn't there yet; False if it is, by whoever was first."""
-    temp = _written(spark, path, value)
-    try:
-        _rename(spark, temp, path, "NONE")
-    except Py4JJavaError as e:
-        remove(spark, temp)
-        if exists(spark, path):
-            return False
-        raise e
-    return True
-
-
-def _written(spark: SparkSession, path: str, value: dict) -> str:
-    fs, temp = hadoop(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(temp, True)
-    try:
-        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
-    finally:
-        out.close()
-    return str(temp)
-
-
-def _rename(spark: SparkSession, old: str, new: str, how: str) -> None:
-    """Rename a file, over another or only to a free name (atomic where the file system's rename is)."""
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    _, a = hadoop(spark, old)
-    _, b = hadoop(spark, new)
-    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, how)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b, options)
-
-
-def read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = hadoop(spark, path)
-    return fs.exists(p)
+from lodestone.sources.tables import cut
 
 
 def partitions_for(df: DataFrame) -> int:

@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, plain, slices
+from lodestone.llm.common import plain, slices
+from lodestone.sources.tables import cut
 
 #: Words of the decontamination contract, after lower-casing A-Z only.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WINDOW = 10
 SHINGLE = 2
+#: Places of windows that are compared at once in a document, about (those of one shingle aren't divided).
+PROPOSED = 1 << 18
 #: Characters of item texts that go into one broadcast block (about ten times that in memory).
 BLOCK_CHARS = 8_000_000
 
@@ -120,25 +123,30 @@ class Index:
             keys = self.keys(ids, k)
             place = np.flatnonzero(keys >= 0)
             low, high = np.searchsorted(token, keys[place], "left"), np.searchsorted(token, keys[place], "right")
-            n = high - low
-            if not n.any():
-                continue
-            row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            begin, w = np.repeat(place, n) - offset[row], window[row]
-            fits = (begin >= 0) & (begin + self.length[w] <= len(ids))
-            begin, w = begin[fits], w[fits]
-            j = 0
-            while len(w) and j < self.window:  # compare word by word, keeping the places that still agree
-                more = self.length[w] > j
-                same = ~more
-                same[more] = ids[begin[more] + j] == self.flat[self.start[w[more]] + j]
-                begin, w, j = begin[same], w[same], j + 1
-            np.add.at(hit, begin, 1)
-            np.add.at(hit, begin + self.length[w], -1)
-            for x in np.unique(w).tolist():
-                found.update(self.items[x])
+            some = np.flatnonzero(high > low)
+            place, low, n = place[some], low[some], (high - low)[some]
+            edges = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // PROPOSED)) + 1).tolist(), len(n)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if x < y:
+                    found |= self._verify(ids, hit, place[x:y], low[x:y], n[x:y], offset, window)
         return np.cumsum(hit[:-1]) > 0, found
 
+    def _verify(self, ids: np.ndarray, hit: np.ndarray, place: np.ndarray, low: np.ndarray, n: np.ndarray, offset: np.ndarray, window: np.ndarray) -> set[int]:
+        """Compare the n windows from ``low`` on at each place; marks the words of those that are there, returns their items."""
+        row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        begin, w = np.repeat(place, n) - offset[row], window[row]
+        fits = (begin >= 0) & (begin + self.length[w] <= len(ids))
+        begin, w = begin[fits], w[fits]
+        j = 0
+        while len(w) and j < self.window:  # compare word by word, keeping the places that still agree
+            more = self.length[w] > j
+            same = ~more
+            same[more] = ids[begin[more] + j] == self.flat[self.start[w[more]] + j]
+            begin, w, j = begin[same], w[same], j + 1
+        np.add.at(hit, begin, 1)
+        np.add.at(hit, begin + self.length[w], -1)
+        return {i for x in np.unique(w).tolist() for i in self.items[x]}
+
 
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[object, str]]]:
     """Items with an id and words, a bounded number of characters at a time.

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, partitions_for, plain, slices
+from lodestone.llm.common import partitions_for, plain, slices
 from lodestone.llm.simhash import LOWER
 from lodestone.llm.spans import NO_ID
 from lodestone.operators.graph import connected_components
+from lodestone.sources.tables import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 24

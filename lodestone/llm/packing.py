@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import Encoder, vocabulary_path
-from lodestone.llm.common import cut, plain, scan, slices, with_column
+from lodestone.llm.common import plain, scan, slices, with_column
+from lodestone.sources.tables import cut
 
 CAPACITY = 1024
 

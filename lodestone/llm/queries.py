@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language, packing, quality, simhash, sql, substring, suffixes, token_counts, token_store, warc
-from lodestone.llm.common import shared_path
+from lodestone.sources.tables import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, partitions_for, plain, shared_path, slices, utf8
+from lodestone.llm.common import partitions_for, plain, slices, utf8
 from lodestone.llm.spans import KEY, keyed, merged, without_spans
+from lodestone.sources.tables import cut, shared_path
 
 LENGTH, GRAM = 200, 48
 #: Anchor places in a window, in four classes.

@@ -2,23 +2,13 @@
 
 Changes to documents become signed rows: an insert adds, a delete subtracts, a revision
 subtracts the old count under its old keys and adds the new one. A batch's rows are summed by
-(source, lang, tokenizer_version) into one small delta; totals are a base and the deltas since.
-Below a root folder there are
-
-- ``deltas/<name>``: Parquet with the sums of one batch;
-- ``commits/<batch>.json``: names the delta of a batch. It comes by a rename that fails where the
-  file is there, so of two writers of one batch id one commits, and a batch that is sent again after
-  any failure changes nothing;
-- ``bases/<number>.json``: names a base and its number of batches. The base with the highest number
-  counts; it too comes by such a rename, so of two compactions one counts.
-- ``base-<name>/totals``, ``base-<name>/batches``: Parquet with the sums over all batches that the
-  base has taken in, and with their ids.
+(source, lang, tokenizer_version) and committed as one small delta of a batch log; totals are the
+log's base and the deltas since. Of two writers of one batch id one commits, and a batch that is
+sent again after any failure changes nothing. Compaction sums old deltas into a new base.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import Encoder, vocabulary_path
-from lodestone.llm.common import hadoop, place_new, plain, read_json, remove, slices
+from lodestone.llm.common import plain, slices
+from lodestone.sources.tables import BatchLog
 
 GROUP = ["source", "lang", "tokenizer_version"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
@@ -74,31 +65,8 @@ def delta(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS]).where(" or ".join(f"{c} <> 0" for c in SUMS))
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    """Names of the JSON files in a folder, without their ending."""
-    fs, at = hadoop(spark, path)
-    found = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(x.removesuffix(".json") for x in found if x.endswith(".json"))
-
-
-def _base(spark: SparkSession, root: str) -> tuple[int, dict]:
-    """(number, description) of the base that counts; (0, {}) before the first compaction."""
-    numbers = _names(spark, f"{root}/bases")
-    return (int(numbers[-1]), read_json(spark, f"{root}/bases/{numbers[-1]}.json")) if numbers else (0, {})
-
-
-def _since(spark: SparkSession, root: str, base: dict) -> list[str]:
-    """Ids of committed batches that the base hasn't taken in: few, if compactions keep up."""
-    names = _names(spark, f"{root}/commits")
-    if not base or not names:
-        return names
-    taken = spark.read.parquet(f"{root}/base-{base['name']}/batches").where(F.col("batch").isin(names)).collect()
-    return sorted({*names} - {r.batch for r in taken})
-
-
-def _taken(spark: SparkSession, root: str, batch: str) -> bool:
-    _, base = _base(spark, root)
-    return bool(base) and bool(spark.read.parquet(f"{root}/base-{base['name']}/batches").where(F.col("batch") == batch).head(1))
+def log_of(spark: SparkSession, root: str) -> BatchLog:
+    return BatchLog(spark, root, DELTA)
 
 
 def commit(changes: DataFrame, root: str, batch: str) -> bool:
@@ -107,52 +75,12 @@ def commit(changes: DataFrame, root: str, batch: str) -> bool:
     Null sources and languages are groups of their own, repeated rows count each, and a batch without
     rows is committed like any other. Only sums are written: one row a group.
     """
-    if not re.fullmatch(r"[\w.-]+", batch) or batch.startswith(("_", ".")):
-        raise ValueError(f"{batch!r} can't name a batch")
-    spark = changes.sparkSession
-    if batch in _names(spark, f"{root}/commits") or _taken(spark, root, batch):
-        return False
-    name = uuid.uuid4().hex
-    delta(changes).coalesce(1).write.parquet(f"{root}/deltas/{name}")
-    if _taken(spark, root, batch) or not place_new(spark, f"{root}/commits/{batch}.json", {"delta": name}):
-        remove(spark, f"{root}/deltas/{name}")  # another writer was first
-        return False
-    return True
-
-
-def _sums(spark: SparkSession, root: str, base: dict, since: list[str]) -> DataFrame:
-    deltas = [f"{root}/deltas/{read_json(spark, f'{root}/commits/{x}.json')['delta']}" for x in since]
-    found = ([f"{root}/base-{base['name']}/totals"] if base else []) + deltas
-    return delta(spark.read.schema(DELTA).parquet(*found)) if found else spark.createDataFrame([], DELTA)
+    return log_of(changes.sparkSession, root).commit(lambda: delta(changes).coalesce(1), batch)
 
 
 def compact(spark: SparkSession, root: str) -> bool:
-    """Take all committed batches into a new base; False if there are none or another compaction was first.
-
-    What the base before this one had taken in goes: whoever still reads by that base needs it no more.
-    """
-    number, base = _base(spark, root)
-    since = _since(spark, root, base)
-    if not since:
-        return False
-    name = uuid.uuid4().hex
-    _sums(spark, root, base, since).coalesce(1).write.parquet(f"{root}/base-{name}/totals")
-    ids = spark.createDataFrame([(x,) for x in since], "batch string")
-    if base:
-        ids = spark.read.parquet(f"{root}/base-{base['name']}/batches").union(ids)
-    ids.write.parquet(f"{root}/base-{name}/batches")
-    if not place_new(spark, f"{root}/bases/{number + 1:012d}.json", {"name": name, "before": base.get("name"), "since": since}):
-        remove(spark, f"{root}/base-{name}")
-        return False
-    if base.get("before"):
-        remove(spark, f"{root}/base-{base['before']}")
-    for x in base.get("since", []):
-        at = f"{root}/commits/{x}.json"
-        fs, path = hadoop(spark, at)
-        if fs.exists(path):
-            remove(spark, f"{root}/deltas/{read_json(spark, at)['delta']}")
-            remove(spark, at)
-    return True
+    """Sum all committed batches into a new base; False if there are none or another compaction was first."""
+    return log_of(spark, root).compact(lambda rows: delta(rows).coalesce(1))
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
@@ -160,5 +88,4 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
 
     Reads the base and the deltas that it hasn't taken in. A folder without batches has no totals.
     """
-    _, base = _base(spark, root)
-    return _sums(spark, root, base, _since(spark, root, base))
+    return delta(log_of(spark, root).read())

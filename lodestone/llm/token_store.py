@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import Encoder, vocabulary_path
-from lodestone.llm.common import exists, hadoop, partitions_for, plain, read_json, remove, scan, slices, with_column, write_json
+from lodestone.llm.common import partitions_for, plain, scan, slices, with_column
+from lodestone.sources.tables import exists, hadoop, read_json, remove, write_json
 
 #: Chunk lengths in ids: a cut where the rolling hash has MASK_BITS zero bits, within the bounds.
 MASK_BITS, LEAST, MOST, WINDOW = 10, 256, 8192, 8

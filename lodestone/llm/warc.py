@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, exists, hadoop, partitions_for, plain, read_json, remove, scan, slices, with_column, write_json
+from lodestone.llm.common import partitions_for, plain, scan, slices, with_column
+from lodestone.sources.tables import cut, exists, hadoop, read_json, remove, write_json
 
 #: Compressed bytes after which the next record starts a new file; a reader holds one file.
 ROLL_BYTES = 16 << 20

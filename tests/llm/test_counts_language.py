@@ -5,8 +5,9 @@ import numpy as np
 
 from lodestone.llm import language, token_counts
 from lodestone.llm.bpe import Encoder
-from lodestone.llm.common import hadoop, shared_path
 from lodestone.llm.language import Model, identify_held_out, ngrams, profile
+from lodestone.sources import tables
+from lodestone.sources.tables import hadoop, shared_path
 
 DOCS = [(1, "hello world", "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, "über allen", "de", "b"), (4, "über allen", "de", "b"), (None, "x y z", "en", "b")]
 
@@ -41,7 +42,7 @@ def test_token_counts(spark):
         assert token_counts.compact(spark, root) and table() == sums
     assert not token_counts.commit(token_counts.inserts(rough), root, "revise") and not token_counts.commit(token_counts.inserts(rough), root, "back-a")
     assert table() == sums
-    fs, at = hadoop(spark, f"{root}/deltas")
+    fs, at = hadoop(spark, f"{root}/rows")
     assert len(fs.listStatus(at)) <= 2  # older ones are gone
 
 
@@ -49,16 +50,16 @@ def test_two_writers(spark, monkeypatch):
     """A second writer of a batch, and a second compaction, come in between: each counts once."""
     rows = spark.createDataFrame([(1, "text", "en", "a")], "doc_id long, text string, lang string, source string")
     exact, root = token_counts.count_tokens(rows, "v1"), shared_path(spark, "counts")
-    place, told = token_counts.place_new, []
+    place, told = tables.place_new, []
 
     def late(spark, path, value):
-        monkeypatch.setattr(token_counts, "place_new", place)
+        monkeypatch.setattr(tables, "place_new", place)
         told.append(token_counts.commit(token_counts.inserts(exact), root, "b") if "/commits/" in path else token_counts.compact(spark, root))
         return place(spark, path, value)
 
-    monkeypatch.setattr(token_counts, "place_new", late)
+    monkeypatch.setattr(tables, "place_new", late)
     assert not token_counts.commit(token_counts.inserts(exact), root, "b")
-    monkeypatch.setattr(token_counts, "place_new", late)
+    monkeypatch.setattr(tables, "place_new", late)
     assert not token_counts.compact(spark, root)
     assert told == [True, True] and [r.n_docs for r in token_counts.totals(spark, root).collect()] == [1]
 

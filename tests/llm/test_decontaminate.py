@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 from lodestone.llm.decontaminate import WORD, digest, find_contamination, words
 
 ITEMS = [
@@ -63,3 +65,19 @@ def test_nothing(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert sorted(map(tuple, digest(find_contamination(docs, items)).collect()), key=str) == brute(DOCS, [])
     assert find_contamination(docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_many_matches_of_short_items(spark, monkeypatch):
+    """A very long text full of one-word and shared-shingle items, compared a few places at a time."""
+    from lodestone.llm import decontaminate
+
+    items = [(1, "aa"), (2, "aa aa"), (3, "aa bb"), *((10 + i, f"aa cc w{i}") for i in range(30))]
+    long = "aa " * 3000 + "aa cc w3 aa cc w29 bb"
+    index = decontaminate.Index([(k, t) for k, t in items])
+    index.order({k: np.zeros(len(a), np.int64) for k, a in index.all.items()})
+    ids = index.ids(long.encode())
+    whole = index.find(ids)
+    monkeypatch.setattr(decontaminate, "PROPOSED", 50)
+    parts = index.find(ids)
+    assert (whole[0] == parts[0]).all() and whole[1] == parts[1]
+    assert {index.names[i] for i in whole[1]} == {"1", "2", "13", "39"} and whole[0].tolist() == [True] * 3006 + [False]

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import packing, token_store
 from lodestone.llm.bpe import Encoder, vocabulary_path
-from lodestone.llm.common import exists, read_json, shared_path
+from lodestone.sources.tables import exists, read_json, shared_path
 
 TEXTS = [None, "", "a", "Hello world.  Two  spaces\n\n\ttabs it's l'été — dash 12ab", "x  　 y", "<|endoftext|> a \x1c b\r\n", "word " * 3000, "word " * 3000, "ü" * 50]
 ROWS = [(i if i != 3 else None, t, f"k{i}") for i, t in enumerate(TEXTS)] + [(8, "ü" * 50, "again"), (8, "ü" * 50, "again")]

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from lodestone.llm import warc
-from lodestone.llm.common import shared_path
+from lodestone.sources.tables import shared_path
 
 LONG = "<html>é" + "x" * 200
 PAGES = [(5, "http://a/é b\r\nX: y", LONG), (3, None, LONG), (9, "http://c", LONG), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (3, "again", LONG), (None, "n", LONG), (None, "n", "y" * 300), (None, "n", "y" * 300), (7, "u", "z" * (17 << 20)), (8, "u", "q\r\n\r\n\0" * 90)]
