@@ -1,13 +1,18 @@
-"""Near-duplicates by the Jaccard similarity of their five-word shingles.
+"""Near-duplicates by the Jaccard similarity of their five-word shingles, from two kinds of candidates.
 
-Candidates come from MinHash bands: texts meet in a bucket where all ``ROWS`` minima of one of
-``BANDS`` bands agree. A pair at similarity s is missed by all bands with probability
-(1 - s^ROWS)^BANDS, 7 in 100,000 at 0.8 and less above. Every link is then verified on the whole
-shingle sets, so there are no false ones.
+SimHash: fingerprints over the shingles, joined by the rotated binary trie of ``simhash``; texts with
+equal or linked fingerprints are candidates. Within a few bits of 64 that finds texts that are almost
+equal, but only some of those at 0.8, and a budget wide enough for these is no filter any more.
 
-Equal texts collapse before the bands. Buckets with the same members are one. Within a bucket only
-texts that are not yet one component are compared, so a large group of copies costs a comparison
-a text; components are unaffected by that.
+MinHash bands: texts meet in a bucket where all ``ROWS`` minima of one of ``BANDS`` bands agree. A
+pair at similarity s is missed by all bands with probability (1 - s^ROWS)^BANDS, 7 in 100,000 at 0.8
+and less above.
+
+Every link is verified on the whole shingle sets, so there are no false ones. Equal texts collapse
+before. Buckets with the same members are one. Within a bucket only texts that are not yet one
+component are compared, so a large group of copies costs a comparison a text. Buckets above ``BIG``
+texts are divided into parts that all hold a few common leaders; what then isn't one component with
+most of its bucket meets all of the bucket, part by part. No task holds more than a part.
 """
 
 from __future__ import annotations
@@ -16,17 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions_for, plain, slices
-from lodestone.llm.simhash import LOWER
+from lodestone.llm.simhash import LOWER, links, majority
 from lodestone.llm.spans import NO_ID
 from lodestone.operators.graph import connected_components
 from lodestone.sources.tables import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 24
+#: Texts of a bucket that one task compares, and those that stand in all its parts.
+BIG, LEADERS = 512, 8
 #: Shingles that are hashed at once.
 STEP = 4096
 #: Of ``ROWS * BANDS`` minima of a pair this share agrees at least, or it is not compared: 5 standard deviations below 0.8.
@@ -125,25 +132,31 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield at, held
 
 
-def buckets(texts: DataFrame) -> DataFrame:
-    """bucket, h: the members of each bucket with more than one text, each set of members once. ``texts``: h, text.
-
-    Of equal texts that a task reads one is signed, so copies neither move nor cost much.
-    """
+def signed(texts: DataFrame) -> DataFrame:
+    """h, fp, bands of texts (h, text). Of equal texts that a task reads one is signed, so copies neither move nor cost much."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in slices(batches):
-            keys, names = [], []
+            keys, names, prints = [], [], []
             for i, h in enumerate(b.column("h").to_pylist()):
                 if h not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(h)
+                    own = shingles(b.column("text")[i].as_py())
                     names.append(h)
-                    keys.append(bands(minima(shingles(b.column("text")[i].as_py()))))
-            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(names, np.int64), BANDS))], names=["band", "h"])
+                    keys.append(bands(minima(own)))
+                    prints.append(majority(own))
+            flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
+            at = pa.array(np.arange(len(names) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(at, flat)], names=["h", "fp", "bands"])
+
+    return texts.mapInArrow(sign, "h long, fp long, bands array<long>")
+
+
+def buckets(signs: DataFrame) -> DataFrame:
+    """bucket, h: the members of each MinHash bucket with more than one text, each set of members once."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, members = [], []
@@ -163,8 +176,43 @@ def buckets(texts: DataFrame) -> DataFrame:
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, members)], names=["bucket", "h"])
 
-    signed = texts.mapInArrow(sign, "band long, h long")
-    return signed.repartition(partitions_for(texts), "band").sortWithinPartitions("band").mapInArrow(meet, "bucket long, h long").distinct()
+    rows = signs.select(F.explode("bands").alias("band"), "h")
+    return rows.repartition(partitions_for(signs), "band").sortWithinPartitions("band").mapInArrow(meet, "bucket long, h long").distinct()
+
+
+def simhash_pairs(signs: DataFrame) -> DataFrame:
+    """bucket, h: pairs of texts that hang together by equal or linked fingerprints (a pair is a bucket of two)."""
+    own = signs.groupBy("fp").agg(F.min("h").alias("first"))
+    equal = signs.join(own, "fp").where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b"))
+    near = links(own.select("fp"))
+    near = near.join(own.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(own.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
+    return equal.union(near).select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("h"))
+
+
+def _parts(large: DataFrame) -> DataFrame:
+    """bucket, h of large buckets (bucket, h, n) divided into parts that hold their leaders too."""
+    parts = F.ceil(F.col("n") / (BIG - LEADERS)).cast("int")
+    first = Window.partitionBy("bucket").orderBy(F.xxhash64("h"), "h")
+    lead = large.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS)
+    own = large.select("bucket", "h", F.pmod(F.xxhash64("h", F.lit(1)), parts).alias("part"))
+    own = own.union(lead.select("bucket", "h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+    return own.select(F.xxhash64("bucket", "part").alias("bucket"), "h").distinct()
+
+
+def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, h: what isn't one component with most of its large bucket, with all of the bucket, in parts.
+
+    ``found``: node, component.
+    """
+    at = cut(large.join(found.withColumnRenamed("node", "h"), "h", "left").select("bucket", "h", "n", F.coalesce("component", "h").alias("component")))
+    most = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.sum("c").alias("all"), F.max("c").alias("c"))
+    most = cut(most.where("c < all").select("bucket", "most", F.ceil((F.col("all") - F.col("c")) * 2 / BIG).cast("int").alias("rests"), F.ceil(F.col("all") * 2 / BIG).cast("int").alias("tiles")))
+    rows = at.join(most, "bucket")
+    tile = lambda n: F.pmod(F.xxhash64("h", F.lit(2)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rows.where("component <> most").select("bucket", "h", tile("rests").alias("r"), every("tiles").alias("t"))
+    whole = rows.select("bucket", "h", every("rests").alias("r"), tile("tiles").alias("t"))
+    return rest.union(whole).select(F.xxhash64("bucket", "r", "t").alias("bucket"), "h").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -179,7 +227,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = cut(rows.select("doc", "h").distinct())
     lone = keys.groupBy("h").agg(F.min(F.struct((F.col("doc") == NO_ID).alias("no_id"), "doc")).alias("least"))
     owner = cut(lone.select("h", "least.*"))  # one row a text
-    met = cut(buckets(rows.select("h", "text")))
+    signs = cut(signed(rows.select("h", "text")).dropDuplicates(["h"]))
+    met = cut(buckets(signs).union(simhash_pairs(signs)).distinct())
     there = rows.join(cut(met.select("h").distinct().join(owner, "h").select("doc", "h")), ["doc", "h"], "left_semi").select("h", "text").dropDuplicates(["h"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +240,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(h[up[own]])], names=["src", "dst"])
 
-    placed = met.join(there, "h").select("bucket", "h", "text").repartition(partitions_for(docs), "bucket").sortWithinPartitions("bucket")
-    found = connected_components(cut(placed.mapInArrow(verify, "src long, dst long")))
+    def verified(members: DataFrame) -> DataFrame:
+        placed = members.join(there, "h").select("bucket", "h", "text").repartition(partitions_for(docs), "bucket").sortWithinPartitions("bucket")
+        return cut(placed.mapInArrow(verify, "src long, dst long"))
+
+    size = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BIG))
+    if size.head(1):
+        large = cut(met.join(size, "bucket").select("bucket", "h", "n"))
+        edges = verified(met.join(size, "bucket", "left_anti").select("bucket", "h").union(_parts(large)))
+        found = connected_components(edges)
+        edges = edges.union(verified(_apart(large, cut(found))))
+    else:
+        edges = verified(met)
+    found = connected_components(edges)
     named = owner.join(found.withColumnRenamed("node", "h"), "h", "left").select("h", "no_id", "doc", F.coalesce("component", "h").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct("no_id", "doc", "h")).alias("least"))
     stays = least.select(F.col("least.doc").alias("doc"), F.col("least.h").alias("h"), F.lit(True).alias("first"))

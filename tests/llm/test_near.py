@@ -52,6 +52,30 @@ def test_stage_equals_brute_force(spark):
     assert got == sorted(set(comp))  # neither a pair missed nor one too many
 
 
+def test_large_buckets_in_parts(spark, monkeypatch):
+    """One group of near copies, and texts with a common band that aren't similar: divided, as whole as by brute force."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(edited(rng, base, rng.choice([1, 2, 3, 4]))) for _ in range(60)]
+    texts += [" ".join(base[:75] + [f"t{i}x{j}" for j in range(rng.choice([20, 75]))]) for i in range(40)]
+    monkeypatch.setattr(near, "BIG", 12)
+    monkeypatch.setattr(near, "LEADERS", 2)
+    seen = []
+    apart = near._apart
+    monkeypatch.setattr(near, "_apart", lambda *x: seen.append(1) or apart(*x))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(set(components([grams(t) for t in texts]))) and seen
+
+
+def test_simhash_proposes_nearly_equal_texts(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(9999)}" for _ in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited(rng, base, 2))), (3, " ".join(rng.sample(base, 2000)))]
+    signs = near.signed(spark.createDataFrame(rows, "h long, text string"))
+    assert {r.h for r in near.simhash_pairs(signs).collect()} == {1, 2}
+
+
 def test_rows_have_their_own_decisions(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(100)]
