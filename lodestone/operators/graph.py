@@ -13,7 +13,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): every step is one
     min-aggregation by node and one join, and rounds grow with the logarithm of the longest
-    path. Self-loops make a node of their own; null ends are dropped; an empty table gives an
+    path. The minima are materialized, so both sides of a join are plain shuffles: a hub's edges are
+    split over tasks where adaptive execution finds them skewed, and small sides are broadcast by their
+    size. Self-loops make a node of their own; null ends are dropped; an empty table gives an
     empty result. Each round's edges are checkpointed, so a lost executor costs one round.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
@@ -23,10 +25,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         # large star: all larger neighbours of u point to the smallest of u and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: u and its smaller neighbours point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         now = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct())
         if not _unsettled(now):
