@@ -13,7 +13,11 @@ from lodestone.sources.tables import cut, remove, shared_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that are rejected go."""
+    """Failing lines go; documents that are rejected go.
+
+    Null and empty texts have no words and are rejected; a null id is like any other; repeated rows
+    are judged alike, each for itself. An empty table stays empty. Columns stay, n_chars follows the text.
+    """
     return quality.filtered(docs, quality.clean(docs))
 
 
@@ -21,6 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts that share 0.8 of their five-word shingles the row with the smallest id stays.
 
     Each row has its own decision: rows without an id come after all others, equal rows stay once.
+    Null, empty and blank texts are alike, so one of them stays. An empty table stays empty.
     """
     first = near.near_duplicates(docs).where("first").select("doc", "h")
     key = [F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
@@ -30,12 +35,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages stay in the first document only; documents that lose everything go."""
+    """Passages stay in the first document only (by id, null first, then by hash); documents that lose everything go.
+
+    Null and empty texts have nothing to lose and stay, a null text as an empty one. Repeated rows of one
+    id and text are one document: they lose nothing to each other. An empty table stays empty.
+    """
     return substring.deduped(docs, substring.dedup(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; each row has its own decision, with or without an id."""
+    """Documents that hold a window of a benchmark item go; each row has its own decision, with or without an id.
+
+    Null and empty texts hold none and stay, and so does everything where there are no items.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), F.coalesce("text", F.lit("")))
     rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -44,7 +56,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece of a document, with its place in a training sequence."""
+    """One row a piece of a document, with its place in a training sequence.
+
+    Null text is empty: one piece with the end id. Null and repeated ids and repeated rows are
+    documents each; pieces of equal length, id and number take slots in any order. An empty table gives no rows.
+    """
     return packing.pack(docs, capacity=1024, end=2)
 
 
