@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
-from lodestone.operators.graph import connected_components
+from lodestone.operators.graph import components_within
 from lodestone.sources.tables import cut
 
 #: Rows of a block that one task compares with as many others; larger blocks are tiled.
@@ -67,7 +67,7 @@ def in_session() -> Column:
 
 
 def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
-    """src, dst, distance of accepted pairs. Cheap tests form the join; costly ones run on what is left.
+    """Block, src, dst, distance of accepted pairs. Cheap tests form the join; costly ones run on what is left.
 
     A pair near in bits needs the strict distance. In the mode that groups poses a pair of one
     session may have the relaxed distance if its colours are similar. Both need the same people.
@@ -76,6 +76,7 @@ def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> D
     cheap = near_bits() | in_session() if s.groups_poses else near_bits()
     pairs = block_pairs(rows, PAIR, cheap, block)
     judged = pairs.select(
+        block,
         F.col("a_asset_id").alias("src"),
         F.col("b_asset_id").alias("dst"),
         of_pair(S.pair_distance, "feature", "hash").alias("distance"),
@@ -86,13 +87,13 @@ def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> D
     )
     strict = F.col("near") & (F.col("distance") <= s.strict)
     relaxed = F.col("session") & (F.col("distance") <= s.relaxed) & F.col("color")
-    return judged.where(F.col("people") & (strict | relaxed if s.groups_poses else strict)).select("src", "dst", "distance")
+    return judged.where(F.col("people") & (strict | relaxed if s.groups_poses else strict)).select(block, "src", "dst", "distance")
 
 
 def group_members(rows: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
-    """group_id (smallest member), asset_id of groups of two or more."""
-    edges = cut(accepted_pairs(rows, sensitivity, block))
-    return connected_components(edges).select(F.col("component").alias("group_id"), F.col("node").alias("asset_id"))
+    """group_id (smallest member), asset_id of groups of two or more; an asset stands in one block."""
+    edges = cut(accepted_pairs(rows, sensitivity, block).select(block, "src", "dst"))
+    return components_within(edges, block).select(F.col("component").alias("group_id"), F.col("node").alias("asset_id"))
 
 
 def group_confidence(members: DataFrame, rows: DataFrame) -> DataFrame:
