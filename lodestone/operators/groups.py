@@ -24,7 +24,8 @@ def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None
 
     A block above ``tile`` rows is cut into T tiles by id; a row meets the others tile by tile,
     so no task holds more than two tiles and a hot block's work spreads over T * T / 2 tasks.
-    Without such a block the pairs are a plain hash join. Other columns of ``rows`` are ignored.
+    Without such a block the pairs are a plain hash join. ``rows`` are computed and shuffled once: both
+    sides read the same exchange. Other columns of ``rows`` are ignored.
     """
     own = ["asset_id", *[c for c in dict.fromkeys(columns) if c != "asset_id"]]
     rows = rows.select(F.col(block).alias("__block"), *own)
@@ -35,6 +36,7 @@ def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None
         meet = F.transform(F.sequence(F.lit(0), F.col("__tiles") - 1), lambda i: F.struct(F.least(F.col("__tile"), i).alias("p"), F.greatest(F.col("__tile"), i).alias("q")))
         rows = tiled.withColumn("__cell", F.explode(meet)).select("__block", F.col("__cell.p").alias("__p"), F.col("__cell.q").alias("__q"), "__tile", *own)
         key, own = [*key, "__p", "__q"], ["__tile", *own]
+    rows = rows.repartition(*key)
     a, b = (rows.select(*key, *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "ab")
     on = [a[k] == b[k] for k in key] + [F.col("a_asset_id") < F.col("b_asset_id")]
     if "__tile" in own:  # a pair of one tile meets only in its own cell
@@ -74,9 +76,12 @@ def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> D
     """
     s = S.SENSITIVITIES[sensitivity]
     cheap = near_bits() | in_session() if s.groups_poses else near_bits()
-    pairs = block_pairs(rows, PAIR, cheap, block)
+    # filters aren't pushed below what isn't deterministic: in the join's condition the costly tests would
+    # stand before the cheap ones and run on all pairs of a block
+    pairs = block_pairs(rows, PAIR, cheap, block).withColumn("__task", F.spark_partition_id())
     judged = pairs.select(
         block,
+        "__task",
         F.col("a_asset_id").alias("src"),
         F.col("b_asset_id").alias("dst"),
         of_pair(S.pair_distance, "feature", "hash").alias("distance"),
@@ -87,7 +92,7 @@ def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> D
     )
     strict = F.col("near") & (F.col("distance") <= s.strict)
     relaxed = F.col("session") & (F.col("distance") <= s.relaxed) & F.col("color")
-    return judged.where(F.col("people") & (strict | relaxed if s.groups_poses else strict)).select(block, "src", "dst", "distance")
+    return judged.where((F.col("__task") >= 0) & F.col("people") & (strict | relaxed if s.groups_poses else strict)).select(block, "src", "dst", "distance")
 
 
 def group_members(rows: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:

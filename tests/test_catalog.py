@@ -46,3 +46,15 @@ def test_pairs_are_hash_joins_and_scans_are_pruned(spark):
     plan = G.accepted_pairs(G.with_block(derive_assets(spark, SF)), "balanced")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_costly_tests_run_behind_the_join(spark):
+    from lodestone.operators import groups as G
+    from lodestone.sources.assets import derive_assets
+
+    found = G.accepted_pairs(G.with_block(derive_assets(spark, SF)), "aggressive")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("forall" in line for line in joins)
+    assert "ReusedExchange" in plan or "ReusedQueryStage" in plan or "BroadcastHashJoin" in plan
