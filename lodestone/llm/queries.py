@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, language, packing, quality, simhash, sql, substring, suffixes, token_counts, token_store, warc
+from lodestone.llm import byte_bpe, decontaminate, language, packing, quality, simhash, sql, substring, suffixes, token_counts, token_store, warc
 from lodestone.sources.tables import shared_path
 
 
@@ -71,6 +71,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash": op10_simhash,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": sql.DECONTAMINATION,
