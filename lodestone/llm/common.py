@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from lodestone.sources.tables import cut
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a new table at a path."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def partitions_for(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

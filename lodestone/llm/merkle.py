@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions_for
+from lodestone.llm.common import partitions_for, written
 from lodestone.sources.tables import read_json, remove, write_json
 
 FANOUT, BITS = 16, 4
@@ -41,11 +41,6 @@ def leaf(values: Iterable[Column]) -> Column:
     return H(*map(field, values))
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _number(rows: DataFrame, order: list[str], path: str) -> DataFrame:
     """Rows with ``idx``, their place in their ``tree`` by ``order`` (nulls first), and ``n``, the tree's size.
 

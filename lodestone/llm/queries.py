@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, decontaminate, language, merkle, packing, quality, simhash, sql, substring, suffixes, token_counts, token_store, warc
+from lodestone.llm import byte_bpe, conversations, decontaminate, language, merkle, packing, quality, simhash, sql, substring, suffixes, token_counts, token_store, warc
 from lodestone.sources.tables import shared_path
 
 
@@ -75,6 +75,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), shared_path(spark, "manifest")
     merkle.write(docs, path, carry={"tampered": merkle.tampered(docs)})
@@ -93,10 +97,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash": op10_simhash,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": sql.DECONTAMINATION,
     "op5_warc": sql.WARC,
     "op7_quality_rules": sql.QUALITY,
+    "op12_conversation_repair": sql.REPAIR,
+    "op13_merkle_manifest": sql.MANIFEST,
 }
