@@ -1,7 +1,8 @@
 """Byte-level BPE encoding of Arrow text columns with the ``tokenizers`` library.
 
 The library encodes each different word piece once; a vectorised lookup by two 64-bit
-hashes places its ids wherever the piece occurs again. Pieces are cut at white space only
+hashes places its ids wherever the piece occurs again, if its bytes are those of the piece that was
+encoded (structured words can share both hashes; each of these is encoded by itself). Pieces are cut at white space only
 where the tokenizer's own pre-tokenizer cuts too, so ids equal those of whole-text encoding:
 before a run of ASCII white space and before the last character of a run that a word follows,
 after that character if it isn't a space, and between a Latin letter or digit and ASCII
@@ -26,7 +27,7 @@ VOCABULARY = "byte_bpe_50k.json"
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A piece that the pre-tokenizer surely keeps whole.
 ONE_WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
-#: Places of the table of known pieces, and pieces after which it starts anew: about 80 MB a worker.
+#: Places of the table of known pieces, and pieces after which it starts anew: about 90 MB a worker.
 SLOTS = 1 << 21
 MOST = 1 << 20
 #: Bytes of text that are encoded at once: the arrays beside them take about a hundred times that.
@@ -91,7 +92,8 @@ class Encoder:
     def clear(self) -> None:
         self.key, self.check, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         self.at, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
-        self.n = self.filled = 0
+        self.raw, self.raw_at, self.raw_size = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.n = self.filled = self.raw_filled = 0
 
     def _powered(self, n: int) -> None:
         if n > self.room:
@@ -117,17 +119,31 @@ class Encoder:
             todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
         return found
 
-    def _add(self, h: np.ndarray, h2: np.ndarray, ids: list[list[int]]) -> None:
-        """New entries; the pairs (h, h2) are different from each other and from all held."""
+    def _keep(self, pieces: list[bytes]) -> np.ndarray:
+        """New entries for these pieces: their bytes and ids, outside the table yet."""
+        ids = [self._ids(p.decode()) for p in pieces]
         n, size = len(ids), np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
         while self.n + n > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+            self.at, self.size, self.raw_at, self.raw_size = (np.resize(x, 2 * len(x)) for x in (self.at, self.size, self.raw_at, self.raw_size))
         while self.filled + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         new = np.arange(self.n, self.n + n, dtype=np.int32)
         self.at[new], self.size[new] = self.filled + np.cumsum(size) - size, size
         self.pool[self.filled : self.filled + len(flat)] = flat
+        data, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, n)
+        while self.raw_filled + len(data) > len(self.raw):
+            self.raw = np.resize(self.raw, 2 * len(self.raw))
+        self.raw_at[new], self.raw_size[new] = self.raw_filled + np.cumsum(size) - size, size
+        self.raw[self.raw_filled : self.raw_filled + len(data)] = data
+        self.n += n
+        self.filled += len(flat)
+        self.raw_filled += len(data)
+        return new
+
+    def _add(self, h: np.ndarray, h2: np.ndarray, pieces: list[bytes]) -> None:
+        """New entries in the table; the pairs (h, h2) are different from each other and from all held."""
+        new, n = self._keep(pieces), len(pieces)
         todo, slot = np.arange(n), (h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
         while len(todo):
             free = self.entry[slot] < 0
@@ -135,8 +151,20 @@ class Encoder:
             got = free & (self.entry[slot] == new[todo])
             self.key[slot[got]], self.check[slot[got]] = h[todo[got]], h2[todo[got]]
             todo, slot = todo[~got], (slot[~got] + 1) & (SLOTS - 1)
-        self.n += n
-        self.filled += len(flat)
+
+    def _other(self, entry: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Indexes of pieces data[s:e] whose bytes aren't those of their entry."""
+        size = e - s
+        other = size != self.raw_size[entry]
+        if other.any():
+            entry, s, size = entry[~other], s[~other], size[~other]
+        begin = np.cumsum(size) - size
+        here = np.arange(int(size.sum()))
+        differs = self.raw[here + np.repeat(self.raw_at[entry] - begin, size)] != data[here + np.repeat(s - begin, size)]
+        if not differs.any():
+            return np.flatnonzero(other)
+        at = np.unique(np.searchsorted(begin, np.flatnonzero(differs), side="right") - 1)
+        return np.sort(np.concatenate([np.flatnonzero(other), np.flatnonzero(~other)[at]]))
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -219,9 +247,12 @@ class Encoder:
             raw = data.tobytes()
             while len(miss):  # more than once if two pieces of a batch have an equal first hash
                 new = miss[np.unique(h[miss], return_index=True)[1]]
-                self._add(h[new], h2[new], [self._ids(raw[a:b].decode()) for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+                self._add(h[new], h2[new], [raw[a:b] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
                 entry[miss] = self._find(h[miss], h2[miss])
                 miss = miss[entry[miss] < 0]
+        other = self._other(entry, data, s, e)
+        if len(other):
+            entry[other] = self._keep([data[a:b].tobytes() for a, b in zip(s[other].tolist(), e[other].tolist(), strict=True)])
         length = self.size[entry].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool[np.repeat(self.at[entry] - before[:-1], length) + np.arange(before[-1])]

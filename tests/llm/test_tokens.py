@@ -36,6 +36,42 @@ def test_pieces_equal_whole_texts(texts):
     assert [got[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [ids(t, 7) for t in texts]
 
 
+def structured(k):
+    """The Thue-Morse word of 2^k letters and its complement: their polynomial hashes modulo 2^64 are equal from some length on."""
+    word = [0]
+    for _ in range(k):
+        word += [1 - x for x in word]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_structured_words_have_their_own_ids():
+    fresh = Encoder(vocabulary_path())
+    words = [w for k in range(8, 14) for w in structured(k)]
+    got, at = fresh.encode_column(pa.array(words + words[::-1], pa.string()), end=7)  # one batch
+    for i, t in enumerate(words + words[::-1]):
+        assert got[at[i] : at[i + 1]].tolist() == ids(t, 7)
+    fresh.clear()
+    for t in [*words, *words, "x " + words[-1] + " y " + words[-2]]:  # batch by batch
+        assert fresh.encode_column(pa.array([t], pa.string()), end=7)[0].tolist() == ids(t, 7)
+
+
+def test_structured_words_in_store_and_packing(spark):
+    rows = [(i, t) for i, t in enumerate([w for k in (9, 10, 11, 12) for w in structured(k)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = shared_path(spark, "store")
+    token_store.write(docs, store, end=0)
+    at, want = 0, []
+    for i, t in rows:
+        own = ids(t, 0)
+        want.append((i, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        at += len(own)
+    got = token_store.read_checksums(spark, store)
+    assert sorted(map(tuple, got.select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+    packed = packing.pack(docs, capacity=1024, end=2)
+    first = {i: ids(t, 2)[: (len(ids(t, 2)) - 1) % 1024 + 1] for i, t in rows}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in packed.where("piece = 0").collect()} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in first.items()}
+
+
 def test_crc_join():
     a, b = b"hello", b"wonderful world" * 99
     assert token_store.crc32_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
