@@ -158,14 +158,29 @@ class BatchLog:
         numbers = self._names("bases")
         return (int(numbers[-1]), read_json(self.spark, f"{self.root}/bases/{numbers[-1]}.json")) if numbers else (0, {})
 
-    def _since(self, base: dict) -> list[str]:
-        """Ids of committed batches that the base hasn't taken in: few, if compactions keep up."""
-        names = self._names("commits")
+    def _since(self, names: list[str], base: dict) -> list[str]:
+        """Of committed batches those that the base hasn't taken in: few, if compactions keep up."""
         if not base or not names:
             return names
         taken = self.spark.read.parquet(f"{self.root}/base-{base['name']}/batches").where(F.col("batch").isin(names)).collect()
         return sorted({*names} - {r.batch for r in taken})
 
+    def _state(self) -> tuple[int, dict, dict[str, str]]:
+        """(number of the base, its description, rows' names by batch since), as they stood together at one time.
+
+        Commits are listed before the base is read: what has gone from the list is in that base, and what
+        is in it is either taken by the base or still there. Where compactions remove a file meanwhile it starts
+        again, and each time another base counts.
+        """
+        while True:
+            names = self._names("commits")
+            number, base = self._base()
+            try:
+                return number, base, {x: read_json(self.spark, f"{self.root}/commits/{x}.json")["rows"] for x in self._since(names, base)}
+            except Exception:
+                if self._base()[0] == number:
+                    raise
+
     def has(self, batch: str) -> bool:
         """Whether a batch with this id is committed."""
         if batch in self._names("commits"):
@@ -186,27 +201,40 @@ class BatchLog:
             return False
         return True
 
-    def _read(self, base: dict, since: list[str]) -> DataFrame:
+    def _read(self, base: dict, since: dict[str, str]) -> DataFrame:
         found = [f"{self.root}/base-{base['name']}/rows"] if base else []
-        found += [f"{self.root}/rows/{read_json(self.spark, f'{self.root}/commits/{x}.json')['rows']}" for x in since]
+        found += [f"{self.root}/rows/{x}" for x in since.values()]
         return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        """The rows of the base and of the batches since, unmerged; none where nothing was committed."""
-        _, base = self._base()
-        return self._read(base, self._since(base))
+        """The rows of the base and of the batches since, unmerged; none where nothing was committed.
+
+        The result reads files that the second compaction after it removes: it then fails, it never lacks rows.
+        """
+        while True:
+            number, base, since = self._state()
+            try:
+                return self._read(base, since)
+            except Exception:  # its files went while it was planned
+                if self._base()[0] == number:
+                    raise
 
     def pending(self) -> int:
         """How many committed batches the base hasn't taken in."""
-        return len(self._since(self._base()[1]))
+        return len(self._state()[2])
+
+    def batches(self) -> list[str]:
+        """The ids of all committed batches, in their order."""
+        number, base, since = self._state()
+        taken = [r.batch for r in self.spark.read.parquet(f"{self.root}/base-{base['name']}/batches").collect()] if base else []
+        return sorted({*taken, *since})
 
     def compact(self, merge: Callable[[DataFrame], DataFrame]) -> bool:
         """Take all committed batches into a new base; False if there are none or another compaction was first.
 
         What the base before this one had taken in goes: whoever reads by that base needs it no more.
         """
-        number, base = self._base()
-        since = self._since(base)
+        number, base, since = self._state()
         if not since:
             return False
         name = uuid.uuid4().hex
@@ -215,7 +243,7 @@ class BatchLog:
         if base:
             ids = self.spark.read.parquet(f"{self.root}/base-{base['name']}/batches").union(ids)
         ids.write.parquet(f"{self.root}/base-{name}/batches")
-        if not place_new(self.spark, f"{self.root}/bases/{number + 1:012d}.json", {"name": name, "before": base.get("name"), "since": since}):
+        if not place_new(self.spark, f"{self.root}/bases/{number + 1:012d}.json", {"name": name, "before": base.get("name"), "since": sorted(since)}):
             remove(self.spark, f"{self.root}/base-{name}")
             return False
         if base.get("before"):
