@@ -36,6 +36,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Bytes of a piece that are compared in words of eight; by how many bits the bytes behind a piece's end are shifted out.
+LONG = 64
+LOST = np.array([0, *range(56, -1, -8)], np.uint64)
+
+
 def vocabulary_path(path: str | None = None) -> str:
     if path:
         return path
@@ -50,6 +55,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The little-endian number of the eight bytes from each place on (the last eight places have none)."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
 class Encoder:
     """Encodes batches; one lives in each Python worker."""
 
@@ -132,7 +142,7 @@ class Encoder:
         self.at[new], self.size[new] = self.filled + np.cumsum(size) - size, size
         self.pool[self.filled : self.filled + len(flat)] = flat
         data, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, n)
-        while self.raw_filled + len(data) > len(self.raw):
+        while self.raw_filled + len(data) + 8 > len(self.raw):
             self.raw = np.resize(self.raw, 2 * len(self.raw))
         self.raw_at[new], self.raw_size[new] = self.raw_filled + np.cumsum(size) - size, size
         self.raw[self.raw_filled : self.raw_filled + len(data)] = data
@@ -153,18 +163,21 @@ class Encoder:
             todo, slot = todo[~got], (slot[~got] + 1) & (SLOTS - 1)
 
     def _other(self, entry: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Indexes of pieces data[s:e] whose bytes aren't those of their entry."""
-        size = e - s
+        """Indexes of pieces data[s:e] whose bytes aren't those of their entry. Eight bytes are compared at once, and byte by byte in long pieces."""
+        size, at = e - s, self.raw_at[entry]
         other = size != self.raw_size[entry]
-        if other.any():
-            entry, s, size = entry[~other], s[~other], size[~other]
-        begin = np.cumsum(size) - size
-        here = np.arange(int(size.sum()))
-        differs = self.raw[here + np.repeat(self.raw_at[entry] - begin, size)] != data[here + np.repeat(s - begin, size)]
-        if not differs.any():
-            return np.flatnonzero(other)
-        at = np.unique(np.searchsorted(begin, np.flatnonzero(differs), side="right") - 1)
-        return np.sort(np.concatenate([np.flatnonzero(other), np.flatnonzero(~other)[at]]))
+        here, there = _words(np.concatenate([data, np.zeros(8, np.uint8)])), _words(self.raw)
+        todo = np.flatnonzero(~other)
+        for k in range(0, LONG, 8):
+            left = size[todo] - k
+            todo, left = todo[left > 0], left[left > 0]
+            if not len(todo):
+                break
+            differ = here[s[todo] + k] ^ there[at[todo] + k]
+            other[todo] |= differ << LOST[np.minimum(left, 8)] != 0
+        for i in np.flatnonzero(~other & (size > LONG)).tolist():
+            other[i] = not np.array_equal(data[s[i] : e[i]], self.raw[at[i] : at[i] + size[i]])
+        return np.flatnonzero(other)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
