@@ -8,11 +8,15 @@ MinHash bands: texts meet in a bucket where all ``ROWS`` minima of one of ``BAND
 pair at similarity s is missed by all bands with probability (1 - s^ROWS)^BANDS, 7 in 100,000 at 0.8
 and less above.
 
-Every link is verified on the whole shingle sets, so there are no false ones. Equal texts collapse
-before. Buckets with the same members are one. Within a bucket only texts that are not yet one
-component are compared, so a large group of copies costs a comparison a text. Buckets above ``BIG``
-texts are divided into parts that all hold a few common leaders; what then isn't one component with
-most of its bucket meets all of the bucket, part by part. No task holds more than a part.
+Every link is verified on the whole shingle sets. Equal texts collapse before, by the first 128 bits of
+their SHA-256, and a text is a number from then on. The first ``EARLY`` bands are verified
+first. Of the other bands and SimHash's pairs only buckets that aren't in one component by then move texts
+again, and of large ones only what is outside the largest component and a few leaders of it; so a text of a
+large group of near copies moves about twice and not for each band. Buckets with the same
+members are one. Within a bucket only texts that are not yet one component are compared, so a large group
+of copies costs a comparison a text. Bands above ``BIG`` texts are counted before anything is gathered and
+divided into parts that all hold a few common leaders; what then isn't one component with most of its
+bucket meets all of the bucket, part by part. No task holds more than a part.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions_for, plain, slices
@@ -32,6 +36,8 @@ from lodestone.sources.tables import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 24
+#: Bands that are verified before the others.
+EARLY = 2
 #: Texts of a bucket that one task compares, and those that stand in all its parts.
 BIG, LEADERS = 512, 8
 #: Shingles that are hashed at once.
@@ -133,13 +139,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def signed(texts: DataFrame) -> DataFrame:
-    """h, fp, bands of texts (h, text). Of equal texts that a task reads one is signed, so copies neither move nor cost much."""
+    """digest, fp, bands of texts (digest, text). Of equal texts that a task reads one is signed, so copies neither move nor cost much."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in slices(batches):
             keys, names, prints = [], [], []
-            for i, h in enumerate(b.column("h").to_pylist()):
+            for i, h in enumerate(b.column("digest").to_pylist()):
                 if h not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
@@ -150,55 +156,67 @@ def signed(texts: DataFrame) -> DataFrame:
                     prints.append(majority(own))
             flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
             at = pa.array(np.arange(len(names) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(at, flat)], names=["h", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(at, flat)], names=["digest", "fp", "bands"])
 
-    return texts.mapInArrow(sign, "h long, fp long, bands array<long>")
+    return texts.mapInArrow(sign, "digest binary, fp long, bands array<long>")
 
 
 def buckets(signs: DataFrame) -> DataFrame:
-    """bucket, h: the members of each MinHash bucket with more than one text, each set of members once."""
+    """bucket, h, n: the members of each MinHash bucket of n > 1 texts; of those up to ``BIG`` each set of members once.
+
+    Members are counted by partial aggregates. Only buckets up to ``BIG`` are gathered.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, members = [], []
+        names, members, sizes = [], [], []
         for _, rows in _grouped(batches, "band"):
-            if sum(x.num_rows for x in rows) < 2:
-                continue
             own = np.unique(np.concatenate([x.column("h").to_numpy() for x in rows]))
-            if len(own) < 2:
-                continue
             image = mixed(own.view(np.uint64))
             name = mixed(image.sum(keepdims=True) + mixed(np.bitwise_xor.reduce(image, keepdims=True) + np.uint64(len(own))))
             names.append(np.repeat(name.view(np.int64), len(own)))
             members.append(own)
+            sizes.append(np.full(len(own), len(own), np.int64))
             if sum(map(len, members)) > STEP:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, members)], names=["bucket", "h"])
-                names, members = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, members, sizes)], names=["bucket", "h", "n"])
+                names, members, sizes = [], [], []
         if names:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, members)], names=["bucket", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, members, sizes)], names=["bucket", "h", "n"])
 
     rows = signs.select(F.explode("bands").alias("band"), "h")
-    return rows.repartition(partitions_for(signs), "band").sortWithinPartitions("band").mapInArrow(meet, "bucket long, h long").distinct()
+    counted = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = rows.join(counted, "band")
+    small = rows.where(F.col("n") <= BIG).select("band", "h").repartition(partitions_for(signs), "band").sortWithinPartitions("band").mapInArrow(meet, "bucket long, h long, n long")
+    return small.distinct().union(rows.where(F.col("n") > BIG).select("band", "h", "n"))
 
 
 def simhash_pairs(signs: DataFrame) -> DataFrame:
-    """bucket, h: pairs of texts that hang together by equal or linked fingerprints (a pair is a bucket of two)."""
+    """bucket, h, n: pairs of texts that hang together by equal or linked fingerprints (a pair is a bucket of two)."""
     own = signs.groupBy("fp").agg(F.min("h").alias("first"))
     equal = signs.join(own, "fp").where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b"))
     near = links(own.select("fp"))
     near = near.join(own.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(own.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
-    return equal.union(near).select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("h"))
+    return equal.union(near).select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("h"), F.lit(2).cast("long").alias("n"))
 
 
 def _parts(large: DataFrame) -> DataFrame:
     """bucket, h of large buckets (bucket, h, n) divided into parts that hold their leaders too."""
     parts = F.ceil(F.col("n") / (BIG - LEADERS)).cast("int")
-    first = Window.partitionBy("bucket").orderBy(F.xxhash64("h"), "h")
-    lead = large.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS)
+    lead = large.groupBy("bucket", "n", F.pmod(F.xxhash64("h"), F.lit(LEADERS)).alias("k")).agg(F.min("h").alias("h"))
     own = large.select("bucket", "h", F.pmod(F.xxhash64("h", F.lit(1)), parts).alias("part"))
     own = own.union(lead.select("bucket", "h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
     return own.select(F.xxhash64("bucket", "part").alias("bucket"), "h").distinct()
 
 
+def _outside(large: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, h, n: what isn't in its large bucket's largest component of found, and a few leaders of that component."""
+    at = cut(large.join(found.withColumnRenamed("node", "h"), "h", "left").select("bucket", "h", F.coalesce("component", "h").alias("component")))
+    most = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
+    at = at.join(cut(most), "bucket")
+    lead = at.where("component = most").groupBy("bucket", F.pmod(F.xxhash64("h"), F.lit(LEADERS)).alias("k")).agg(F.min("h").alias("h"))
+    rows = cut(at.where("component <> most").select("bucket", "h").union(lead.select("bucket", "h")))
+    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+
+
 def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
     """bucket, h: what isn't one component with most of its large bucket, with all of the bucket, in parts.
 
@@ -215,21 +233,32 @@ def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
     return rest.union(whole).select(F.xxhash64("bucket", "r", "t").alias("bucket"), "h").distinct()
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits that stand for a text; null is empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
+    """The buckets of met (bucket, h, n) that aren't within one component of found (node, component)."""
+    at = met.join(found.withColumnRenamed("node", "h"), "h", "left").select("bucket", "h", "n", F.coalesce("component", "h").alias("component"))
+    at = cut(at)
+    mixed_ = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return at.join(mixed_, "bucket", "left_semi").select("bucket", "h", "n")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each different (doc_id, text): doc (NO_ID for a null id), h (hash of the text), first.
+    """One row for each different (doc_id, text): doc (NO_ID for a null id), digest (of the text), first.
 
     ``first`` is the one row to keep of a component: that with the smallest id, null ids after all
-    others, and of rows with this id that with the smallest hash. Case, white space and word order
+    others, and of rows with this id that with the smallest digest. Case, white space and word order
     beyond five words count as in the shingles; null text is empty, and texts without words are alike.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = plain(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
-    keys = cut(rows.select("doc", "h").distinct())
-    lone = keys.groupBy("h").agg(F.min(F.struct((F.col("doc") == NO_ID).alias("no_id"), "doc")).alias("least"))
-    owner = cut(lone.select("h", "least.*"))  # one row a text
-    signs = cut(signed(rows.select("h", "text")).dropDuplicates(["h"]))
-    met = cut(buckets(signs).union(simhash_pairs(signs)).distinct())
-    there = rows.join(cut(met.select("h").distinct().join(owner, "h").select("doc", "h")), ["doc", "h"], "left_semi").select("h", "text").dropDuplicates(["h"])
+    rows = plain(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), text_digest(text).alias("digest"), text.alias("text"))
+    keys = cut(rows.select("doc", "digest").distinct())
+    lone = keys.groupBy("digest").agg(F.min(F.struct((F.col("doc") == NO_ID).alias("no_id"), "doc")).alias("least"))
+    owner = cut(lone.select("digest", "least.*", F.monotonically_increasing_id().alias("h")))  # one row a text
+    signs = cut(signed(rows.select("digest", "text")).dropDuplicates(["digest"]).join(owner.select("digest", "h"), "digest").select("h", "fp", "bands"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _grouped(batches, "bucket"):
@@ -241,19 +270,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(h[up[own]])], names=["src", "dst"])
 
     def verified(members: DataFrame) -> DataFrame:
+        members = cut(members)
+        named = members.select("h").distinct().join(owner, "h").select("doc", "digest", "h")
+        there = rows.join(cut(named), ["doc", "digest"]).select("h", "text").dropDuplicates(["h"])
         placed = members.join(there, "h").select("bucket", "h", "text").repartition(partitions_for(docs), "bucket").sortWithinPartitions("bucket")
         return cut(placed.mapInArrow(verify, "src long, dst long"))
 
-    size = cut(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BIG))
-    if size.head(1):
-        large = cut(met.join(size, "bucket").select("bucket", "h", "n"))
-        edges = verified(met.join(size, "bucket", "left_anti").select("bucket", "h").union(_parts(large)))
-        found = connected_components(edges)
-        edges = edges.union(verified(_apart(large, cut(found))))
-    else:
-        edges = verified(met)
-    found = connected_components(edges)
-    named = owner.join(found.withColumnRenamed("node", "h"), "h", "left").select("h", "no_id", "doc", F.coalesce("component", "h").alias("component"))
-    least = named.groupBy("component").agg(F.min(F.struct("no_id", "doc", "h")).alias("least"))
-    stays = least.select(F.col("least.doc").alias("doc"), F.col("least.h").alias("h"), F.lit(True).alias("first"))
-    return keys.join(cut(stays), ["doc", "h"], "left").select("doc", "h", F.coalesce("first", F.lit(False)).alias("first"))
+    def parted(met: DataFrame) -> DataFrame:
+        large = met.where(F.col("n") > BIG)
+        return met.where(F.col("n") <= BIG).select("bucket", "h").union(_parts(large))
+
+    early = cut(buckets(signs.withColumn("bands", F.slice("bands", 1, EARLY))))
+    edges = verified(parted(early))
+    found = cut(connected_components(edges))
+    more = buckets(signs.withColumn("bands", F.slice("bands", EARLY + 1, BANDS))).union(simhash_pairs(signs)).distinct()
+    late = cut(_unsettled(more, found))
+    edges = edges.union(verified(parted(late.where(F.col("n") <= BIG).union(_outside(late.where(F.col("n") > BIG), found)))))
+    found = cut(connected_components(edges))
+    large = cut(_unsettled(early.union(late).where(F.col("n") > BIG), found))
+    if large.head(1):
+        found = connected_components(edges.union(verified(_apart(large, found))))
+    named = owner.join(found.withColumnRenamed("node", "h"), "h", "left").select("digest", "no_id", "doc", F.coalesce("component", "h").alias("component"))
+    least = named.groupBy("component").agg(F.min(F.struct("no_id", "doc", "digest")).alias("least"))
+    stays = least.select(F.col("least.doc").alias("doc"), F.col("least.digest").alias("digest"), F.lit(True).alias("first"))
+    return keys.join(cut(stays), ["doc", "digest"], "left").select("doc", "digest", F.coalesce("first", F.lit(False)).alias("first"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents without near-duplicates: of each component the row that ``near_duplicates`` keeps.
+
+    Of rows that share this id and text but differ in other columns the one with the smallest hash of the
+    whole row stays, whatever the partitioning; of equal rows one stays. Columns stay as they are.
+    """
+    first = near_duplicates(docs).where("first").select("doc", "digest")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), text_digest(F.col("text")).alias("digest"), F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("order"))
+    kept = kept.join(cut(first), ["doc", "digest"], "left_semi")
+    if kept.groupBy("doc", "digest").count().where("count > 1").head(1):
+        kept = kept.groupBy("doc", "digest").agg(F.min_by("row", "order").alias("row"))
+    return kept.select("row.*")

@@ -72,7 +72,8 @@ def test_simhash_proposes_nearly_equal_texts(spark):
     rng = random.Random(6)
     base = [f"w{rng.randrange(9999)}" for _ in range(2000)]
     rows = [(1, " ".join(base)), (2, " ".join(edited(rng, base, 2))), (3, " ".join(rng.sample(base, 2000)))]
-    signs = near.signed(spark.createDataFrame(rows, "h long, text string"))
+    signs = near.signed(spark.createDataFrame([(bytes([i]), i, t) for i, t in rows], "digest binary, h long, text string"))
+    signs = signs.selectExpr("cast(conv(hex(digest), 16, 10) as long) h", "fp", "bands")
     assert {r.h for r in near.simhash_pairs(signs).collect()} == {1, 2}
 
 
@@ -88,6 +89,33 @@ def test_rows_have_their_own_decisions(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_ties_have_one_result(spark):
+    """Rows that share id and text but differ elsewhere: the same one stays for any partitioning."""
+    text = "a text of more than five words that all share"
+    rows = [(1, text, s, i) for i, s in enumerate("abcdefgh")] + [(1, text, "a", 0), (None, "other", None, 1), (None, "other", "x", 2)]
+    kept = set()
+    for n in (1, 2, 3, 5):
+        docs = spark.createDataFrame(rows[::-1] if n % 2 else rows, "doc_id long, text string, source string, k int").repartition(n)
+        kept.add(tuple(sorted(map(str, near.deduplicated(docs).collect()))))
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
+def test_hot_band_is_divided(spark, monkeypatch):
+    """3,000 near copies share bands: no task gathers them, and their texts move for few buckets."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 1))) for i in range(3_000)] + [(9_000 + i, f"alone {i} " + " ".join(f"q{i}x{j}" for j in range(30))) for i in range(50)]
+    moved = []
+    cut = near.cut
+    monkeypatch.setattr(near, "cut", lambda df: moved.append(out := cut(df)) or out)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in near.deduplicated(docs).collect())
+    assert got == [0, *range(9_000, 9_050)]
+    members = [df for df in moved if df.columns == ["bucket", "h"]]
+    assert members and max(df.groupBy("bucket").count().agg({"count": "max"}).first()[0] for df in members if df.head(1)) <= 2 * near.BIG
+    assert sum(df.count() for df in members) < 4 * 3_000  # it was 22 times each text
+
+
 def test_linked_is_whole():
     rng = random.Random(3)
     texts = corpus(rng)[:100]
