@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, near, packing, quality, substring
 from lodestone.llm.spans import NO_ID
-from lodestone.sources.tables import cut, remove, shared_path
+from lodestone.sources.tables import remove, shared_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts that share 0.8 of their five-word shingles the row with the smallest id stays.
 
-    Each row has its own decision: rows without an id come after all others, equal rows stay once.
-    Null, empty and blank texts are alike, so one of them stays. An empty table stays empty.
+    Each row has its own decision: rows without an id come after all others, and of rows that share id and
+    text the one with the smallest hash of the whole row stays. Null, empty and blank texts are alike, so one
+    of them stays. An empty table stays empty.
     """
-    first = near.near_duplicates(docs).where("first").select("doc", "h")
-    key = [F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
-    kept = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(cut(first), ["doc", "h"], "left_semi")
-    repeated = kept.groupBy("doc", "h").count().where("count > 1").head(1)
-    return (kept.dropDuplicates(["doc", "h"]) if repeated else kept).select("row.*")
+    return near.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
