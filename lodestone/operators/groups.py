@@ -101,11 +101,31 @@ def group_members(rows: DataFrame, sensitivity: str, block: str = "block") -> Da
     return components_within(edges, block).select(F.col("component").alias("group_id"), F.col("node").alias("asset_id"))
 
 
+def _ones(word: Column) -> Column:
+    """How many of the values of a 64-bit column have each bit, as an array of 64 counts."""
+    return F.array(*[F.sum(F.shiftrightunsigned(word, i).bitwiseAND(1)) for i in range(64)])
+
+
 def group_confidence(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """group_id, n, confidence: 1 - mean distance over all pairs of members, within 0.5 and 0.99."""
-    data = members.join(rows.select("asset_id", "hash", "feature"), "asset_id")
-    pairs = block_pairs(data, ["hash", "feature"], block="group_id")
-    mean = pairs.groupBy("group_id").agg(F.avg(of_pair(S.pair_distance, "feature", "hash")).alias("mean"))
+    """group_id, n, confidence: 1 - mean distance over all pairs of members, within 0.5 and 0.99.
+
+    Members with feature vectors of one size meet in pairs. All other pairs differ by the bits of their
+    hashes, and the sum of these needs no pairs: of n values a bit that m of them have differs in
+    m * (n - m) pairs. So a group's sum is that over all its members, less that within each size of
+    vectors, plus the distances of those vectors. Pairs without any distance don't count; a group of only such pairs has 0.5.
+    """
+    vector = F.when(~F.exists("feature", lambda x: x.isNull()), F.col("feature"))
+    data = members.select("group_id", "asset_id").join(rows.select("asset_id", "hash", vector.alias("feature")), "asset_id").withColumn("size", F.size("feature"))
+    size = data.groupBy("group_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count("hash").alias("h"), _ones(F.col("hash")).alias("ones"))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    bits = lambda ones, n: F.aggregate(ones, F.lit(0.0), lambda s, m: s + F.coalesce(m, F.lit(0)).cast("double") * (F.col(n) - F.coalesce(m, F.lit(0)))) / 64
+    sized = F.col("size").isNotNull()
+    size = size.select("group_id", "h", "ones", F.when(sized, pairs("n") - pairs("h")).otherwise(0.0).alias("pairs"), F.when(sized, -bits(F.col("ones"), "h")).otherwise(0.0).alias("bits"))
+    whole = size.groupBy("group_id").agg(F.sum("h").alias("h"), F.sum("pairs").alias("pairs"), F.sum("bits").alias("bits"), F.array(*[F.sum(F.col("ones")[i]) for i in range(64)]).alias("ones"))
+    whole = whole.select("group_id", (F.col("pairs") + pairs("h")).alias("pairs"), (F.col("bits") + bits(F.col("ones"), "h")).alias("sum"))
+    near = block_pairs(data.where(sized).withColumn("class", F.concat_ws("|", "group_id", "size")), ["group_id", "feature"], block="class")
+    near = near.groupBy(F.col("a_group_id").alias("group_id")).agg(F.sum(of_pair(S.vector_distance, "feature")).alias("vectors"))
+    mean = whole.join(near, "group_id", "left").select("group_id", ((F.col("sum") + F.coalesce("vectors", F.lit(0.0))) / F.nullif("pairs", F.lit(0.0))).alias("mean"))
     size = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     return size.join(mean, "group_id", "left").select("group_id", "n", F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(S.clamp(1 - F.col("mean"), 0.5, 0.99)).alias("confidence"))
 

@@ -74,7 +74,8 @@ def analyze(rows: DataFrame, listed: DataFrame, off: tuple[str, ...] = (), libra
     data = data.select("asset_id", library, "session", "session_type", "lat", "lon", (F.col("width") / F.nullif(F.col("height"), F.lit(0))).alias("aspect"), F.when(F.col("session_type") == "droneLike", F.col("altitude")).alias("altitude"))
     known = data.join(ranked, "asset_id", "left")
     keeper = known.where("is_keeper").select("group_id", *[F.col(c).alias(f"k_{c}") for c in ("lat", "lon", "aspect", "altitude")])
-    both = known.join(keeper, "group_id", "left")
+    # what is in no group has no keeper to meet: as a null key it would all go to one task
+    both = known.where("group_id is not null").join(keeper, "group_id", "left").unionByName(known.where("group_id is null"), allowMissingColumns=True)
     unique = S.unique_angle(F.col("altitude"), F.col("k_altitude"), F.col("lat"), F.col("lon"), F.col("k_lat"), F.col("k_lon"), F.coalesce("aspect", F.lit(0.0)), F.coalesce("k_aspect", F.lit(0.0)))
     role = F.when(F.col("group_id").isNull(), "protected").when(F.col("is_keeper"), "best").when((F.size("reasons") > 0) | unique, "protected").otherwise("redundant")
     return both.select(library, "session", "session_type", "asset_id", role.alias("role"))
