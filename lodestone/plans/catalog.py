@@ -15,7 +15,7 @@ from lodestone.operators import images, state
 from lodestone.operators import sessions as N
 from lodestone.plans.oracles import ORACLES
 from lodestone.sources import assets as A
-from lodestone.sources.tables import BatchLog, cut, read_table, replace_table, shared_path
+from lodestone.sources.tables import BatchLog, Deletions, cut, read_table, replace_table, shared_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -425,9 +425,16 @@ def stored_groups(assets):
 
 @query
 def reviewed_groups(assets):
-    """Stored groups without those that were reviewed."""
-    members = grouped(assets)[1]
-    return state.without_reviewed(members, members.where("group_id % 3 = 0").select("group_id").distinct(), "group_id")
+    """Stored groups without those that were reviewed: in two batches, one of them sent twice, with a compaction between."""
+    spark, members = assets.sparkSession, grouped(assets)[1]
+    at = shared_path(spark, "groups")
+    replace_table(members, at)
+    stored = Deletions(spark, at, "group_id long, asset_id long", ["group_id"])
+    stored.delete(members.where("group_id % 6 = 0"), "a")
+    stored.compact()
+    for _ in range(2):
+        stored.delete(members.where("group_id % 6 = 3"), "b")
+    return stored.read()
 
 
 @query
@@ -460,12 +467,43 @@ def stored_sessions(assets):
 
 @query
 def request_signatures(assets):
-    """Names of resumable jobs, one a kind of request."""
-    low = datetime(2026, 1, 1, tzinfo=UTC)
-    scopes = [A.Everything(), A.Recent(300), A.DateRange(low, datetime(2026, 1, 31, tzinfo=UTC)), A.Album(7)]
-    options = [A.Options(), A.Options(False, False, "dogs", "paris")]
-    rows = [(f"{i}{j}{k}", A.Request(s, o, kind=k).signature) for i, s in enumerate(scopes) for j, o in enumerate(options) for k in ("duplicates", "sessions")]
-    return assets.sparkSession.createDataFrame(rows, "name string, signature string")
+    """Names of resumable jobs: an album scan and a scan of its dates, for the albums as they are."""
+    rows = A.album_members(assets).join(assets.select("asset_id", "capture_ts"), "asset_id").groupBy("album_id").agg(F.min(F.unix_timestamp("capture_ts")).alias("low"), F.max(F.unix_timestamp("capture_ts")).alias("high"))
+    found, at = [], lambda s: datetime.fromtimestamp(s, UTC)
+    for r in rows.orderBy("album_id").collect():  # albums as a person lists them
+        for kind, scope in (("duplicates", A.Album(r.album_id)), ("sessions", A.DateRange(at(r.low), at(r.high)))):
+            found.append((r.album_id, kind, A.Request(scope, A.Options(r.album_id % 2 == 0, content_query="dogs"), kind=kind).signature))
+    return assets.sparkSession.createDataFrame(found, "album_id long, kind string, signature string")
+
+
+def interrupted(assets: DataFrame, kind: str = "duplicates"):
+    """An engine whose scan of everything was stopped after two of about five batches, and again after two more."""
+    from lodestone.plans.tools import Engine
+
+    store, size = shared_path(assets.sparkSession, "scan"), assets.count() // 5 + 1
+    engine = lambda: Engine(assets.sparkSession, assets, store, batch_rows=size)
+    first = engine()
+    first.begin(first.request(A.Everything(), kind=kind), 2)
+    second = engine()
+    second.job(second.incomplete().first()).analyze(second.analyzer, 2)
+    return engine()
+
+
+@query
+def resumed_scan(assets):
+    """Groups of a scan that was stopped twice and then continued."""
+    engine = interrupted(assets)
+    engine.continue_last_scan()
+    return engine.groups().select("group_id", "asset_id", "keeper_id")
+
+
+@query
+def resumed_coverage(assets):
+    """How many targets a continued scan had, covered and skipped, as its own read of them counted."""
+    engine = interrupted(assets, "sessions")
+    engine.continue_last_scan()
+    c = engine.coverage
+    return assets.sparkSession.createDataFrame([(c.targets, c.covered, c.skipped, engine.incomplete().count())], "n_targets long, n_covered long, n_skipped long, n_incomplete long")
 
 
 @query

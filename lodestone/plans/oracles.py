@@ -77,6 +77,7 @@ def _with(*parts: str) -> str:
 
 
 ROWS = "rows as (select * from assets)"
+SCANNED = "rows as (select * from assets where not is_hidden and not is_favorite and analysis_version >= 3)"
 GROUPS = [ASSETS, ROWS, _pairs("balanced"), _components()]
 CONFIDENCE = f"""confidence as (select m.group_id, count(distinct m.asset_id) n, least(0.99::double, greatest(0.5::double, 1 - avg({DISTANCE}))) confidence
 from members m join members o on m.group_id = o.group_id and m.asset_id < o.asset_id join assets a on a.asset_id = m.asset_id join assets b on b.asset_id = o.asset_id group by m.group_id),
@@ -261,7 +262,11 @@ ORACLES: dict[str, str] = {
     "group_by_id": _with(*GROUPS) + "select group_id, asset_id from members where group_id = (select max(group_id) from members)",
     "album_append": _with(*GROUPS) + "select 'Best' title, arg_max(asset_id, row(pixel_count, -asset_id)) asset_id from members join assets using (asset_id) group by group_id",
     "stored_sessions": _with(*ROLES) + f"select library_id, session, session_type, {_STAMP.format('start_ts')} start_ts, count_if(role = 'best')::bigint n_best, count_if(role = 'protected')::bigint n_protected, count_if(role = 'redundant')::bigint n_redundant from typed join roles using (library_id, session, session_type) group by library_id, session, session_type, typed.start_ts",
-    "request_signatures": "select printf('%d%d', i, j) || kind as name, concat_ws('|', kind, ['all', 'recent:300', 'date:1767225600-1769817600', 'album:7'][i + 1], ['True|True||', 'False|False|dogs|paris'][j + 1], 'balanced') signature from (select unnest(range(0, 4))::int i), (select unnest(range(0, 2))::int j), (select unnest(['duplicates', 'sessions']) kind)",
+    "request_signatures": _with(ASSETS)
+    + """select album_id, kind, concat_ws('|', kind, case when kind = 'duplicates' then concat('album:', album_id) else concat('date:', low, '-', high) end, case when album_id % 2 = 0 then 'True' else 'False' end, 'True', 'dogs', '', 'balanced') signature
+from (select scene % 10 album_id, floor(epoch(min(capture_ts)))::bigint low, floor(epoch(max(capture_ts)))::bigint high from assets group by 1), (select unnest(['duplicates', 'sessions']) kind)""",
+    "resumed_scan": _with(ASSETS, SCANNED, _pairs("balanced"), _components(), _ranked(confidence=False)) + "select m.group_id, m.asset_id, k.asset_id keeper_id from members m join ranked k on k.group_id = m.group_id and k.is_keeper",
+    "resumed_coverage": _with(ASSETS) + "select count(*) n_targets, count_if(analysis_version >= 3)::bigint n_covered, count_if(analysis_version < 3)::bigint n_skipped, 0::bigint n_incomplete from assets where not is_hidden and not is_favorite",
     "checkpoint_latest": _with(ASSETS) + "select concat('recent:', library_id) signature, max(asset_id) updated_at, library_id % 4 = 3 is_complete from assets group by library_id having library_id % 4 <> 3 order by max(asset_id) desc limit 1",
     "nl_parse": _with(ASSETS, REQUESTS, PARSED)
     + f"select asset_id, case when low <> '' then mode end as mode, case when low <> '' then phrase end phrase, {_STAMP.format(_START)} start_ts, {_STAMP.format(_END)} end_ts, case when low <> '' then {_LIMIT} end recent_limit, case when low <> '' then include_screenshots end include_screenshots, content_query, location_query, case when low <> '' then {_look_up('mode', T.MODE_SENSITIVITY)} end sensitivity, low <> '' and (phrase is not null or named_mode is not null or not include_screenshots or content_query is not null or location_query is not null) understood, case when low <> '' then {_summary('include_screenshots')} end summary from parsed",

@@ -5,6 +5,7 @@ Nothing here deletes an asset: commands return what a person may review.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from lodestone.operators import groups as G
 from lodestone.operators import sessions as N
 from lodestone.operators import state
 from lodestone.sources import assets as A
-from lodestone.sources.tables import cut, read_table, replace_table
+from lodestone.sources.tables import Deletions, cut, replace_table
+from lodestone.streaming.jobs import BATCH_ROWS, Coverage, Journal, ScanJob
 
 #: Scan sizes that a person may choose, and the album size above which to confirm.
 SCAN_SIZES = [100, 300, 1000, 5000]
@@ -43,6 +45,11 @@ class Engine:
     settings: Settings = field(default_factory=Settings)
     albums: DataFrame | None = None
     places: DataFrame | None = None
+    #: Gives the analysis of rows that have none; here that is what came with them.
+    analyzer: Callable[[DataFrame], DataFrame] = state.valid
+    batch_rows: int = BATCH_ROWS
+    #: Of the last scan that this engine finished.
+    coverage: Coverage | None = None
 
     # scans
 
@@ -56,33 +63,55 @@ class Engine:
 
     def start_photo_scan(self, request: A.Request) -> str:
         """Scan, group, rank and replace the stored groups (or sessions, by the request's kind)."""
-        self._checkpoint(request, False)
-        rows = cut(state.valid(self.targets(request)))
-        if request.kind == "sessions":
+        job = self.begin(request)
+        self._finish(job, request.signature, request.kind, request.sensitivity)
+        return f"Starting a {request.sensitivity} scan. I'll open the results for you to review — nothing is deleted automatically."
+
+    def begin(self, request: A.Request, batches: int | None = 0) -> ScanJob:
+        """Fix a scan's targets and its checkpoint, and analyse so many batches (None: all)."""
+        job = ScanJob.begin(self.targets(request), self.store, [F.desc_nulls_last("capture_ts"), F.col("asset_id")], self.batch_rows)
+        self.journal.put(request.signature, request.kind, request.sensitivity, job.name, False)
+        if batches != 0:
+            job.analyze(self.analyzer, batches)
+        return job
+
+    def continue_last_scan(self) -> str:
+        """Go on with the scan that was begun last and never ended: batches that it committed stay as they are."""
+        last = self.incomplete().first()
+        if last is None:
+            return self.get_duplicate_groups()
+        self._finish(self.job(last), last.signature, last.kind, last.sensitivity)
+        return f"Continuing your last {last.sensitivity} scan. I'll open the results for you to review — nothing is deleted automatically."
+
+    def job(self, checkpoint) -> ScanJob:
+        """The job that a checkpoint names."""
+        return ScanJob(self.spark, self.store, self.assets.schema, checkpoint.job)
+
+    def _finish(self, job: ScanJob, signature: str, kind: str, sensitivity: str) -> None:
+        job.analyze(self.analyzer)
+        rows, self.coverage = job.result(cut)
+        if kind == "sessions":
             timed = cut(N.sessionize(rows))
             replace_table(N.analyze(timed, cut(N.sessions(timed))).select(*[F.col(c).cast(t) for c, t in (x.split() for x in ROLES.split(", "))]), f"{self.store}/sessions")
         else:
             rows = G.with_block(rows)
-            members = cut(G.group_members(rows, request.sensitivity))
+            members = cut(G.group_members(rows, sensitivity))
             ranked = G.rank_groups(members, rows, off=self.settings.unprotected)
             best = G.keepers(G.placeholder_keeper(members, rows), ranked)
             found = members.join(G.group_confidence(members, rows).select("group_id", "confidence"), "group_id").join(best, "group_id")
             replace_table(found.select("group_id", "asset_id", "confidence", "keeper_id"), f"{self.store}/groups")
-        self._checkpoint(request, True)
-        return f"Starting a {request.sensitivity} scan. I'll open the results for you to review — nothing is deleted automatically."
+        self.journal.put(signature, kind, sensitivity, job.name, True)
 
-    def _checkpoint(self, request: A.Request, complete: bool) -> None:
-        path = f"{self.store}/checkpoints"
-        new = self.spark.createDataFrame([(request.signature, request.kind, complete)], "signature string, kind string, is_complete boolean").withColumn("updated_at", F.current_timestamp())
-        old = self._read("checkpoints", "signature string, kind string, is_complete boolean, updated_at timestamp")
-        replace_table(state.upsert(old, new, "signature", "updated_at"), path)
+    @property
+    def journal(self) -> Journal:
+        return Journal(self.spark, self.store)
 
     def incomplete(self) -> DataFrame:
         """The scan that was begun last and never ended, with its kind."""
-        return state.latest_checkpoint(self._read("checkpoints", "signature string, kind string, is_complete boolean, updated_at timestamp"))
+        return self.journal.incomplete()
 
     def skipped(self, request: A.Request) -> int:
-        """How many targets have no valid analysis."""
+        """How many targets have no valid analysis; after a scan ``coverage`` has it without another one."""
         rows = self.targets(request)
         return state.coverage(rows.select("asset_id"), rows.select("asset_id", "analysis_version")).first()["n_skipped"]
 
@@ -104,14 +133,19 @@ class Engine:
 
     # stored results
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return read_table(self.spark, f"{self.store}/{name}", schema)
+    @property
+    def group_table(self) -> Deletions:
+        return Deletions(self.spark, f"{self.store}/groups", GROUPS, ["group_id"])
+
+    @property
+    def session_table(self) -> Deletions:
+        return Deletions(self.spark, f"{self.store}/sessions", ROLES, ["library_id", "session"])
 
     def groups(self) -> DataFrame:
-        return self._read("groups", GROUPS)
+        return self.group_table.read()
 
     def session_roles(self) -> DataFrame:
-        return self._read("sessions", ROLES)
+        return self.session_table.read()
 
     def ranked(self, confidence: bool = True, groups: DataFrame | None = None) -> DataFrame:
         own = self.groups() if groups is None else groups
@@ -175,9 +209,12 @@ class Engine:
         return f'I created the album "{title}" with {n} {_s("photo", n)}.'
 
     def review_done(self, group_id: int) -> None:
-        """Drop a reviewed group from the stored ones."""
-        done = self.spark.createDataFrame([(group_id,)], "group_id long")
-        replace_table(state.without_reviewed(self.groups(), done, "group_id"), f"{self.store}/groups")
+        """Take a reviewed group out of the stored ones: one row in a log, also if others review meanwhile."""
+        self.group_table.delete(self.spark.createDataFrame([(group_id,)], "group_id long"))
+
+    def session_review_done(self, library_id: int, session: int) -> None:
+        """Take a reviewed session out of the stored ones."""
+        self.session_table.delete(self.spark.createDataFrame([(library_id, session)], "library_id long, session long"))
 
 
 def _s(word: str, n: int) -> str:

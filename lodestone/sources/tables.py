@@ -111,9 +111,19 @@ def read_table(spark: SparkSession, path: str, schema: str | StructType) -> Data
     return spark.read.schema(schema).parquet(f"{path}/{read_json(spark, f'{path}/current.json')['version']}")
 
 
-def replace_table(df: DataFrame, path: str) -> None:
+def generation(spark: SparkSession, path: str) -> str | None:
+    """Names the contents of a table since they were last replaced by others; None where there is no table."""
+    if not exists(spark, f"{path}/current.json"):
+        return None
+    found = read_json(spark, f"{path}/current.json")
+    return found.get("generation", found["version"])
+
+
+def replace_table(df: DataFrame, path: str, same: str | None = None) -> None:
     """Replace a table in one step: a new version folder, then the pointer ``current.json``.
 
+    ``same`` keeps the name of a generation: the rows are those of it, less some that were deleted.
+
     ``df`` may read the old version. Until the pointer is renamed the old version is the table, also
     after a crash; what a crashed run left goes with the next replacement. The version before stays for
     those who still read it.
@@ -121,7 +131,7 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     before = read_json(spark, f"{path}/current.json")["version"] if exists(spark, f"{path}/current.json") else None
     df.write.parquet(f"{path}/{version}")
-    write_json(spark, f"{path}/current.json", {"version": version, "before": before})
+    write_json(spark, f"{path}/current.json", {"version": version, "before": before, "generation": same or version})
     fs, at = hadoop(spark, path)
     for old in fs.listStatus(at):
         if old.isDirectory() and old.getPath().getName() not in (version, before):
@@ -254,3 +264,36 @@ class BatchLog:
                 remove(self.spark, f"{self.root}/rows/{read_json(self.spark, at)['rows']}")
                 remove(self.spark, at)
         return True
+
+
+class Deletions:
+    """Rows taken out of a table that ``replace_table`` wrote, as a log of their keys beside it.
+
+    A deletion writes one small batch, however large the table is, and deletions at the same time all
+    count. Readers leave deleted keys out. A key counts for one generation of the table: contents that
+    replace it are whole again. ``compact`` writes the table without the deleted rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+        types = dict(c.split() for c in schema.split(", "))
+        self.log = BatchLog(spark, f"{path}-deleted", ", ".join([*[f"{k} {types[k]}" for k in keys], "generation string"]))
+
+    def delete(self, keys: DataFrame, batch: str | None = None) -> bool:
+        """Take out the rows with these keys; False if this batch was there before."""
+        now = generation(self.spark, self.path) or ""
+        return self.log.commit(keys.select(*self.keys).distinct().withColumn("generation", F.lit(now)), batch or uuid.uuid4().hex)
+
+    def _deleted(self) -> DataFrame:
+        return self.log.read().where(F.col("generation") == (generation(self.spark, self.path) or "")).select(*self.keys)
+
+    def read(self) -> DataFrame:
+        """The rows that are left."""
+        return read_table(self.spark, self.path, self.schema).join(self._deleted(), self.keys, "left_anti")
+
+    def compact(self) -> None:
+        """Write the table without its deleted rows; their keys go when a later compaction finds another generation."""
+        now = generation(self.spark, self.path)
+        if now is not None:
+            replace_table(self.read(), self.path, now)
+            self.log.compact(lambda rows: rows.where(F.col("generation") == now).distinct())
