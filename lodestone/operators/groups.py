@@ -68,18 +68,44 @@ def in_session() -> Column:
     return S.same_session(F.col("a_capture_ts"), F.col("b_capture_ts"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
 
 
+def cross_pairs(left: DataFrame, right: DataFrame, columns: list[str], theta: Column | None = None, block: str = "block", tile: int = TILE) -> DataFrame:
+    """Pairs of a row of ``left`` and one of ``right`` in the same block, as ``block_pairs`` has them.
+
+    No asset stands on both sides. A block that has more than ``tile`` rows on the right is cut into tiles by
+    id, and the rows on the left meet each of them.
+    """
+    own = ["asset_id", *[c for c in dict.fromkeys(columns) if c != "asset_id"]]
+    sizes = right.groupBy(F.col(block).alias("__block")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("__tiles"))
+    tiles = lambda rows: rows.select(F.col(block).alias("__block"), *own).join(sizes, "__block")
+    x = tiles(left).select("__block", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"), *[F.col(c).alias(f"x_{c}") for c in own])
+    y = tiles(right).select("__block", F.pmod(F.xxhash64("asset_id"), F.col("__tiles")).cast("int").alias("__tile"), *[F.col(c).alias(f"y_{c}") for c in own])
+    first = F.col("x_asset_id") < F.col("y_asset_id")
+    sides = [F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{side}_{c}") for side, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in own]
+    pairs = x.join(y, ["__block", "__tile"]).select(F.col("__block").alias(block), *sides)
+    return pairs if theta is None else pairs.where(theta)
+
+
+def cheap_test(sensitivity: str) -> Column:
+    """What a pair has to pass before the costly tests."""
+    return near_bits() | in_session() if S.SENSITIVITIES[sensitivity].groups_poses else near_bits()
+
+
 def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
     """Block, src, dst, distance of accepted pairs. Cheap tests form the join; costly ones run on what is left.
 
     A pair near in bits needs the strict distance. In the mode that groups poses a pair of one
     session may have the relaxed distance if its colours are similar. Both need the same people.
     """
+    return judged(block_pairs(rows, PAIR, cheap_test(sensitivity), block), sensitivity, block)
+
+
+def judged(pairs: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
+    """Block, src, dst, distance of those pairs that passed the cheap tests and pass the others too."""
     s = S.SENSITIVITIES[sensitivity]
-    cheap = near_bits() | in_session() if s.groups_poses else near_bits()
     # filters aren't pushed below what isn't deterministic: in the join's condition the costly tests would
     # stand before the cheap ones and run on all pairs of a block
-    pairs = block_pairs(rows, PAIR, cheap, block).withColumn("__task", F.spark_partition_id())
-    judged = pairs.select(
+    pairs = pairs.withColumn("__task", F.spark_partition_id())
+    found = pairs.select(
         block,
         "__task",
         F.col("a_asset_id").alias("src"),
@@ -92,7 +118,7 @@ def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> D
     )
     strict = F.col("near") & (F.col("distance") <= s.strict)
     relaxed = F.col("session") & (F.col("distance") <= s.relaxed) & F.col("color")
-    return judged.where((F.col("__task") >= 0) & F.col("people") & (strict | relaxed if s.groups_poses else strict)).select(block, "src", "dst", "distance")
+    return found.where((F.col("__task") >= 0) & F.col("people") & (strict | relaxed if s.groups_poses else strict)).select(block, "src", "dst", "distance")
 
 
 def group_members(rows: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:

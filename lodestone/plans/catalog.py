@@ -497,6 +497,18 @@ def resumed_scan(assets):
     return engine.groups().select("group_id", "asset_id", "keeper_id")
 
 
+@query
+def growing_groups(assets):
+    """Groups that grew over five batches of assets in no order of time, one batch sent twice."""
+    from lodestone.streaming.growing import GrowingGroups
+
+    rows = G.with_block(assets)
+    grown = GrowingGroups(assets.sparkSession, shared_path(assets.sparkSession, "growing"), rows.schema)
+    for i in (0, 1, 2, 2, 3, 4):
+        grown.add(rows.where(F.pmod(F.xxhash64("asset_id"), F.lit(5)) == i), i)
+    return grown.members()
+
+
 @query
 def resumed_coverage(assets):
     """How many targets a continued scan had, covered and skipped, as its own read of them counted."""
