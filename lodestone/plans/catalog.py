@@ -497,6 +497,24 @@ def resumed_scan(assets):
     return engine.groups().select("group_id", "asset_id", "keeper_id")
 
 
+@query
+def streamed_sessions(assets):
+    """Sessions of a stream of five arrivals, in which rows come up to two days out of order."""
+    from lodestone.streaming import live_sessions
+
+    spark = assets.sparkSession
+    source, stored, checkpoint = (shared_path(spark, f"sessions-{x}") for x in ("in", "out", "state"))
+    rows = assets.select("library_id", "asset_id", "capture_ts", "lat", "lon").withColumn("arrival", F.unix_timestamp("capture_ts") + F.pmod("asset_id", F.lit(3)) * 86_400)
+    bounds = rows.approxQuantile("arrival", [0.2, 0.4, 0.6, 0.8], 0.01)
+    split = sum(((F.col("arrival") > b).cast("int") for b in bounds), F.lit(0))
+    for i in range(5):
+        rows.where(split == i).drop("arrival").repartition(4).write.mode("append").parquet(source)
+    schema = rows.drop("arrival").schema
+    live_sessions.close(spark, source, schema, assets.agg((F.max("capture_ts") + F.expr("interval 10 days")).alias("capture_ts")))
+    live_sessions.start(spark, source, schema, stored, checkpoint, "3 days", files_per_batch=4).awaitTermination()
+    return live_sessions.read(spark, stored)
+
+
 @query
 def growing_groups(assets):
     """Groups that grew over five batches of assets in no order of time, one batch sent twice."""

@@ -266,6 +266,7 @@ ORACLES: dict[str, str] = {
     + """select album_id, kind, concat_ws('|', kind, case when kind = 'duplicates' then concat('album:', album_id) else concat('date:', low, '-', high) end, case when album_id % 2 = 0 then 'True' else 'False' end, 'True', 'dogs', '', 'balanced') signature
 from (select scene % 10 album_id, floor(epoch(min(capture_ts)))::bigint low, floor(epoch(max(capture_ts)))::bigint high from assets group by 1), (select unnest(['duplicates', 'sessions']) kind)""",
     "resumed_scan": _with(ASSETS, SCANNED, _pairs("balanced"), _components(), _ranked(confidence=False)) + "select m.group_id, m.asset_id, k.asset_id keeper_id from members m join ranked k on k.group_id = m.group_id and k.is_keeper",
+    "streamed_sessions": _with(ASSETS, SESSIONS) + "select library_id, session, asset_id from numbered",
     "growing_groups": _with(*GROUPS) + "select group_id, asset_id from members",
     "resumed_coverage": _with(ASSETS) + "select count(*) n_targets, count_if(analysis_version >= 3)::bigint n_covered, count_if(analysis_version < 3)::bigint n_skipped, 0::bigint n_incomplete from assets where not is_hidden and not is_favorite",
     "checkpoint_latest": _with(ASSETS) + "select concat('recent:', library_id) signature, max(asset_id) updated_at, library_id % 4 = 3 is_complete from assets group by library_id having library_id % 4 <> 3 order by max(asset_id) desc limit 1",
