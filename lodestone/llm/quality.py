@@ -2,10 +2,12 @@
 
 Line rules, in order (the first that fails names the reason):
 
-- boilerplate: the line holds a phrase of site furniture or licensing and has at most ``NOTICE``
-  words: prose may mention such a phrase;
+- boilerplate: the line holds a phrase of site furniture or licensing that fills it, with at most
+  ``FILL`` words to each of the phrase: prose may mention such a phrase;
 - navigation: a short line of menu words, a line parted by separators, or a line of links;
-- punctuation: a short line without a sentence end, or a line that is mostly symbols.
+- punctuation: a line that is mostly symbols, or a scrap: a short line without a sentence end that is
+  no list item and has such neighbours, ``RUN`` lines or more on end. One or two are headings, and
+  a text in which more than half of the lines are scraps is verse or a list, and keeps them.
 
 A document fails if its base figures fail (too few words, too much repetition), if it lost more
 than ``most_lost`` of its characters to line rules, or if too few words are left.
@@ -54,8 +56,8 @@ BOILERPLATE = (
     "todos los derechos reservados",
     "utilizamos cookies",
 )
-#: A longer line that holds a phrase is prose about it.
-NOTICE = 24
+#: A line with more words for each word of the phrase is prose about it.
+FILL = 6
 #: Words of navigation lines, lower case, in the same languages.
 NAVIGATION = (
     "about", "archive", "back", "blog", "contact", "faq", "help", "home", "login", "menu", "next", "prev", "previous", "register", "search", "share", "sitemap", "skip", "top",
@@ -70,19 +72,43 @@ MOST_LOST = 0.5
 LEAST_WORDS = 50
 #: A line with at most this many words may be judged navigation or an unfinished scrap.
 SHORT = 3
+#: Scraps on end from which they are no headings.
+RUN = 3
+#: How a list item starts.
+ITEM = re.compile(r"[ \t]*([-*+•–]|[0-9]+[.)])[ \t]")
 #: A line with so many words that are separators, and a quarter of all its words, is a menu.
 BARS = 3
 #: A line in which more than one of so many word characters is a symbol is no prose.
 SYMBOL_SHARE = 5
 
 
-def line_reason(line: str) -> str | None:
-    """Why a line goes; None keeps it. Blank lines stay as paragraph marks."""
+def scrap(line: str) -> bool:
+    """Whether a line is short and unfinished, and no list item: its neighbours say what it is."""
+    n = len(WORD.findall(line))
+    return 0 < n <= SHORT and not END.search(line.rstrip(" \t\n\v\f\r")) and not ITEM.match(line)
+
+
+def line_reasons(lines: list[str]) -> list[str | None]:
+    """Why each line of a text goes; None keeps it. Blank lines stay as paragraph marks."""
+    scraps = [scrap(line) for line in lines]
+    few = 2 * sum(scraps) <= sum(bool(WORD.search(line)) for line in lines)
+    out, at = [], 0
+    while at < len(lines):
+        end = at + 1
+        while scraps[at] and end < len(lines) and scraps[end]:
+            end += 1
+        out += [line_reason(line, few and scraps[at] and end - at >= RUN) for line in lines[at:end]]
+        at = end
+    return out
+
+
+def line_reason(line: str, scraps: bool = True) -> str | None:
+    """Why a line goes; None keeps it. ``scraps``: whether it goes as a scrap, if it is one."""
     words = WORD.findall(line)
     if not words:
         return None
     low = line.lower()
-    if len(words) <= NOTICE and any(phrase in low for phrase in BOILERPLATE):
+    if any(phrase in low and len(words) <= FILL * len(phrase.split()) for phrase in BOILERPLATE):
         return "boilerplate"
     if len(words) <= 2 * SHORT:
         bare = [w.strip("|<>«»›‹·•-–—/\\,.:").lower() for w in words]
@@ -93,7 +119,7 @@ def line_reason(line: str) -> str | None:
         return "navigation"
     if 2 * sum(any(x in w for x in LINK) for w in words) > len(words):
         return "navigation"
-    if len(words) <= SHORT and not END.search(line.rstrip(" \t\n\v\f\r")):
+    if scraps and scrap(line):
         return "punctuation"
     if SYMBOL_SHARE * len(SYMBOL.findall(line)) > sum(map(len, words)):
         return "punctuation"
@@ -135,7 +161,7 @@ def clean(docs: DataFrame, most_lost: float = MOST_LOST, least_words: int = LEAS
         n_words, repeat = figures[0], figures[4]
         base_failed = n_words < 50 or 100 * repeat > 50 * n_words
         lines = text.split("\n")
-        left = [line for line in lines if line_reason(line) is None]
+        left = [line for line, reason in zip(lines, line_reasons(lines), strict=True) if reason is None]
         out = text if len(left) == len(lines) else "\n".join(left)
         lost = 1 - len(out) / len(text) if text else 0.0
         reason = None

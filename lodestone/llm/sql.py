@@ -51,15 +51,21 @@ WITH docs AS (
   SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY r
 ), lines AS (
   SELECT r, k, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM docs)
+), short AS (
+  SELECT *, len(lw) BETWEEN 1 AND {quality.SHORT} AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '[.!?…:;"''»”)\]。！？]$') AND NOT regexp_matches(line, '^[ \t]*([-*+•–]|[0-9]+[.)])[ \t]') AS scrap FROM lines
+), islands AS (
+  SELECT *, k - row_number() OVER (PARTITION BY r, scrap ORDER BY k) AS island, 2 * count_if(scrap) OVER (PARTITION BY r) <= count_if(len(lw) > 0) OVER (PARTITION BY r) AS few FROM short
+), runs AS (
+  SELECT *, scrap AND few AND count(*) OVER (PARTITION BY r, scrap, island) >= {quality.RUN} AS stray FROM islands
 ), judged AS (
   SELECT *, len(lw) > 0 AND (
-    len(lw) <= {quality.NOTICE} AND len(list_filter([{_text(*quality.BOILERPLATE)}], lambda x: contains(lower(line), x))) > 0
+    len(list_filter([{_text(*quality.BOILERPLATE)}], lambda x: contains(lower(line), x) AND len(lw) <= {quality.FILL} * len(string_split(x, ' ')))) > 0
     OR len(lw) <= {2 * quality.SHORT} AND len(list_filter(lw, lambda x: trim(x, '|<>«»›‹·•-–—/\,.:') <> '' AND NOT list_contains([{_text(*quality.NAVIGATION)}], lower(trim(x, '|<>«»›‹·•-–—/\,.:'))))) = 0
     OR len(list_filter(lw, lambda x: trim(x, '|<>«»›‹·•') = '')) >= greatest({quality.BARS}, len(lw) / 4.0)
     OR 2 * len(list_filter(lw, lambda x: {" OR ".join(f"contains(x, '{x}')" for x in quality.LINK)})) > len(lw)
-    OR len(lw) <= {quality.SHORT} AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '[.!?…:;"''»”)\]。！？]$')
+    OR stray
     OR {quality.SYMBOL_SHARE} * len(regexp_extract_all(line, '[#*$%&|<>]')) > list_sum(list_transform(lw, lambda x: length(x)))
-  ) AS fails FROM lines
+  ) AS fails FROM runs
 ), by_line AS (
   SELECT r, count(*) AS n_lines, count_if(fails) AS n_lines_removed, count_if(len(lw) > 0) - count(DISTINCT line) FILTER (len(lw) > 0) AS n_dup_lines,
     coalesce(sum(length(line)) FILTER (NOT fails), 0) + greatest(count_if(NOT fails) - 1, 0) AS chars_left, coalesce(sum(len(lw)) FILTER (NOT fails), 0) AS words_left

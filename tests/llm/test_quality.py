@@ -70,3 +70,41 @@ def test_filtered(spark):
     assert all(r.n_chars == len(r.text) and r.reason == "s" for r in kept.collect())
     assert clean(docs.limit(0)).count() == 0
     assert clean(docs.select("doc_id", "text")).count() == len(DOCS)
+
+
+POEM = "\n".join(f"a line {i}" for i in range(40))
+MENU = "Latest news\nTop stories\nOur team\nJobs here"
+CLEAN = [
+    "The library is released under the MIT licence, and everyone may copy, change and share it as they like.",
+    "- 12 eggs",
+    "Chapter One",
+    "3. sift flour",
+]
+
+
+def test_clean_lines_stay(spark):
+    for line in CLEAN:
+        text = PROSE + "\n" + line + "\n" + PROSE.upper()
+        row = clean(frame(spark, [(1, text)])).first()
+        assert row.kept and row.clean_text == text, line
+    recipe = PROSE + "\n" + "\n".join(f"- {i} eggs" for i in range(60))
+    assert clean(frame(spark, [(1, recipe)])).first().clean_text == recipe
+    assert clean(frame(spark, [(1, POEM)])).first().clean_text == POEM
+
+
+def test_runs_of_scraps_go(spark):
+    row = clean(frame(spark, [(1, "\n".join([PROSE, *[f"This is sentence {i} of a text." for i in range(9)], MENU, "", "Part Two", PROSE.upper()]))])).first()
+    assert row.kept and row.n_lines_removed == 4 and "Part Two" in row.clean_text and "Our team" not in row.clean_text
+
+
+def test_sql_on_odd_texts(spark):
+    import duckdb
+    from lodestone.llm.sql import QUALITY
+
+    rows = [*DOCS, *[(20 + i, PROSE + "\n" + x) for i, x in enumerate([*CLEAN, POEM, MENU, MENU + "\n\n" + MENU, "• a\n\tb c\n1) d\ne f\ng\nh", "All rights reserved and so on and on and on and on and on and on and on and on."])], (40, POEM), (41, MENU + "\n" + PROSE + "\n- x\n" + MENU)]
+    con = duckdb.connect()
+    con.register("given", spark.createDataFrame(rows, "doc_id long, text string").toPandas())
+    con.execute("create view documents as select cast(doc_id as bigint) doc_id, text from given")
+    found = con.execute(QUALITY)
+    names = [d[0] for d in found.description]
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in digest(clean(frame(spark, rows))).select(*names).collect())
