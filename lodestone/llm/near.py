@@ -38,6 +38,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 24
 #: Bands that are verified before the others.
 EARLY = 2
+#: Links from a text to the name of its group before the components are known.
+HOPS = 3
 #: Texts of a bucket that one task compares, and those that stand in all its parts.
 BIG, LEADERS = 512, 8
 #: Shingles that are hashed at once.
@@ -238,6 +240,21 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
+def labels(edges: DataFrame) -> DataFrame:
+    """node, component of edges (src, dst), where component is the smallest node that ``HOPS`` links reach.
+
+    Nodes of one label are of one component, not the other way round: enough to know that they need no
+    comparison. The parts of a bucket hang together by their leaders, so few links are enough for most.
+    """
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")))
+    now = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
+    for _ in range(HOPS - 1):
+        now = cut(now)
+        new = both.join(now, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
+        now = new.join(now, F.col("src") == F.col("node")).select("node", F.least("m", "component").alias("component"))
+    return cut(now)
+
+
 def _unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
     """The buckets of met (bucket, h, n) that aren't within one component of found (node, component)."""
     at = met.join(found.withColumnRenamed("node", "h"), "h", "left").select("bucket", "h", "n", F.coalesce("component", "h").alias("component"))
@@ -282,14 +299,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     early = cut(buckets(signs.withColumn("bands", F.slice("bands", 1, EARLY))))
     edges = verified(parted(early))
-    found = cut(connected_components(edges))
+    found = labels(edges)
     more = buckets(signs.withColumn("bands", F.slice("bands", EARLY + 1, BANDS))).union(simhash_pairs(signs)).distinct()
     late = cut(_unsettled(more, found))
     edges = edges.union(verified(parted(late.where(F.col("n") <= BIG).union(_outside(late.where(F.col("n") > BIG), found)))))
-    found = cut(connected_components(edges))
-    large = cut(_unsettled(early.union(late).where(F.col("n") > BIG), found))
-    if large.head(1):
-        found = connected_components(edges.union(verified(_apart(large, found))))
+    wide = cut(early.union(late).where(F.col("n") > BIG))
+    if wide.head(1):
+        found = labels(edges)
+        large = cut(_unsettled(wide, found))
+        if large.head(1):
+            edges = edges.union(verified(_apart(large, found)))
+    found = connected_components(edges)
     named = owner.join(found.withColumnRenamed("node", "h"), "h", "left").select("digest", "no_id", "doc", F.coalesce("component", "h").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct("no_id", "doc", "digest")).alias("least"))
     stays = least.select(F.col("least.doc").alias("doc"), F.col("least.digest").alias("digest"), F.lit(True).alias("first"))
