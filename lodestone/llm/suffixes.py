@@ -9,7 +9,8 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts any
    (within batches before the shuffle, then by group): all their windows repeat.
 2. Contexts that share a gram but differ are the candidates. Only they are fetched as bytes, split
    by where the anchor lies into classes whose windows have all but CLASS bytes in common, and
-   grouped by a hash of those common bytes. A gram in more than HOT differing contexts gets classes
+   grouped by a hash of those common bytes. Equal candidates meet by their digest before, and one of them
+   stands for all. A gram in more than HOT differing contexts gets classes
    of HOT_CLASS places, so that its surroundings part its candidates into many groups.
 3. Groups of at least two are concatenated and their suffix array is built by two-stage
    sorting: suffixes smaller than their successors are sorted directly, all others are induced
@@ -203,18 +204,22 @@ def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield batch(last, 0)
 
 
-CANDIDATE = "k1 long, k2 long, doc long, h long, first long, windows int, many boolean, data binary"
+CANDIDATE = "k1 long, k2 long, d1 long, d2 long, doc long, h long, first long, windows int, many boolean, data binary"
+_CANDIDATE = pa.schema([*[(c, pa.int64()) for c in ("k1", "k2", "d1", "d2", "doc", "h", "first")], ("windows", pa.int32()), ("many", pa.bool_()), ("data", pa.binary())])
+#: Candidates that a task remembers to have sent.
+SENT = 200_000
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of candidates, by class of the anchor's place, with a hash of what a class has in common.
+    """The bytes of candidates, by class of the anchor's place, with a hash of what a class has in common and a digest.
 
-    Of equal bytes in a batch one goes on for all; the others are windows that repeat (data is null).
+    Of equal bytes in a task one goes on for all; it and the others are windows that repeat (data is null).
     """
-    names = ["k1", "k2", "doc", "h", "first", "windows", "many", "data"]
-    types = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary()]
+    sent: dict[tuple, list] = {}
     for b in slices(batches):
-        rows, seen = [], {}
+        rows = []
+        if len(sent) > SENT:
+            sent.clear()
         for doc, h, text, own in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "text", "own")), strict=True):
             raw = text.encode()
             flat = np.frombuffer(raw, np.uint8)
@@ -231,13 +236,59 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             salt = (width * LENGTH + c).astype(np.uint64)
             k1, k2 = (mixed(hashes.of(a, z) + salt).view(np.int64).tolist() for hashes in (Hashes(flat, B1, T1), Hashes(flat, B2, T2)))
             for i, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-                row = [k1[i], k2[i], doc, h, x, y - x, bool(many[i]), raw[x : y - 1 + LENGTH]]
-                first = seen.setdefault((k1[i], k2[i], row[7]), row)
-                if first is not row:
-                    first[6] = True
-                    row[0], row[7] = h ^ doc, None
-                rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+                data = raw[x : y - 1 + LENGTH]
+                digest = hashlib.blake2b(data, digest_size=16).digest()
+                d1, d2 = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+                place = (doc, h, x, y - x)
+                first = sent.setdefault((k1[i], k2[i], digest), [place, False])
+                if first[0] is place:
+                    rows.append((k1[i], k2[i], d1, d2, *place, bool(many[i]), data))
+                    continue
+                if not first[1]:
+                    rows.append(_settled(first[0]))
+                    first[1] = True
+                rows.append(_settled(place))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CANDIDATE)], schema=_CANDIDATE)
+
+
+def _settled(place: tuple) -> tuple:
+    """A candidate all of whose windows repeat: it needs no class, so its key only spreads it."""
+    return (place[1] ^ place[2], 0, 0, 0, *place, True, None)
+
+
+def _meet_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by class and digest: of copies the first goes on with its bytes, and all are windows that repeat.
+
+    Nothing is held but the last row.
+    """
+    last, told = None, False  # the last row that went on, and whether it is known to have copies
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in ("k1", "k2", "d1", "d2")], axis=1)
+        live = b.column("data").is_valid().to_numpy(zero_copy_only=False)
+        yield b.filter(pa.array(~live))
+        b, keys = b.filter(pa.array(live)), keys[live]
+        if not len(keys):
+            continue
+        before = np.concatenate([keys[:1] if last is None else last[0][None], keys[:-1]])
+        copy = (keys == before).all(axis=1)
+        if last is None:
+            copy[0] = False
+        first = np.flatnonzero(~copy)
+        has = np.zeros(len(keys), bool)
+        has[first] = np.append(copy, False)[first + 1]
+        places = list(zip(*(b.column(c).to_pylist() for c in ("doc", "h", "first", "windows")), strict=True))
+        rows = [_settled(places[i]) for i in np.flatnonzero(copy | has).tolist()]
+        if copy[0] and not told:
+            rows.append(_settled(last[1]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CANDIDATE)], schema=_CANDIDATE)
+        yield b.filter(pa.array(~copy))
+        if len(first):
+            last, told = (keys[first[-1]], places[first[-1]]), bool(first[-1] < len(keys) - 1)
+        else:
+            told = True
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -415,21 +466,32 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(ready + (solve(held) if held else []))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, h, spans array<struct<start, end>>: maximal runs of bytes to remove, of documents that have any."""
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows that repeat, candidates by class): of equal candidates one has its bytes, the others are settled.
+
+    Copies meet by their digest first, whatever their class, so a class is sent each different candidate
+    once, however many documents hold a passage.
+    """
     spark, n = docs.sparkSession, partitions_for(docs)
     rows = keyed(docs)
     found = rows.mapInArrow(_find_contexts, CONTEXT).repartition(n, "to").sortWithinPartitions("kind", "gram", "x1", "x2").mapInArrow(_compare_contexts, FOUND)
     at = shared_path(spark, "contexts")
     found.write.parquet(at)  # narrow: repeats and candidates only
     found = spark.read.schema(FOUND).parquet(at)
-    candidates = found.where("kind = 0")
-    hot = cut(candidates.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot")))
-    candidates = candidates.join(hot, "gram", "left").withColumn("hot", F.col("hot").isNotNull()) if hot.head(1) else candidates.withColumn("hot", F.lit(False))
-    own = candidates.groupBy(*KEY).agg(F.collect_set(F.struct("first", "windows", "place", "many", "hot")).alias("own"))
+    near = found.where("kind = 0")
+    hot = cut(near.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot")))
+    near = near.join(hot, "gram", "left").withColumn("hot", F.col("hot").isNotNull()) if hot.head(1) else near.withColumn("hot", F.lit(False))
+    own = near.groupBy(*KEY).agg(F.collect_set(F.struct("first", "windows", "place", "many", "hot")).alias("own"))
     fetched = rows.join(own, KEY).dropDuplicates(KEY).select(*KEY, "text", "own").mapInArrow(_fetch, CANDIDATE)
-    sorted_out = fetched.repartition(n, "k1").sortWithinPartitions("k1", "k2").mapInArrow(_sort_groups, "doc long, h long, first long, windows int")
-    windows = found.where("kind = 1").select(*KEY, "first", "windows").union(sorted_out)
+    met = fetched.repartition(n, "k1", "k2", "d1", "d2").sortWithinPartitions("k1", "k2", "d1", "d2").mapInArrow(_meet_copies, CANDIDATE)
+    return found.where("kind = 1").select(*KEY, "first", "windows"), met
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc, h, spans array<struct<start, end>>: maximal runs of bytes to remove, of documents that have any."""
+    found, met = candidates(docs)
+    sorted_out = met.repartition(partitions_for(docs), "k1").sortWithinPartitions("k1", "k2").mapInArrow(_sort_groups, "doc long, h long, first long, windows int")
+    windows = found.union(sorted_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

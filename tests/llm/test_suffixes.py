@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import os
 import random
 from collections import Counter
 
@@ -9,6 +11,7 @@ from hypothesis import strategies as st
 
 from lodestone.llm import suffixes
 from lodestone.llm.suffixes import LENGTH, dedup, suffix_array
+from pyspark.sql import functions as F
 
 RNG = random.Random(6)
 
@@ -104,3 +107,29 @@ def test_groups_over_batches():
         assert repeats == {d for d, g, x in zip(rows["doc"], rows["gram"], rows["x1"], strict=True) if copies[g, x] > 1}
         of = Counter(g for g, _ in pairs)
         assert Counter(g for g, k in zip(table["gram"], table["kind"], strict=True) if k == 0) == {g: c for g, c in of.items() if c > 1}
+
+
+def test_one_passage_in_many_documents(spark):
+    """A class is sent each different candidate of a common passage once, not one a document."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)[:260]
+    rows = [(i, text(20) + " " + passage + " " + text(20)) for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = suffixes.candidates(docs)[1].where("data is not null").cache()
+    assert met.count() > 0
+    by_class = met.groupBy("k1", "k2").agg(F.count("data").alias("n"), F.countDistinct("data").alias("different"))
+    assert by_class.where("n > different").count() == 0
+    got = {r.doc_id: r.n_removed for r in suffixes.dedup(docs).select("doc_id", "n_removed").collect()}
+
+    def common(parts):
+        """How many leading letters each part shares with some other one."""
+        order, out = sorted(range(len(parts)), key=parts.__getitem__), [0] * len(parts)
+        for a, b in itertools.pairwise(order):
+            n = len(os.path.commonprefix([parts[a], parts[b]]))
+            out[a], out[b] = max(out[a], n), max(out[b], n)
+        return out
+
+    left, right = common([t.split(passage)[0][::-1] for _, t in rows]), common([t.split(passage)[1] for _, t in rows])
+    assert got == {i: 260 + a + b for (i, _), a, b in zip(rows, left, right, strict=True)}
