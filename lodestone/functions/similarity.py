@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -34,6 +35,10 @@ def blocking_key(ts: Column, width: Column, height: Column, screenshot: Column)
     return F.concat(day, F.lit("|"), aspect.cast("string"), F.lit("|"), F.when(screenshot, "s").otherwise("p"))
 
 
+#: Compares two prints or vectors; null where it can't.
+Distance = Callable[[Column, Column], Column]
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -54,14 +59,17 @@ def face_distances(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(less, a).otherwise(b), F.when(less, b).otherwise(a)
 
 
-def _nearest(fewer: Column, more: Column) -> Column:
+def _nearest(fewer: Column, more: Column, distance: Distance = vector_distance) -> Column:
     far = F.lit(3.4e38)
-    return F.transform(fewer, lambda f: F.array_min(F.transform(more, lambda g: F.coalesce(vector_distance(f, g), far))))
+    return F.transform(fewer, lambda f: F.array_min(F.transform(more, lambda g: F.coalesce(distance(f, g), far))))
+
 
+def face_sets_match(a: Column, b: Column, threshold: float = FACE_DISTANCE, distance: Distance = vector_distance) -> Column:
+    """Each face of the smaller set has one within the threshold; of equal sizes the left set counts.
 
-def face_sets_match(a: Column, b: Column, threshold: float = FACE_DISTANCE) -> Column:
-    """Each face of the smaller set has one within the threshold; of equal sizes the left set counts."""
-    return F.forall(_nearest(*face_distances(a, b)), lambda d: d <= threshold)
+    ``distance`` compares two prints of whatever type; null is further than any threshold.
+    """
+    return F.forall(_nearest(*face_distances(a, b), distance), lambda d: d <= threshold)
 
 
 def worst_face_match(a: Column, b: Column) -> Column:
@@ -69,9 +77,9 @@ def worst_face_match(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_max(_nearest(*face_distances(a, b))))
 
 
-def same_people(na: Column, nb: Column, a: Column, b: Column) -> Column:
+def same_people(na: Column, nb: Column, a: Column, b: Column, distance: Distance = vector_distance) -> Column:
     """Equal counts of faces, and matching prints where there are faces; missing prints never match."""
-    return F.when(na != nb, F.lit(False)).when(na == 0, F.lit(True)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(False)).otherwise(face_sets_match(a, b))
+    return F.when(na != nb, F.lit(False)).when(na == 0, F.lit(True)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(False)).otherwise(face_sets_match(a, b, distance=distance))
 
 
 def color_similarity(a: Column, b: Column) -> Column:

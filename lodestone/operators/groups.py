@@ -90,16 +90,17 @@ def cheap_test(sensitivity: str) -> Column:
     return near_bits() | in_session() if S.SENSITIVITIES[sensitivity].groups_poses else near_bits()
 
 
-def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
+def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block", face_distance: S.Distance = S.vector_distance) -> DataFrame:
     """Block, src, dst, distance of accepted pairs. Cheap tests form the join; costly ones run on what is left.
 
     A pair near in bits needs the strict distance. In the mode that groups poses a pair of one
-    session may have the relaxed distance if its colours are similar. Both need the same people.
+    session may have the relaxed distance if its colours are similar. Both need the same people,
+    by ``face_distance`` of two face prints, which may be of any type it takes.
     """
-    return judged(block_pairs(rows, PAIR, cheap_test(sensitivity), block), sensitivity, block)
+    return judged(block_pairs(rows, PAIR, cheap_test(sensitivity), block), sensitivity, block, face_distance)
 
 
-def judged(pairs: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
+def judged(pairs: DataFrame, sensitivity: str, block: str = "block", face_distance: S.Distance = S.vector_distance) -> DataFrame:
     """Block, src, dst, distance of those pairs that passed the cheap tests and pass the others too."""
     s = S.SENSITIVITIES[sensitivity]
     # filters aren't pushed below what isn't deterministic: in the join's condition the costly tests would
@@ -113,7 +114,7 @@ def judged(pairs: DataFrame, sensitivity: str, block: str = "block") -> DataFram
         of_pair(S.pair_distance, "feature", "hash").alias("distance"),
         near_bits().alias("near"),
         (in_session() if s.groups_poses else F.lit(False)).alias("session"),
-        of_pair(S.same_people, "face_count", "faceprints").alias("people"),
+        S.same_people(*[col(side, n) for n in ("face_count", "faceprints") for side in "ab"], face_distance).alias("people"),
         (of_pair(S.similar_color, "color_signature") if s.groups_poses else F.lit(False)).alias("color"),
     )
     strict = F.col("near") & (F.col("distance") <= s.strict)
@@ -121,9 +122,9 @@ def judged(pairs: DataFrame, sensitivity: str, block: str = "block") -> DataFram
     return found.where((F.col("__task") >= 0) & F.col("people") & (strict | relaxed if s.groups_poses else strict)).select(block, "src", "dst", "distance")
 
 
-def group_members(rows: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
+def group_members(rows: DataFrame, sensitivity: str, block: str = "block", face_distance: S.Distance = S.vector_distance) -> DataFrame:
     """group_id (smallest member), asset_id of groups of two or more; an asset stands in one block."""
-    edges = cut(accepted_pairs(rows, sensitivity, block).select(block, "src", "dst"))
+    edges = cut(accepted_pairs(rows, sensitivity, block, face_distance).select(block, "src", "dst"))
     return components_within(edges, block).select(F.col("component").alias("group_id"), F.col("node").alias("asset_id"))
 
 

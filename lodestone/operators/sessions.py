@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,15 @@ def sessions(rows: DataFrame, library: str = "library_id") -> DataFrame:
     return agg.select(library, "session", "n", "start_ts", "end_ts", span.alias("span"), "bucket", kind.alias("session_type"))
 
 
+def drone_altitudes(rows: DataFrame, listed: DataFrame, provider: Callable[[DataFrame], DataFrame], library: str = "library_id") -> DataFrame:
+    """Rows with the altitudes (asset_id, altitude) that ``provider`` gives for members of droneLike sessions, which alone it is asked for.
+
+    Sessions are typed before, so a provider that opens files opens no others.
+    """
+    asked = rows.drop("altitude").join(listed.where("session_type = 'droneLike'").select(library, "session"), [library, "session"], "left_semi")
+    return rows.drop("altitude").join(provider(asked).select("asset_id", "altitude"), "asset_id", "left")
+
+
 def analyze(rows: DataFrame, listed: DataFrame, off: tuple[str, ...] = (), library: str = "library_id") -> DataFrame:
     """Members with a role: best, protected or redundant.
 

@@ -497,6 +497,21 @@ def resumed_scan(assets):
     return engine.groups().select("group_id", "asset_id", "keeper_id")
 
 
+def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest supplier to each customer's coordinates, which are spread over the globe, poles and date line included."""
+    from lodestone.operators.nearest import nearest
+
+    spot = lambda key, a, b: [(F.col(key) * a % 181 - 90).cast("double").alias("lat"), (F.col(key) * b % 361 - 180).cast("double").alias("lon")]
+    customers, suppliers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier"))
+    places = suppliers.select(F.col("s_suppkey").alias("place_id"), *spot("s_suppkey", 53, 97))
+    points = customers.select("c_custkey", *spot("c_custkey", 37, 73))
+    found = nearest(points, places)
+    return points.join(found, ["lat", "lon"]).select("c_custkey", "place_id", F.round("meters", 3).alias("meters"))
+
+
+QUERIES["nearest_place"] = nearest_place
+
+
 @query
 def streamed_sessions(assets):
     """Sessions of a stream of five arrivals, in which rows come up to two days out of order."""

@@ -41,7 +41,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; Spark removes its files with the plan."""
+    """Cut the lineage with a reliable checkpoint.
+
+    Its files go once nothing refers to the result, if the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; otherwise the checkpoint folder has to be emptied
+    after the application.
+    """
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
