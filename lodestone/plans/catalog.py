@@ -15,6 +15,7 @@ from lodestone.operators import images, state
 from lodestone.operators import sessions as N
 from lodestone.plans.oracles import ORACLES
 from lodestone.sources import assets as A
+from lodestone.sources import files
 from lodestone.sources.tables import BatchLog, Deletions, cut, read_table, replace_table, shared_path
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -497,6 +498,28 @@ def resumed_scan(assets):
     return engine.groups().select("group_id", "asset_id", "keeper_id")
 
 
+def exif_headers(assets: DataFrame) -> DataFrame:
+    """asset_id, content: the head of a JPEG file with a GPS block, made from the asset; some big-endian, little-endian, below sea level, cut off, or without it."""
+    number = lambda value, size: F.lpad(F.hex(value), 2 * size, "0")
+    swapped = lambda text, size: F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
+
+    def block(order, below: int):
+        n = lambda value, size: (lambda text: text if order == "4D4D" else swapped(text, size))(number(F.lit(value) if isinstance(value, int) else value, size))
+        entry = lambda tag, kind, value: F.concat(n(tag, 2), n(kind, 2), n(1, 4), value)
+        gps = [n(2, 2), entry(5, 1, F.lit(f"0{below}000000")), entry(6, 5, n(56, 4)), n(0, 4)]
+        return F.concat(F.lit("FFD8" + b"Exif\0\0".hex() + order), n(42, 2), n(8, 4), n(1, 2), entry(0x8825, 4, n(26, 4)), n(0, 4), *gps, n(F.col("asset_id") % 9000, 4), n(F.col("asset_id") % 7 + 1, 4))
+
+    kind = F.col("asset_id") % 5
+    whole = F.when(kind.isin(0, 3), block("4D4D", 0)).when(kind == 1, block("4949", 0)).when(kind == 2, block("4949", 1)).otherwise(F.lit("FFD8FFE0"))
+    return assets.select("asset_id", F.unhex(F.when(kind == 3, F.substring(whole, 1, 120)).otherwise(whole)).alias("content"))
+
+
+@query
+def exif_altitudes(assets):
+    """Altitudes read from the heads of files."""
+    return exif_headers(assets).select("asset_id", F.round(files.altitude_of("content"), 9).alias("altitude"))
+
+
 def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest supplier to each customer's coordinates, which are spread over the globe, poles and date line included."""
     from lodestone.operators.nearest import nearest

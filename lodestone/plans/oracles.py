@@ -266,6 +266,7 @@ ORACLES: dict[str, str] = {
     + """select album_id, kind, concat_ws('|', kind, case when kind = 'duplicates' then concat('album:', album_id) else concat('date:', low, '-', high) end, case when album_id % 2 = 0 then 'True' else 'False' end, 'True', 'dogs', '', 'balanced') signature
 from (select scene % 10 album_id, floor(epoch(min(capture_ts)))::bigint low, floor(epoch(max(capture_ts)))::bigint high from assets group by 1), (select unnest(['duplicates', 'sessions']) kind)""",
     "resumed_scan": _with(ASSETS, SCANNED, _pairs("balanced"), _components(), _ranked(confidence=False)) + "select m.group_id, m.asset_id, k.asset_id keeper_id from members m join ranked k on k.group_id = m.group_id and k.is_keeper",
+    "exif_altitudes": _with(ASSETS) + "select asset_id, round(case when asset_id % 5 < 2 then 1 when asset_id % 5 = 2 then -1 end * (asset_id % 9000)::double / (asset_id % 7 + 1), 9) altitude from assets",
     "nearest_place": f"""with points as (select c_custkey, (c_custkey*37%181 - 90)::double lat, (c_custkey*73%361 - 180)::double lon from customer),
 places as (select s_suppkey place_id, (s_suppkey*53%181 - 90)::double lat, (s_suppkey*97%361 - 180)::double lon from supplier),
 found as (select c_custkey, min(row(round({_meters('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6), place_id)) best from points a, places b group by c_custkey)

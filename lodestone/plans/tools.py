@@ -6,7 +6,7 @@ Nothing here deletes an asset: commands return what a person may review.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from lodestone.operators import groups as G
 from lodestone.operators import sessions as N
 from lodestone.operators import state
 from lodestone.sources import assets as A
-from lodestone.sources.tables import Deletions, cut, replace_table
+from lodestone.sources.tables import Deletions, cut, exists, read_json, replace_table, write_json
 from lodestone.streaming.jobs import BATCH_ROWS, Coverage, Journal, ScanJob
 
 #: Scan sizes that a person may choose, and the album size above which to confirm.
@@ -115,6 +115,19 @@ class Engine:
         rows = self.targets(request)
         return state.coverage(rows.select("asset_id"), rows.select("asset_id", "analysis_version")).first()["n_skipped"]
 
+    def save_settings(self, **changes) -> None:
+        """Change settings and keep them in the store, for this engine and those after it."""
+        self.settings = replace(self.settings, **changes)
+        write_json(self.spark, f"{self.store}/settings.json", asdict(self.settings))
+
+    def load_settings(self) -> Settings:
+        """The stored settings; what isn't stored has its default, and unknown names are left out."""
+        path = f"{self.store}/settings.json"
+        found = read_json(self.spark, path) if exists(self.spark, path) else {}
+        known = {f.name: found[f.name] for f in fields(Settings) if f.name in found}
+        self.settings = Settings(**known | ({"unprotected": tuple(known["unprotected"])} if "unprotected" in known else {}))
+        return self.settings
+
     def find_duplicate_photos(self) -> str:
         return self.start_photo_scan(self.request(A.Recent(300), "conservative"))
 
@@ -128,7 +141,7 @@ class Engine:
         return self.start_photo_scan(self.request(A.Recent(500), "balanced", kind="sessions"))
 
     def update_dedupe_mode(self, mode: str) -> str:
-        self.settings = replace(self.settings, sensitivity=T.MODE_SENSITIVITY[mode])
+        self.save_settings(sensitivity=T.MODE_SENSITIVITY[mode])
         return f"Okay, I'll use {T.SPOKEN_MODE[mode]} matching for your next scan."
 
     # stored results

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.plans.tools import Engine
+from lodestone.plans.tools import Engine, Settings
 from lodestone.sources import assets as A
-from lodestone.sources.tables import Deletions, replace_table, shared_path
+from lodestone.sources.tables import Deletions, replace_table, shared_path, write_json
 from lodestone.streaming.jobs import Journal, ScanJob
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +144,16 @@ def test_session_review(spark):
     e.session_review_done(first.library_id, first.session)
     left = e.session_roles().select("library_id", "session").distinct()
     assert left.count() == n - 1 and left.where((F.col("library_id") == first.library_id) & (F.col("session") == first.session)).count() == 0
+
+
+def test_settings_are_kept(spark):
+    store = shared_path(spark, "scan")
+    engine = lambda: Engine(spark, rows(spark, 8), store)
+    assert engine().load_settings() == Settings()
+    engine().save_settings(unprotected=("livePhoto",), include_screenshots=False)
+    e = engine()
+    assert e.load_settings() == Settings(unprotected=("livePhoto",), include_screenshots=False)
+    e.update_dedupe_mode("conservative")
+    assert engine().load_settings() == Settings(sensitivity="conservative", unprotected=("livePhoto",), include_screenshots=False)
+    write_json(spark, f"{store}/settings.json", {"sensitivity": "aggressive", "of_a_later_version": 1})
+    assert engine().load_settings() == Settings(sensitivity="aggressive")
