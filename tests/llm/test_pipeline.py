@@ -1,3 +1,4 @@
+import itertools
 import re
 from collections import Counter
 
@@ -14,8 +15,9 @@ def plain_line_fails(line):
     words = re.split(f"[{SPACE}]+", line.strip(SPACE))
     if words == [""]:
         return False
-    if len(words) <= quality.NOTICE and re.search("|".join(map(re.escape, quality.BOILERPLATE)), line.lower()):
-        return True
+    for phrase in re.findall("|".join(map(re.escape, quality.BOILERPLATE)), line.lower()):
+        if len(words) <= 6 * (phrase.count(" ") + 1):
+            return True
     menu = re.compile("[|<>«»›‹·•\\-–—/\\\\,.:]*(" + "|".join(quality.NAVIGATION) + ")?[|<>«»›‹·•\\-–—/\\\\,.:]*")
     if len(words) <= 6 and all(menu.fullmatch(w.lower()) for w in words):
         return True
@@ -24,11 +26,25 @@ def plain_line_fails(line):
         return True
     if len([w for w in words if re.search(r"://|www\.", w)]) > len(words) / 2:
         return True
-    if len(words) < 4 and line.rstrip(SPACE)[-1] not in ".!?…:;\"'»”)]。！？":
-        return True
     return sum(line.count(c) for c in "#*$%&|<>") > sum(map(len, words)) / 5
 
 
+def plain_scraps(lines):
+    """For each line whether it is one of three or more short unfinished lines on end, in a text that isn't mostly such lines."""
+    short = []
+    for line in lines:
+        bare = line.strip(SPACE)
+        marked = re.match(r"\s*([-*+•–]|\d+[.)])[ \t]", line)
+        short.append(bool(bare) and len(re.split(f"[{SPACE}]+", bare)) < 4 and bare[-1] not in ".!?…:;\"'»”)]。！？" and not marked)
+    if sum(short) > sum(bool(x.strip(SPACE)) for x in lines) / 2:
+        return [False] * len(lines)
+    out = []
+    for is_short, run in itertools.groupby(short):
+        n = len(list(run))
+        out += [is_short and n > 2] * n
+    return out
+
+
 def plain_quality(text):
     """What is left of a text that is kept, else None."""
     text = text or ""
@@ -37,7 +53,8 @@ def plain_quality(text):
     repeat = {j for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for j in (i, i + 1, i + 2)}
     if len(words) < 50 or 2 * len(repeat) > len(words):
         return None
-    left = [x for x in text.split("\n") if not plain_line_fails(x)]
+    lines = text.split("\n")
+    left = [x for x, scrap in zip(lines, plain_scraps(lines), strict=True) if not scrap and not plain_line_fails(x)]
     out = "\n".join(left)
     if 2 * len(out) < len(text) or len(left) < text.count("\n") + 1 and len([w for w in re.split(f"[{SPACE}]+", out) if w]) < 50:
         return None
