@@ -25,7 +25,7 @@ select asset_id, scene, variant, library_id, capture_ts, lat, lon, width, height
  filter(array(named_struct('label',case when scene%3=0 then 'golden dog' else 'mountain lake' end,'confidence',0.2D+(asset_id%50)/100.0D), named_struct('label','party','confidence',(asset_id%20)/100.0D)), x -> x.label is not null) labels,
  cast(case when asset_id%41=0 then 2 else 3 end as int) analysis_version
 from (select *, cast(case when scene%6=0 then 1+scene%3 else 0 end as int) face_count from (select event_id asset_id, scene, variant, scene%16 library_id,
-  case when scene%50=49 then null else cast(scene_ts + make_dt_interval(0,0,0,cast((scene div 250)*2592000 + variant*20 as int)) as timestamp) end capture_ts,
+  case when scene%50=49 then null else cast(scene_ts + make_dt_interval(cast((scene div 250)*30 as int),0,0,cast(variant*20 as int)) as timestamp) end capture_ts,
   case when scene%5=0 then null else 37.0D + (scene%7)*0.01D + variant*0.0002D end lat,
   case when scene%5=0 then null else -122.0D end lon,
   case scene%4 when 0 then 4000 when 1 then 3000 when 2 then 1920 else 1170 end width,
