@@ -1,9 +1,10 @@
-"""Kernels over small pixel arrays, as pandas UDFs and as SQL expressions where those do."""
+"""Kernels over small pixel arrays, as Arrow UDFs over many pictures at once and as SQL expressions where those do."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,25 +12,38 @@ from pyspark.sql import types as T
 SIDE = 64
 
 
-def quality(pixels: np.ndarray) -> tuple[float, float, float, float]:
-    """(sharpness, exposure, contrast, motion blur) of 64 x 64 gray levels, each within 0 and 1."""
-    p = pixels.astype(np.float64).reshape(SIDE, SIDE)
+#: Pictures that a kernel takes at once: their intermediate values stay in a core's cache.
+AT_ONCE = 16
+
+
+def qualities(pixels: np.ndarray) -> np.ndarray:
+    """Rows (sharpness, exposure, contrast, motion blur), each within 0 and 1, of rows of 64 x 64 gray levels."""
+    p = pixels.astype(np.float64).reshape(-1, SIDE, SIDE)
     lum = p / 255.0
-    inner = 4 * lum[1:-1, 1:-1] - lum[1:-1, :-2] - lum[1:-1, 2:] - lum[:-2, 1:-1] - lum[2:, 1:-1]
-    clipped = ((p < 4).sum() + (p > 251).sum()) / p.size
-    unit = lambda x: float(min(1.0, max(0.0, x)))
-    sharp = unit((inner * inner).mean() * 25)
-    return sharp, unit(1.0 - abs(lum.mean() - 0.5) * 2 * 0.6 - clipped * 0.8), unit(lum.std() * 3.2), unit(1.0 - sharp)
+    inner = 4 * lum[:, 1:-1, 1:-1] - lum[:, 1:-1, :-2] - lum[:, 1:-1, 2:] - lum[:, :-2, 1:-1] - lum[:, 2:, 1:-1]
+    clipped = ((p < 4) | (p > 251)).mean(axis=(1, 2))
+    unit = lambda x: np.clip(np.nan_to_num(x, nan=0.0), 0.0, 1.0)
+    sharp = unit((inner * inner).mean(axis=(1, 2)) * 25)
+    return np.stack([sharp, unit(1.0 - abs(lum.mean(axis=(1, 2)) - 0.5) * 2 * 0.6 - clipped * 0.8), unit(lum.std(axis=(1, 2)) * 3.2), unit(1.0 - sharp)], axis=1)
+
+
+def quality(pixels: np.ndarray) -> tuple[float, float, float, float]:
+    """What ``qualities`` has for one picture."""
+    return tuple(qualities(pixels.reshape(1, -1))[0].tolist())
 
 
 QUALITY = T.StructType([T.StructField(c, T.DoubleType()) for c in ("sharpness", "exposure", "contrast", "motion_blur")])
 
 
-@F.pandas_udf(QUALITY)
-def quality_metrics(pixels: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(QUALITY)
+def quality_metrics(pixels: pa.Array) -> pa.Array:
     """One half each where there is no picture of the right size."""
-    rows = [quality(np.asarray(p)) if p is not None and len(p) == SIDE * SIDE else (0.5, 0.5, 0.5, 0.5) for p in pixels]
-    return pd.DataFrame(rows, columns=QUALITY.names)
+    whole = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(pixels), SIDE * SIDE), False))
+    levels = pc.list_flatten(pixels.filter(pa.array(whole))).to_numpy(zero_copy_only=False).reshape(-1, SIDE * SIDE)
+    out = np.full((len(pixels), len(QUALITY)), 0.5)
+    if len(levels):
+        out[whole] = np.concatenate([qualities(levels[i : i + AT_ONCE]) for i in range(0, len(levels), AT_ONCE)])
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=QUALITY.names)
 
 
 def dhash(pixels: Column) -> Column:
@@ -41,14 +55,27 @@ def dhash(pixels: Column) -> Column:
     return F.when(F.size(pixels) == 72, F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b)))
 
 
-def color_signature(pixels: Column) -> Column:
-    """64 bins of the top two bits of red, green and blue, as shares of 255; clear pixels don't count."""
-    solid = F.filter(pixels, lambda p: p["a"] > 0)
-    top = lambda c: (c / 64).cast("int")
-    bins = F.transform(solid, lambda p: top(p["r"]) * 16 + top(p["g"]) * 4 + top(p["b"]))
-    n = F.size(solid)
-    share = lambda i: F.least(F.lit(255), (F.size(F.filter(bins, lambda b: b == i)) * 255 / F.nullif(n, F.lit(0))).cast("int"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(63)), share))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def color_signature(pixels: pa.Array) -> pa.Array:
+    """64 bins of the top two bits of red, green and blue, as shares of 255; clear pixels don't count.
+
+    Pixels are structs of r, g, b and a. Each is looked at once, however many bins there are. A pixel
+    with a missing colour counts in no bin; without pixels that count the signature is null.
+    """
+    counts, totals = np.zeros((len(pixels), 64), np.int64), np.zeros(len(pixels), np.int64)
+    for i in range(0, len(pixels), 64 * AT_ONCE):
+        some = pixels.slice(i, 64 * AT_ONCE)
+        row, flat = np.asarray(pc.list_parent_indices(some)), pc.list_flatten(some)
+        r, g, b, a = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in "rgba")
+        solid = a > 0
+        red, green, blue = (np.trunc(c[solid] / 64) for c in (r, g, b))
+        row, bins = row[solid], red * 16 + green * 4 + blue
+        totals[i : i + len(some)] = np.bincount(row, minlength=len(some))
+        row, bins = row[known := (bins >= 0) & (bins < 64)], bins[known].astype(np.int64)
+        counts[i : i + len(some)] = np.bincount(row * 64 + bins, minlength=64 * len(some)).reshape(-1, 64)
+    shares = np.minimum(255, (counts * 255 / np.maximum(totals, 1)[:, None]).astype(np.int32))
+    ends = pa.array(np.arange(len(pixels) + 1, dtype=np.int32) * 64)
+    return pa.ListArray.from_arrays(ends, pa.array(shares.ravel().astype(np.int32)), mask=pa.array(totals == 0))
 
 
 def largest_faces(faces: Column, most: int = 4) -> Column:
