@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, StructType
 
 from lodestone.functions import similarity as S
 from lodestone.functions import text as T
@@ -641,24 +641,26 @@ def dhash(assets):
     return gray(assets, 72).select("asset_id", images.dhash(F.col("pixels")).alias("hash"))
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
+@F.arrow_udf(ArrayType(ShortType()))
 def drawn(scene: pa.Array, variant: pa.Array, n: pa.Array) -> pa.Array:
     """The gray levels that ``gray`` has, made where a kernel reads them: of chained Arrow UDFs no pixel passes between Spark and Python."""
     size = n[0].as_py() if len(n) else 0
     scene, variant, i = np.asarray(scene), np.asarray(variant), np.arange(size)
-    squares, out = i * i, np.empty((len(scene), size), np.int32)
+    byte = lambda x: (x & 255).astype(np.uint8)
+    squares, line, at, by = byte(i * i), byte(i * 17), byte(scene * 31), byte(variant + 3)
+    out = np.empty((len(scene), size), np.int16)
     for k in range(0, len(scene), images.AT_ONCE):
         some = slice(k, k + images.AT_ONCE)
-        total = (scene[some, None] * 31 + i * 17) + squares * (variant[some, None] + 3)
-        low = total & 255
-        out[some] = np.where((total < 0) & (low > 0), low - 256, low)  # the sign of the dividend, as in SQL
+        out[some] = squares * by[some, None] + line + at[some, None]  # bytes wrap around at 256
+    for k in np.flatnonzero((scene < 0) | (variant < -3)):  # a remainder has the sign of its dividend, as in SQL
+        out[k] = np.fmod(scene[k] * 31 + i * i * (variant[k] + 3) + i * 17, 256)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(scene) + 1, dtype=np.int32) * size), pa.array(out.ravel()))
 
 
 @F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in "rgba"])))
 def colored(gray_levels: pa.Array) -> pa.Array:
     """Pixels of gray levels: multiples of them, clear where nine divides them."""
-    p = np.asarray(gray_levels.flatten())
+    p = np.asarray(gray_levels.flatten()).astype(np.int32)
     parts = [p, p * 3 % 256, p * 7 % 256, np.where(p % 9 == 0, 0, 255).astype(np.int32)]
     return pa.ListArray.from_arrays(gray_levels.offsets, pa.StructArray.from_arrays([pa.array(x) for x in parts], names=list("rgba")))
 
