@@ -71,6 +71,42 @@ def components_within(edges: DataFrame, block: str, src: str = "src", dst: str =
     return _settled(pairs.join(large, same, "left_anti")).union(connected_components(pairs.join(large, same, "left_semi"), "u", "v"))
 
 
+#: Edges that ``thinned`` looks at together.
+THINNED = 1 << 18
+
+
+def thinned(edges: DataFrame, block: str, at_once: int = THINNED) -> DataFrame:
+    """Edges (block, src, dst) with the same nodes and components, but fewer where they are dense: no shuffle.
+
+    Of each ``at_once`` edges of a task only the stars of their components stay, so a block in which
+    most pairs are linked sends its nodes, not its pairs. No end is null and no edge is a self-loop.
+    """
+    schema = f"`{block}` string, src long, dst long"
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        names = table.column(block).combine_chunks().dictionary_encode()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        of, node, component = stars_of(np.asarray(names.indices.fill_null(-1)), table.column("src").to_numpy(), table.column("dst").to_numpy())
+        apart = node != component
+        code = of[apart]
+        kept = names.dictionary.take(pa.array(code, pa.int32(), mask=code < 0))
+        return pa.RecordBatch.from_arrays([kept, pa.array(component[apart]), pa.array(node[apart])], names=[block, "src", "dst"])
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held, n = [*held, b], n + b.num_rows
+            if n >= at_once:
+                yield stars(held)
+                held, n = [], 0
+        if held:
+            yield stars(held)
+
+    return edges.select(F.col(block).cast("string"), F.col("src").cast("long"), F.col("dst").cast("long")).mapInArrow(thin, schema)
+
+
 def _settled(pairs: DataFrame) -> DataFrame:
     """node, component of edges (block, u, v), block by block."""
 

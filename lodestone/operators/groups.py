@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
-from lodestone.operators.graph import components_within
+from lodestone.operators.graph import components_within, thinned
 from lodestone.sources.tables import cut
 
 #: Rows of a block that one task compares with as many others; larger blocks are tiled.
@@ -124,7 +124,7 @@ def judged(pairs: DataFrame, sensitivity: str, block: str = "block", face_distan
 
 def group_members(rows: DataFrame, sensitivity: str, block: str = "block", face_distance: S.Distance = S.vector_distance) -> DataFrame:
     """group_id (smallest member), asset_id of groups of two or more; an asset stands in one block."""
-    edges = cut(accepted_pairs(rows, sensitivity, block, face_distance).select(block, "src", "dst"))
+    edges = cut(thinned(accepted_pairs(rows, sensitivity, block, face_distance), block))
     return components_within(edges, block).select(F.col("component").alias("group_id"), F.col("node").alias("asset_id"))
 
 
