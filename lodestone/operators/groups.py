@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
 from lodestone.operators.graph import components_within, thinned
-from lodestone.sources.tables import cut
+from lodestone.sources.tables import cut, shuffled
 
 #: Rows of a block that one task compares with as many others; larger blocks are tiled.
 TILE = 4096
@@ -43,7 +43,7 @@ def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None
         on.append((F.col("a___tile") != F.col("b___tile")) | (a["__p"] == a["__q"]))
     if theta is not None:
         on.append(theta)
-    return a.join(b, on).select(a["__block"].alias(block), *[f"{side}_{c}" for side in "ab" for c in own if c != "__tile"])
+    return a.join(shuffled(b), on).select(a["__block"].alias(block), *[f"{side}_{c}" for side in "ab" for c in own if c != "__tile"])
 
 
 def _few(df: DataFrame, most: int = 10_000) -> bool:
@@ -142,7 +142,7 @@ def group_confidence(members: DataFrame, rows: DataFrame) -> DataFrame:
     vectors, plus the distances of those vectors. Pairs without any distance don't count; a group of only such pairs has 0.5.
     """
     vector = F.when(~F.exists("feature", lambda x: x.isNull()), F.col("feature"))
-    data = members.select("group_id", "asset_id").join(rows.select("asset_id", "hash", vector.alias("feature")), "asset_id").withColumn("size", F.size("feature"))
+    data = members.select("group_id", "asset_id").join(shuffled(rows.select("asset_id", "hash", vector.alias("feature"))), "asset_id").withColumn("size", F.size("feature"))
     size = data.groupBy("group_id", "size").agg(F.count(F.lit(1)).alias("n"), F.count("hash").alias("h"), _ones(F.col("hash")).alias("ones"))
     pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
     bits = lambda ones, n: F.aggregate(ones, F.lit(0.0), lambda s, m: s + F.coalesce(m, F.lit(0)).cast("double") * (F.col(n) - F.coalesce(m, F.lit(0)))) / 64
@@ -150,7 +150,8 @@ def group_confidence(members: DataFrame, rows: DataFrame) -> DataFrame:
     size = size.select("group_id", "h", "ones", F.when(sized, pairs("n") - pairs("h")).otherwise(0.0).alias("pairs"), F.when(sized, -bits(F.col("ones"), "h")).otherwise(0.0).alias("bits"))
     whole = size.groupBy("group_id").agg(F.sum("h").alias("h"), F.sum("pairs").alias("pairs"), F.sum("bits").alias("bits"), F.array(*[F.sum(F.col("ones")[i]) for i in range(64)]).alias("ones"))
     whole = whole.select("group_id", (F.col("pairs") + pairs("h")).alias("pairs"), (F.col("bits") + bits(F.col("ones"), "h")).alias("sum"))
-    near = block_pairs(data.where(sized).withColumn("class", F.concat_ws("|", "group_id", "size")), ["group_id", "feature"], block="class")
+    vectors = cut(data.where(sized).select(F.concat_ws("|", "group_id", "size").alias("class"), "group_id", "asset_id", "feature"))
+    near = block_pairs(vectors, ["group_id", "feature"], block="class")
     near = near.groupBy(F.col("a_group_id").alias("group_id")).agg(F.sum(of_pair(S.vector_distance, "feature")).alias("vectors"))
     mean = whole.join(near, "group_id", "left").select("group_id", ((F.col("sum") + F.coalesce("vectors", F.lit(0.0))) / F.nullif("pairs", F.lit(0.0))).alias("mean"))
     size = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))

@@ -51,6 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that a join meets by a shuffle, whatever size Catalyst takes it for.
+
+    The size of what is derived from a file is taken to be the file's bytes by the share of columns that are left, so
+    millions of rows of a well packed file pass for a few megabytes and would be broadcast through the driver.
+    """
+    return df.hint("merge")
+
+
 def hadoop(spark: SparkSession, path: str):
     """(FileSystem, Path) of a path, through Hadoop's API as Spark uses it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
