@@ -180,7 +180,7 @@ def rank_groups(members: DataFrame, rows: DataFrame, confidence: DataFrame | Non
     favorite, live, people, then the smaller id. In groups of two or fewer, or with a confidence
     of 0.95 or more, people alone don't protect.
     """
-    data = members.select("group_id", "asset_id").join(rows.select("asset_id", *JUDGED), "asset_id").withColumn("has_people", F.col("face_count") > 0)
+    data = members.select("group_id", "asset_id").join(shuffled(rows.select("asset_id", *JUDGED)), "asset_id").withColumn("has_people", F.col("face_count") > 0)
     data = data.join(confidence.select("group_id", "confidence"), "group_id", "left") if confidence is not None else data.withColumn("confidence", F.lit(0.0))
     group = Window.partitionBy("group_id")
     data = data.withColumn("most", F.max("pixel_count").over(group)).withColumn("n", F.count(F.lit(1)).over(group)).withColumn("score", S.quality_score(F.col("most")))

@@ -8,6 +8,7 @@ from lodestone.sources.assets import derive_assets
 PLANS = {
     "block_pairs": lambda members, rows: G.block_pairs(rows, ["hash"]),
     "group_confidence": G.group_confidence,
+    "rank_groups": G.rank_groups,
 }
 
 
