@@ -160,7 +160,7 @@ def group_confidence(members: DataFrame, rows: DataFrame) -> DataFrame:
 
 def placeholder_keeper(members: DataFrame, rows: DataFrame) -> DataFrame:
     """group_id, keeper_id: most pixels, the smaller id of equals."""
-    data = members.join(rows.select("asset_id", "pixel_count"), "asset_id")
+    data = members.join(shuffled(rows.select("asset_id", "pixel_count")), "asset_id")
     return data.groupBy("group_id").agg(F.max_by("asset_id", F.struct("pixel_count", -F.col("asset_id"))).alias("keeper_id"))
 
 
@@ -233,12 +233,12 @@ def cleanup_plan(ranked: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     out = side_by_side(d, p)
     if sizes is None:
         return out.withColumn("savings", F.lit(None).cast("long"))
-    return side_by_side(out, ranked.where("is_removal").join(sizes, "asset_id", "left").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("savings")))
+    return side_by_side(out, ranked.where("is_removal").join(shuffled(sizes), "asset_id", "left").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("savings")))
 
 
 def cleanup_stats(ranked: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of tallies; categories of protected members overlap."""
-    held = ranked.where("is_protected").select("asset_id").distinct().join(rows, "asset_id")
+    held = ranked.where("is_protected").select("asset_id").distinct().join(shuffled(rows), "asset_id")
     p = held.agg(F.count_if("is_favorite").alias("protected_favorites"), F.count_if("is_live").alias("protected_live"), F.count_if(F.col("face_count") > 0).alias("protected_people"))
     return ranked.agg(F.countDistinct("group_id").alias("group_count"), F.count_if("is_removal").alias("reviewable")).transform(side_by_side, p)
 
