@@ -167,32 +167,37 @@ _by_sensitivity("connected_components", G.group_members)
 # groups
 
 
-def grouped(assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, members, confidence) at balanced sensitivity."""
+def grouped(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, members) at balanced sensitivity."""
     rows = G.with_block(assets)
-    members = cut(G.group_members(rows, "balanced"))
+    return rows, cut(G.group_members(rows, "balanced"))
+
+
+def sure_groups(assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, members, confidence): for queries that read the confidence, which costs a join of all members with their rows."""
+    rows, members = grouped(assets)
     return rows, members, cut(G.group_confidence(members, rows))
 
 
 def ranked_groups(assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows, members, confidence = grouped(assets)
+    rows, members, confidence = sure_groups(assets)
     return rows, members, confidence, cut(G.rank_groups(members, rows, confidence))
 
 
 @query
 def group_confidence(assets):
-    return grouped(assets)[2].select("group_id", "n", F.round("confidence", 6).alias("confidence"))
+    return sure_groups(assets)[2].select("group_id", "n", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def groups_by_confidence(assets):
-    c = grouped(assets)[2]
+    c = sure_groups(assets)[2]
     return c.orderBy(F.desc("confidence"), "group_id").select("group_id", S.percent(F.col("confidence")).alias("spoken"), S.percent(F.round("confidence", 9), False).alias("shown"))
 
 
 @query
 def placeholder_keeper(assets):
-    rows, members, _ = grouped(assets)
+    rows, members = grouped(assets)
     return G.placeholder_keeper(members, rows)
 
 
@@ -261,7 +266,7 @@ def group_details(assets):
 @query
 def top_group(assets):
     """The surest group, explained by its stored keeper ranked without confidence."""
-    rows, members, c = grouped(assets)
+    rows, members, c = sure_groups(assets)
     top = c.orderBy(F.desc(F.round("confidence", 9)), "group_id").limit(1).select("group_id")
     r = G.rank_groups(members.join(top, "group_id", "left_semi"), rows)
     return r.where("is_keeper").select("group_id", F.col("asset_id").alias("keeper_id"), T.keeper_summary(F.col("badges")).alias("summary"))
@@ -452,7 +457,7 @@ def group_by_id(assets):
 def album_append(assets):
     """Keepers that are appended to an album, and no rows from an empty list."""
     spark, at = assets.sparkSession, shared_path(assets.sparkSession, "albums")
-    best = G.placeholder_keeper(*grouped(assets)[1::-1])
+    best = G.placeholder_keeper(*grouped(assets)[::-1])
     state.append_album(best, "Best", at)
     state.append_album(best.limit(0), "None", at)
     return spark.read.schema("title string, asset_id long").parquet(at)
