@@ -82,7 +82,9 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 def placed(stream: DataFrame, delay: str, library: str = "library_id") -> DataFrame:
     """The stream's rows with their session (``PLACED``), each once the watermark, ``delay`` behind the latest row, has passed it."""
     rows = stream.where("capture_ts is not null").withWatermark("capture_ts", delay)
-    rows = rows.select(F.col(library).cast("long").alias("library_id"), "asset_id", "capture_ts", F.unix_micros("capture_ts").alias("us"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    # pandas holds no timestamp after 2262, so times go to it as microseconds alone, marked as what the watermark is compared with
+    us = F.unix_micros("capture_ts").alias("us", metadata=rows.schema["capture_ts"].metadata)
+    rows = rows.select(F.col(library).cast("long").alias("library_id"), "asset_id", us, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     return rows.groupBy("library_id").applyInPandasWithState(_step, PLACED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
