@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
+from lodestone.operators import tiles
 from lodestone.operators.graph import components_within, thinned
 from lodestone.sources.tables import cut, shuffled
 
@@ -29,12 +30,10 @@ def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None
     """
     own = ["asset_id", *[c for c in dict.fromkeys(columns) if c != "asset_id"]]
     rows = rows.select(F.col(block).alias("__block"), *own)
-    large = cut(rows.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("__block", F.ceil(F.col("n") / tile).cast("int").alias("__tiles")))
+    large = large_blocks(rows, tile)
     key = ["__block"]
     if large.head(1):
-        tiled = rows.join(F.broadcast(large) if _few(large) else large, "__block", "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1))).withColumn("__tile", F.pmod(F.xxhash64("asset_id"), F.col("__tiles")).cast("int"))
-        meet = F.transform(F.sequence(F.lit(0), F.col("__tiles") - 1), lambda i: F.struct(F.least(F.col("__tile"), i).alias("p"), F.greatest(F.col("__tile"), i).alias("q")))
-        rows = tiled.withColumn("__cell", F.explode(meet)).select("__block", F.col("__cell.p").alias("__p"), F.col("__cell.q").alias("__q"), "__tile", *own)
+        rows = cells(rows, large, own)
         key, own = [*key, "__p", "__q"], ["__tile", *own]
     rows = rows.repartition(*key)
     a, b = (rows.select(*key, *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "ab")
@@ -46,6 +45,36 @@ def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None
     return a.join(shuffled(b), on).select(a["__block"].alias(block), *[f"{side}_{c}" for side in "ab" for c in own if c != "__tile"])
 
 
+def large_blocks(rows: DataFrame, tile: int) -> DataFrame:
+    """__block, __tiles of blocks above ``tile`` rows."""
+    return cut(rows.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("__block", F.ceil(F.col("n") / tile).cast("int").alias("__tiles")))
+
+
+def cells(rows: DataFrame, large: DataFrame, own: list[str]) -> DataFrame:
+    """Rows once for each cell (__block, __p, __q) in which they meet others; blocks that aren't large are one cell."""
+    tiled = rows.join(F.broadcast(large) if _few(large) else large, "__block", "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1))).withColumn("__tile", F.pmod(F.xxhash64("asset_id"), F.col("__tiles")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("__tiles") - 1), lambda i: F.struct(F.least(F.col("__tile"), i).alias("p"), F.greatest(F.col("__tile"), i).alias("q")))
+    return tiled.withColumn("__cell", F.explode(meet)).select("__block", F.col("__cell.p").alias("__p"), F.col("__cell.q").alias("__q"), "__tile", *own)
+
+
+def by_cells(rows: DataFrame, large: DataFrame, own: list[str]) -> DataFrame:
+    """``cells``, each whole in one task and sorted: few bytes stand for many pairs, so partitions aren't merged by their size."""
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells(rows, large, own).repartition(n_tasks, *tiles.CELL).sortWithinPartitions(*tiles.CELL)
+
+
+def pair_counts(rows: DataFrame, tile: int = 4 * TILE) -> DataFrame:
+    """block and, of its pairs, how many pass each of the predicates (``tiles.COUNTS``); blocks without a pair are left out.
+
+    Pairs are counted where they meet, many at a time, and never become rows.
+    """
+    own = ["asset_id", "hash", F.unix_micros("capture_ts").alias("us"), "lat", "lon", "face_count", "faceprints", "color_signature"]
+    rows = rows.where("block is not null and asset_id is not null").select(F.col("block").alias("__block"), *own)
+    met = by_cells(rows, large_blocks(rows, tile), [c for c in rows.columns if c != "__block"])
+    counted = met.mapInArrow(tiles.count_pairs, ", ".join(["__block string", *[f"{c} long" for c in tiles.COUNTS]]))
+    return counted.groupBy(F.col("__block").alias("block")).agg(*[F.sum(c).alias(c) for c in tiles.COUNTS]).where("n_pairs > 0")
+
+
 def _few(df: DataFrame, most: int = 10_000) -> bool:
     """Whether a table has no more than ``most`` rows (then it may be broadcast)."""
     return len(df.select(F.lit(1)).limit(most + 1).collect()) <= most
@@ -76,9 +105,9 @@ def cross_pairs(left: DataFrame, right: DataFrame, columns: list[str], theta: Co
     """
     own = ["asset_id", *[c for c in dict.fromkeys(columns) if c != "asset_id"]]
     sizes = right.groupBy(F.col(block).alias("__block")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("__tiles"))
-    tiles = lambda rows: rows.select(F.col(block).alias("__block"), *own).join(sizes, "__block")
-    x = tiles(left).select("__block", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"), *[F.col(c).alias(f"x_{c}") for c in own])
-    y = tiles(right).select("__block", F.pmod(F.xxhash64("asset_id"), F.col("__tiles")).cast("int").alias("__tile"), *[F.col(c).alias(f"y_{c}") for c in own])
+    tiled = lambda rows: rows.select(F.col(block).alias("__block"), *own).join(sizes, "__block")
+    x = tiled(left).select("__block", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"), *[F.col(c).alias(f"x_{c}") for c in own])
+    y = tiled(right).select("__block", F.pmod(F.xxhash64("asset_id"), F.col("__tiles")).cast("int").alias("__tile"), *[F.col(c).alias(f"y_{c}") for c in own])
     first = F.col("x_asset_id") < F.col("y_asset_id")
     sides = [F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{side}_{c}") for side, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in own]
     pairs = x.join(y, ["__block", "__tile"]).select(F.col("__block").alias(block), *sides)

@@ -121,14 +121,7 @@ def hamming_pairs(assets):
 @query
 def pair_predicates(assets):
     """How many pairs of each block pass each predicate."""
-    pairs = G.block_pairs(G.with_block(assets), G.PAIR)
-    tests = {
-        "n_near": G.near_bits(),
-        "n_session": G.in_session(),
-        "n_people": G.of_pair(S.same_people, "face_count", "faceprints"),
-        "n_color": G.of_pair(S.similar_color, "color_signature"),
-    }
-    return pairs.groupBy("block").agg(F.count(F.lit(1)).alias("n_pairs"), *[F.count_if(c).alias(k) for k, c in tests.items()])
+    return G.pair_counts(G.with_block(assets))
 
 
 def scene_pairs(assets: DataFrame) -> DataFrame:

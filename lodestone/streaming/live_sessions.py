@@ -23,8 +23,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from lodestone.functions.similarity import EARTH_M
 from lodestone.operators.sessions import GAP_M, GAP_S
+from lodestone.operators.tiles import meters
 from lodestone.sources.tables import BatchLog
 from lodestone.streaming.incremental import COMPACT_AFTER
 
@@ -33,13 +33,6 @@ _STATE = "last_us long, last_lat double, last_lon double, start_us long, first_i
 GAP_US = int(GAP_S * 1_000_000)
 
 
-def meters(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
-    """Great-circle distances; NaN where a coordinate is missing."""
-    dy, dx = np.sin(np.radians(lat2 - lat1) / 2), np.sin(np.radians(lon2 - lon1) / 2)
-    s = dy * dy + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * dx * dx
-    return EARTH_M * 2 * np.arctan2(np.sqrt(s), np.sqrt(1 - s))
-
-
 def place(last: tuple | None, ids: np.ndarray, us: np.ndarray, lats: np.ndarray, lons: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start_us, first_id) of the session of each row; rows are in order, ``last`` is the row before with its session."""
     before = last if last is not None else (-(1 << 62), math.nan, math.nan, 0, 0)
