@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions import similarity as S
 from lodestone.operators import tiles
@@ -20,19 +21,19 @@ def with_block(assets: DataFrame) -> DataFrame:
     return assets.withColumn("block", key)
 
 
-def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None, block: str = "block", tile: int = TILE) -> DataFrame:
+def block_pairs(rows: DataFrame, columns: list[str], theta: Column | None = None, block: str = "block", tile: int | None = TILE) -> DataFrame:
     """Pairs within blocks, the smaller asset_id left: columns a_* and b_*.
 
     A block above ``tile`` rows is cut into T tiles by id; a row meets the others tile by tile,
     so no task holds more than two tiles and a hot block's work spreads over T * T / 2 tasks.
-    Without such a block the pairs are a plain hash join. ``rows`` are computed and shuffled once: both
+    Without such a block (or with ``tile`` None) the pairs are a plain hash join. ``rows`` are computed and shuffled once: both
     sides read the same exchange. Other columns of ``rows`` are ignored.
     """
     own = ["asset_id", *[c for c in dict.fromkeys(columns) if c != "asset_id"]]
     rows = rows.select(F.col(block).alias("__block"), *own)
-    large = large_blocks(rows, tile)
+    large = large_blocks(rows, tile) if tile else None
     key = ["__block"]
-    if large.head(1):
+    if large is not None and large.head(1):
         rows = cells(rows, large, own)
         key, own = [*key, "__p", "__q"], ["__tile", *own]
     rows = rows.repartition(*key)
@@ -126,21 +127,49 @@ def accepted_pairs(rows: DataFrame, sensitivity: str, block: str = "block", face
     session may have the relaxed distance if its colours are similar. Both need the same people,
     by ``face_distance`` of two face prints, which may be of any type it takes.
     """
-    return judged(block_pairs(rows, PAIR, cheap_test(sensitivity), block), sensitivity, block, face_distance)
+    large = large_blocks(rows.select(F.col(block).alias("__block")), TILE)
+    if not large.head(1):
+        return judged(block_pairs(rows, PAIR, cheap_test(sensitivity), block, None), sensitivity, block, face_distance)
+    ordinary = judged(block_pairs(rows.join(*of_large(large, block, "left_anti")), PAIR, cheap_test(sensitivity), block, None), sensitivity, block, face_distance)
+    tiled = tiled_pairs(rows.join(*of_large(large, block, "left_semi")), large, sensitivity, block)
+    return ordinary.unionByName(judged(tiled, sensitivity, block, face_distance))
+
+
+def of_large(large: DataFrame, block: str, how: str) -> tuple[DataFrame, Column, str]:
+    """What rows are joined with to have those of large blocks, or the others."""
+    found = large.select(F.col("__block").alias("__large"))
+    return F.broadcast(found) if _few(found) else found, F.col(block) == F.col("__large"), how
+
+
+def tiled_pairs(rows: DataFrame, large: DataFrame, sensitivity: str, block: str = "block") -> DataFrame:
+    """Pairs of rows of ``large`` blocks that pass the cheap tests, for ``judged``: tested in arrays, tile by tile.
+
+    ``settled`` has the distance of those that need no other test; their other columns are null. Where ``rows`` have
+    a column ``new``, one of a pair at least is new.
+    """
+    s, others = S.SENSITIVITIES[sensitivity], [c for c in PAIR if c != "asset_id"]
+    new = F.col("new") if "new" in rows.columns else F.lit(True)
+    rows = rows.where(F.col(block).isNotNull() & F.col("asset_id").isNotNull()).select(F.col(block).alias("__block"), *PAIR, F.unix_micros("capture_ts").alias("us"), new.alias("__new"))
+    met = by_cells(rows, large.withColumn("__tiles", F.ceil(F.col("__tiles") / 4).cast("int")), [c for c in rows.columns if c != "__block"])
+    t = rows.schema
+    schema = StructType([t["__block"], StructField("settled", DoubleType()), *[StructField(f"{side}_asset_id", t["asset_id"].dataType) for side in "ab"], *[StructField(f"{side}_{c}", t[c].dataType) for side in "ab" for c in others]])
+    return met.mapInArrow(tiles.Found(others, s.strict, s.groups_poses), schema).withColumnRenamed("__block", block)
 
 
 def judged(pairs: DataFrame, sensitivity: str, block: str = "block", face_distance: S.Distance = S.vector_distance) -> DataFrame:
-    """Block, src, dst, distance of those pairs that passed the cheap tests and pass the others too."""
+    """Block, src, dst, distance of those pairs that passed the cheap tests and pass the others too (what is ``settled`` has)."""
     s = S.SENSITIVITIES[sensitivity]
     # filters aren't pushed below what isn't deterministic: in the join's condition the costly tests would
     # stand before the cheap ones and run on all pairs of a block
     pairs = pairs.withColumn("__task", F.spark_partition_id())
+    settled = F.col("settled") if "settled" in pairs.columns else F.lit(None).cast("double")
     found = pairs.select(
         block,
         "__task",
         F.col("a_asset_id").alias("src"),
         F.col("b_asset_id").alias("dst"),
-        of_pair(S.pair_distance, "feature", "hash").alias("distance"),
+        F.coalesce(settled, of_pair(S.pair_distance, "feature", "hash")).alias("distance"),
+        settled.isNotNull().alias("settled"),
         near_bits().alias("near"),
         (in_session() if s.groups_poses else F.lit(False)).alias("session"),
         S.same_people(*[col(side, n) for n in ("face_count", "faceprints") for side in "ab"], face_distance).alias("people"),
@@ -148,7 +177,7 @@ def judged(pairs: DataFrame, sensitivity: str, block: str = "block", face_distan
     )
     strict = F.col("near") & (F.col("distance") <= s.strict)
     relaxed = F.col("session") & (F.col("distance") <= s.relaxed) & F.col("color")
-    return found.where((F.col("__task") >= 0) & F.col("people") & (strict | relaxed if s.groups_poses else strict)).select(block, "src", "dst", "distance")
+    return found.where((F.col("__task") >= 0) & (F.col("settled") | (F.col("people") & (strict | relaxed if s.groups_poses else strict)))).select(block, "src", "dst", "distance")
 
 
 def group_members(rows: DataFrame, sensitivity: str, block: str = "block", face_distance: S.Distance = S.vector_distance) -> DataFrame:

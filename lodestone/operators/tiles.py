@@ -203,3 +203,59 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = (k, k) if same else (k[tile[i:j] == p[i]], k[tile[i:j] == q[i]])
             found.append(cell.counts(cell.rows[a], cell.rows[b], same))
         yield pa.RecordBatch.from_arrays([t.column("__block").combine_chunks().take(pa.array(at)), *[pa.array(x) for x in np.array(found).T]], names=["__block", *COUNTS])
+
+
+class Found:
+    """Makes batches of pairs that passed the cheap tests, of the columns that ``pair_schema`` names.
+
+    What a pair of rows without faces and without vectors needs is settled here: its distance is that of its bits. Only
+    the other pairs carry the columns that the costly tests read.
+    """
+
+    def __init__(self, columns: list[str], strict: float, sessions: bool):
+        self.columns, self.strict, self.sessions = columns, strict, sessions
+
+    def batches(self, t: pa.Table, a: Rows, b: Rows, same: bool) -> Iterator[pa.RecordBatch]:
+        step = max(1, AT_ONCE // max(len(b), 1))
+        for k in range(0, len(a) if len(b) else 0, step):
+            some = a[k : k + step]
+            passed = near(some, b)
+            close = close_in_time(some, b) if self.sessions else None
+            if close is not None:
+                passed |= close
+            i, j = np.nonzero(passed)
+            if same:
+                ordered = some.id[i] < b.id[j]
+                i, j = i[ordered], j[ordered]
+            for m in range(0, len(i), AT_ONCE // 16):
+                part = slice(m, m + AT_ONCE // 16)
+                yield self.batch(t, some[i[part]], b[j[part]])
+
+    def batch(self, t: pa.Table, x: Rows, y: Rows) -> pa.RecordBatch:
+        first = x.id < y.id
+        left, right = np.where(first, x.at, y.at), np.where(first, y.at, x.at)
+        distance = np.bitwise_count(x.hash ^ y.hash) / 64.0
+        # near in bits (then both hashes are there) and near enough, without faces, not both with a vector
+        settled = x.hashed & y.hashed & (distance <= min(self.strict, PREFILTER_BITS / 64)) & x.faceless & y.faceless & ~(x.vector & y.vector)
+        take = lambda c, at, mask: t.column(c).combine_chunks().take(pa.array(at, mask=mask))
+        out = [take("__block", left, None), pa.array(distance, mask=~settled), take("asset_id", left, None), take("asset_id", right, None)]
+        out += [take(c, at, settled) for at in (left, right) for c in self.columns]
+        return pa.RecordBatch.from_arrays(out, names=["__block", "settled", "a_asset_id", "b_asset_id", *[f"{s}_{c}" for s in "ab" for c in self.columns]])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_cell(batches):
+            at = starts(t)
+            faces, counted = _plain(t.column("face_count").combine_chunks(), 1, np.int64)
+            vector = np.asarray(t.column("feature").combine_chunks().is_valid())
+            rows = Rows(**near_columns(t), faceless=counted & (faces == 0), vector=vector, at=np.arange(t.num_rows))
+            tile, p, q, new = (np.asarray(t.column(c).combine_chunks()) for c in ("__tile", "__p", "__q", "__new"))
+            for i, j in zip(at, [*at[1:], t.num_rows], strict=True):
+                k = np.arange(i, j)
+                same = p[i] == q[i]
+                a, b = (k, k) if same else (k[tile[i:j] == p[i]], k[tile[i:j] == q[i]])
+                fresh = lambda x: (rows[x[new[x]]], rows[x[~new[x]]])  # noqa: B023, E731
+                (a_new, a_old), (b_new, b_old) = fresh(a), fresh(b)
+                yield from self.batches(t, a_new, b_new, same)
+                yield from self.batches(t, a_new, b_old, False)
+                if not same:  # pairs of two rows that aren't new were judged before
+                    yield from self.batches(t, a_old, b_new, False)
