@@ -268,10 +268,14 @@ def top_group(assets):
 @query
 def keeper_explanations(assets):
     """Keeper's badges and the different negative badges of what would go, by group."""
-    r = ranked_groups(assets)[3]
+    return explained(ranked_groups(assets)[3]).select("group_id", "keeper_badges", "removal_badges")
+
+
+def explained(ranked: DataFrame) -> DataFrame:
+    """group_id, keeper_badges, removal_badges and confidence of the keeper: one aggregation of what is ranked."""
     bad = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("is_removal"), F.array_intersect("badges", F.array(*map(F.lit, G.NEGATIVE))))))))
-    own = F.max(F.when(F.col("is_keeper"), F.array_join("badges", ",")))
-    return r.groupBy("group_id").agg(own.alias("keeper_badges"), F.array_join(bad, ",").alias("removal_badges"))
+    own = lambda c: F.max(F.when(F.col("is_keeper"), c))
+    return ranked.groupBy("group_id").agg(own(F.array_join("badges", ",")).alias("keeper_badges"), F.array_join(bad, ",").alias("removal_badges"), own(F.col("confidence")).alias("confidence"))
 
 
 @query
@@ -578,9 +582,8 @@ def resumed_coverage(assets):
 @query
 def prompts(assets):
     """Texts for a language model that explains each keeper, with facts only."""
-    r = ranked_groups(assets)[3]
-    own = keeper_explanations(assets)
-    return own.join(r.where("is_keeper").select("group_id", "confidence"), "group_id").select("group_id", T.keeper_prompt(F.round("confidence", 9), F.col("keeper_badges"), F.col("removal_badges")).alias("prompt"))
+    facts = explained(ranked_groups(assets)[3])
+    return facts.select("group_id", T.keeper_prompt(F.round("confidence", 9), F.col("keeper_badges"), F.col("removal_badges")).alias("prompt"))
 
 
 # requests
