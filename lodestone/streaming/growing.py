@@ -8,13 +8,15 @@ a group is named by its smallest member, the groups after each batch are those o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.operators import groups as G
 from lodestone.operators import state
-from lodestone.operators.graph import components_within
+from lodestone.operators.graph import components_within, thinned
 from lodestone.sources.tables import BatchLog, cut
 from lodestone.streaming.incremental import COMPACT_AFTER
 
@@ -54,11 +56,10 @@ class GrowingGroups:
         blocks = cut(new.select("block").distinct())
         old = cut(self.touched(blocks))
         new = cut(new.join(old.select("asset_id"), "asset_id", "left_anti"))
-        pairs = G.judged(G.block_pairs(new, G.PAIR, G.cheap_test(self.sensitivity)), self.sensitivity)
-        pairs = cut(pairs.unionByName(G.judged(G.cross_pairs(new, old, G.PAIR, G.cheap_test(self.sensitivity)), self.sensitivity)))
+        # where most pairs are linked, only the stars of their components are stored and meet groups
+        edges = cut(thinned(self._linked(new, old), "block"))
         # an old row stands for its group, so an edge joins groups and rows without one
         stands = old.where("group_id is not null").select("asset_id", "group_id")
-        edges = pairs.select("block", "src", "dst")
         for end in ("src", "dst"):
             edges = edges.join(stands.select(F.col("asset_id").alias(end), F.col("group_id").alias("__g")), end, "left").withColumn(end, F.coalesce("__g", end)).drop("__g")
         found = cut(components_within(cut(edges.distinct()), "block"))
@@ -73,6 +74,17 @@ class GrowingGroups:
             self.log.compact(lambda x: self._placed(state.latest(x, "asset_id", "__batch")))
         return done
 
+    def _linked(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        """Accepted pairs of which one side at least is new; large blocks are tested in arrays, tile by tile."""
+        both = new.select(*self.columns, F.lit(True).alias("new")).unionByName(old.select(*self.columns, F.lit(False).alias("new")))
+        large = G.large_blocks(both.select(F.col("block").alias("__block")), G.TILE)
+        found = []
+        if large.head(1):
+            found = [G.tiled_pairs(both.join(*G.of_large(large, "block", "left_semi")), large, self.sensitivity)]
+            new, old = (x.join(*G.of_large(large, "block", "left_anti")) for x in (new, old))
+        found += [G.block_pairs(new, G.PAIR, G.cheap_test(self.sensitivity), tile=None), G.cross_pairs(new, old, G.PAIR, G.cheap_test(self.sensitivity))]
+        return reduce(DataFrame.unionByName, [G.judged(x, self.sensitivity) for x in found])
+
     @staticmethod
     def _placed(rows: DataFrame) -> DataFrame:
         return rows.repartitionByRange("bucket").sortWithinPartitions("bucket", "block")
